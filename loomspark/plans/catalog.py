@@ -1,0 +1,6 @@
+"""Queries over the reference's own operators, with the SQL that checks each."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
