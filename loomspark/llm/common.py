@@ -167,6 +167,13 @@ class Rows:
         mask = which[self.col]
         self.row, self.col, self.used = self.row[mask], to[self.col[mask]], self.used[which]
 
+    def part(self, which: np.ndarray) -> Rows:
+        """The rows for which it is true, over the same columns."""
+        out = object.__new__(Rows)
+        to, mask = np.cumsum(which) - 1, which[self.row]
+        out.row, out.col, out.used, out.n, out.columns = to[self.row[mask]], self.col[mask], self.used, int(which.sum()), self.columns
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.col], minlength=self.n)[: self.n] if len(self.col) else np.zeros(self.n)
 
