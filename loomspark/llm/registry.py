@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "simhash_dedup", "pii", "mixing", "packing")
+MODULES = ("toxicity", "simhash_dedup", "pii", "mixing", "packing", "quality", "url_filter")
 
 
 def queries() -> dict:
