@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "simhash_dedup", "pii", "mixing", "packing", "quality", "url_filter")
+MODULES = ("ann", "webp", "toxicity", "pii", "mixing", "warc", "quality", "packing", "url_filter", "simhash_dedup")
 
 
 def queries() -> dict:
