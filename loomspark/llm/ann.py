@@ -25,13 +25,13 @@ from .common import bounded_sample, materialize, table
 @dataclass(frozen=True)
 class AnnParams:
     k: int = 10
-    list_size: int = 128
-    #: Lists that hold a vector, its own included, if their centroid is within closure times the nearest's distance.
-    replicas: int = 4
+    list_size: int = 256
+    #: Lists that hold a vector besides its own, if their centroid is within closure times the nearest's distance.
+    replicas: int = 6
     closure: float = 1.12
     #: Lists scanned: those whose centroid is within prune times the distance of the nearest.
-    prune: float = 1.4
-    beam: int = 40
+    prune: float = 1.1
+    beam: int = 64
     degree: int = 16
     #: Vectors that a cell aims at: it is clustered, and its lists scanned, by one task.
     cell_rows: int = 4096
@@ -126,17 +126,9 @@ class CentroidGraph:
         return ids[row, order], np.sqrt(np.maximum(dist[row, order], 0))
 
     def replicas(self, ids: np.ndarray, dist: np.ndarray, most: int, closure: float) -> np.ndarray:
-        """Which found lists hold the vector: within closure, and not nearer to a chosen centroid than to the vector."""
-        chosen = np.zeros(ids.shape, bool)
-        chosen[:, 0] = True
-        for j in range(1, ids.shape[1]):
-            may = np.flatnonzero((ids[:, j] >= 0) & (dist[:, j] <= closure * dist[:, 0]) & (chosen.sum(1) < most))
-            if not len(may):
-                break
-            gap = self.c[ids[may, :j]] - self.c[ids[may, j]][:, None]
-            far = np.where(chosen[may, :j], np.sqrt((gap * gap).sum(2)), np.inf).min(1)
-            chosen[may[far > dist[may, j]], j] = True
-        return chosen
+        """Which found lists hold the vector: the nearest, and up to most others within closure of its distance."""
+        place = np.arange(ids.shape[1])
+        return (ids >= 0) & (place < most) & (dist <= closure * dist[:, :1])
 
 
 def _floats(column: pa.Array, dim: int) -> np.ndarray:
@@ -337,7 +329,7 @@ def neighbours(vectors: DataFrame, params: AnnParams = AnnParams()) -> DataFrame
     found = reduce(DataFrame.unionByName, parts)
     pairs = F.arrays_zip(F.transform("ds", lambda d: -d).alias("d"), F.col("ids").alias("i"))
     ordered = found.groupBy("q").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("all"))
-    first = ordered.select("q", F.slice("all", 1, (params.replicas + 1) * k).alias("all"))
+    first = ordered.select("q", F.slice("all", 1, (params.replicas + 2) * k).alias("all"))
     # a vector found in two cells counts once: equal ids have equal similarity, so they are neighbours in the order
     once_each = F.filter("all", lambda x, i: (i == 0) | (F.get("all", F.greatest(i - 1, F.lit(0)))["i"] != x["i"]))
     top = materialize(first.select("q", F.slice(once_each, 1, k).alias("all")), "ann-top")

@@ -176,17 +176,17 @@ ORACLE = {
 WITH captured AS (SELECT page_id, url, html, sha1(html) AS digest FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL),
 heads AS (
   SELECT DISTINCT 'urn:page:' || page_id || ':' || n AS id, CASE n WHEN 1 THEN 'response' ELSE 'revisit' END AS kind, url,
-         CASE n WHEN 1 THEN '2024-01-01T00:00:00Z' ELSE '2024-02-01T00:00:00Z' END AS at, digest
+         CASE n WHEN 1 THEN '2024-01-01T00:00:00Z' ELSE '2024-02-01T00:00:00Z' END AS seen, digest
   FROM captured, (VALUES (1), (2)) AS crawls(n)),
 firsts AS (
-  SELECT digest, id AS o_id, url AS o_url, at AS o_at FROM (
-    SELECT *, row_number() OVER (PARTITION BY digest ORDER BY at, url NULLS LAST, id) AS k FROM heads WHERE kind = 'response') WHERE k = 1),
+  SELECT digest, id AS o_id, url AS o_url, seen AS o_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY digest ORDER BY seen, url NULLS LAST, id) AS k FROM heads WHERE kind = 'response') WHERE k = 1),
 sizes AS (SELECT DISTINCT digest, strlen(html) AS size FROM captured),
 named AS (
   SELECT *, md5(id || '|' || digest) AS m, md5(o_id || '|' || digest) AS om, id = o_id AND kind = 'response' AS own
   FROM heads JOIN firsts USING (digest) JOIN sizes USING (digest))
 SELECT 'urn:uuid:' || concat_ws('-', substr(m, 1, 8), substr(m, 9, 4), substr(m, 13, 4), substr(m, 17, 4), substr(m, 21, 12)) AS record_id,
-       CASE WHEN own THEN 'response' ELSE 'revisit' END AS warc_type, url AS target_uri, at AS warc_date, 'sha1:' || digest AS payload_digest,
+       CASE WHEN own THEN 'response' ELSE 'revisit' END AS warc_type, url AS target_uri, seen AS warc_date, 'sha1:' || digest AS payload_digest,
        CASE WHEN NOT own THEN 'urn:uuid:' || concat_ws('-', substr(om, 1, 8), substr(om, 9, 4), substr(om, 13, 4), substr(om, 17, 4), substr(om, 21, 12)) END AS refers_to,
        CASE WHEN NOT own THEN o_url END AS refers_to_target_uri, CASE WHEN NOT own THEN o_at END AS refers_to_date,
        CAST(CASE WHEN own THEN size + length('' || size) + 77 ELSE 29 END AS BIGINT) AS content_length
