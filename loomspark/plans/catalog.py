@@ -1,6 +1,534 @@
-"""Queries over the reference's own operators, with the SQL that checks each."""
+"""Queries over the library's own operators, with the SQL that checks each. Documents stand for pages and chunks, their
+lines for blocks, benchmark passages for queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomspark.functions import text as T
+from loomspark.operators import chunking, graph, layout, pixels, retrieval, runs, store
+from loomspark.sources import html
+from loomspark.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- inputs
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of each document, 40 to a page, with a box each; every seventh line is a caption before a table of two."""
+    b = layout.text_blocks(_t(spark, sf, "documents"), "\n")
+    y = (F.lit(780) - 18 * (F.col("ord") % 40)).cast("double")
+    box = F.struct(F.lit(50.0).alias("l"), y.alias("t"), (50 + F.least(F.lit(500), 5 * F.length("text"))).cast("double").alias("r"), (y - 12).alias("b"))
+    kind = F.when((F.col("ord") % 7).isin(3, 4), "table").when(F.col("ord") % 7 == 2, "caption").otherwise("text")
+    return b.withColumn("page", F.floor(F.col("ord") / 40).cast("int")).withColumn("bbox", box).withColumn("kind", kind).withColumn("self_labeled", F.lit(False))
+
+
+_LINES = r"""
+WITH cut AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS ls FROM documents),
+blocks AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS ord, ls[i] AS text, CAST((i - 1) // 40 AS INTEGER) AS page,
+  CAST(50 + least(500, 5 * length(ls[i])) AS DOUBLE) AS r, CAST(780 - 18 * ((i - 1) % 40) AS DOUBLE) AS t,
+  CASE WHEN (i - 1) % 7 IN (3, 4) THEN 'table' WHEN (i - 1) % 7 = 2 THEN 'caption' ELSE 'text' END AS kind
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM cut)),
+placed AS (SELECT *, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS span_start FROM blocks)
+"""
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", T.stub_embedding(F.col("text")).alias("vector"))
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", T.stub_embedding(F.col("text")).alias("vector"))
+
+
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "documents")
+    return e.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("set_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.col("lang").alias("owner"), (F.col("doc_id") % 5 != 0).alias("enabled"))
+
+
+_IDX = "WITH idx AS (SELECT 'c' || doc_id AS chunk_id, source AS set_id, 'd' || doc_id AS document_id, lang AS owner, doc_id % 5 <> 0 AS enabled FROM documents)"
+
+
+# ---------------------------------------------------------------- pages and text
+
+_SIGNALS = r"""
+WITH t AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
+s AS (SELECT doc_id, lang, length(t) AS n, CASE WHEN length(t) = 0 THEN 0 ELSE len(regexp_extract_all(t, '[\x00-\x08\x0E-\x1F\x7F-\x9F\p{Cf}\p{Co}\x{FFFD}]')) / length(t) END AS ctrl,
+  CASE WHEN len(regexp_extract_all(t, '\p{L}')) = 0 THEN 1 ELSE len(regexp_extract_all(t, '[A-Za-z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}\x{370}-\x{3FF}\x{400}-\x{4FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]')) / len(regexp_extract_all(t, '\p{L}')) END AS valid FROM t),
+r AS (SELECT *, CASE WHEN n < 200 OR ctrl > 0.002 OR valid < 0.6 THEN 'vlm' ELSE 'fast' END AS route FROM s)
+"""
+
+
+def _routes(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents")
+    t = T.js_trim(F.coalesce("text", F.lit("")))
+    return d.select("doc_id", "lang", T.ctrl_ratio(t).alias("ctrl"), T.valid_frac(t).alias("valid"), T.route_page(F.col("text"), F.lit(False), F.lit(0.0)).alias("route"))
+
+
+@_query(_SIGNALS + "SELECT doc_id, round(CAST(ctrl AS DOUBLE), 6) AS ctrl, round(CAST(valid AS DOUBLE), 6) AS valid, route FROM r")
+def page_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return _routes(spark, sf).select("doc_id", F.round("ctrl", 6).alias("ctrl"), F.round("valid", 6).alias("valid"), "route")
+
+
+@_query(_SIGNALS + "SELECT lang, route, count(*) AS n FROM r GROUP BY ALL")
+def route_counts_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.route_counts(_routes(spark, sf), "lang")
+
+
+@_query(_LINES + "SELECT doc_id, ord, text FROM blocks")
+def text_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.text_blocks(_t(spark, sf, "documents"), "\n")
+
+
+@_query("SELECT sha256(text) AS checksum, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return store.exact_duplicates(_t(spark, sf, "documents"))
+
+
+@_query("SELECT doc_id, substr(sha256('chunk|v1|{\"size\":400}|' || list_aggregate(list_sort([coalesce(lang, ''), coalesce(source, '')]), 'string_agg', ',')), 1, 32) AS key FROM documents")
+def stage_keys(spark: SparkSession, sf: str) -> DataFrame:
+    parents = F.array(F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
+    return _t(spark, sf, "documents").select("doc_id", T.stage_key(F.lit("chunk"), F.lit("v1"), F.lit('{"size":400}'), parents).alias("key"))
+
+
+@_query("SELECT item_id, substr(sha256('embed|mlx|qwen3|1|' || substr(sha256(text), 1, 32)), 1, 32) AS key, 'vec_' || substr(sha256('m'), 1, 16) AS field FROM benchmark")
+def embed_row_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "benchmark").select("item_id", T.embed_row_key(F.lit("mlx"), F.lit("qwen3"), F.lit("1"), F.col("text")).alias("key"), T.vec_field(F.lit("m")).alias("field"))
+
+
+_HASH = r"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda s: s <> '')) AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 16))::UBIGINT AS h, count(*) AS n FROM w GROUP BY ALL),
+b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i::UBIGINT) & 1 = 1 THEN n ELSE -n END) AS votes FROM k, range(0, 64) AS r(i) GROUP BY ALL),
+p AS (SELECT doc_id, bit_or(CASE WHEN votes > 0 THEN 1::UBIGINT << i::UBIGINT ELSE 0::UBIGINT END) AS h FROM b GROUP BY doc_id),
+prints AS (SELECT d.doc_id, coalesce(p.h, 0::UBIGINT) AS h FROM documents d LEFT JOIN p USING (doc_id) WHERE d.text IS NOT NULL)
+"""
+
+
+@_query(_HASH + "SELECT doc_id, lpad(lower(to_hex(h)), 16, '0') AS h FROM prints")
+def simhash_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.lower(F.lpad(F.hex(T.simhash(F.col("text"))), 16, "0")).alias("h"))
+
+
+@_query(_HASH + "SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM prints a JOIN prints b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 3")
+def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return store.near_pairs(_t(spark, sf, "documents"))
+
+
+@_query(r"""
+WITH i AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda s: s <> '')) AS ws FROM benchmark),
+d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda s: s <> '')) AS ws FROM documents)
+SELECT item_id, doc_id, round(len(list_intersect(i.ws, d.ws)) / len(i.ws), 6) AS share FROM i, d WHERE len(i.ws) > 0 AND len(list_intersect(i.ws, d.ws)) >= 0.9 * len(i.ws)""")
+def benchmark_containment(spark: SparkSession, sf: str) -> DataFrame:
+    return store.containment(_t(spark, sf, "benchmark"), _t(spark, sf, "documents"))
+
+
+@_query("""
+WITH c AS (SELECT row_number() OVER () AS i0, CAST(l_quantity * 5 % 256 AS INTEGER) AS r, CAST(floor(l_extendedprice) % 256 AS INTEGER) AS g, CAST(l_partkey % 256 AS INTEGER) AS b FROM lineitem),
+s(i, name, x, y, z) AS (VALUES (0, 'red', 220, 60, 60), (1, 'orange', 235, 150, 70), (2, 'yellow', 240, 235, 120), (3, 'green', 130, 220, 150), (4, 'blue', 150, 160, 235), (5, 'purple', 170, 110, 200), (6, 'pink', 240, 150, 200)),
+n AS (SELECT *, row_number() OVER (PARTITION BY i0 ORDER BY (r - x) * (r - x) + (g - y) * (g - y) + (b - z) * (b - z), i) AS k FROM c, s)
+SELECT CASE WHEN greatest(r, g, b) - least(r, g, b) >= 28 THEN name END AS color, count(*) AS n FROM n WHERE k = 1 GROUP BY ALL""")
+def color_names(spark: SparkSession, sf: str) -> DataFrame:
+    c = _t(spark, sf, "lineitem").select((F.col("l_quantity") * 5 % 256).cast("int").alias("r"), (F.floor("l_extendedprice") % 256).cast("int").alias("g"), (F.col("l_partkey") % 256).cast("int").alias("b"))
+    return c.groupBy(T.color_name(F.col("r"), F.col("g"), F.col("b")).alias("color")).agg(F.count("*").alias("n"))
+
+
+@_query(r"""SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(split_part(regexp_replace(text, '^\s+', ''), chr(10), 1), '\s+'), lambda s: s <> '')[1:12], ' ') AS query FROM conversations WHERE text IS NOT NULL""")
+def clean_queries(spark: SparkSession, sf: str) -> DataFrame:
+    reply = F.concat(F.lit("<think>a\nb</think>\nStandalone query: "), T.js_trim(F.col("text")))
+    return _t(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", T.clean_query(reply, 12).alias("query"))
+
+
+@_query(r"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), '|') AS queries FROM conversations WHERE text IS NOT NULL""")
+def query_lists(spark: SparkSession, sf: str) -> DataFrame:
+    listed = F.array_join(F.transform(F.split("text", "\n"), lambda s: F.concat(F.lit("- "), s)), "\n")
+    found = T.parse_query_list(F.concat(F.lit("```\n"), listed, F.lit("\n```")), F.lit(""))
+    return _t(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.array_join(found, "|").alias("queries"))
+
+
+@_query("""SELECT p_partkey, CASE e WHEN 0 THEN 'sheet' WHEN 1 THEN 'text' WHEN 2 THEN 'image' WHEN 3 THEN 'legacy_sheet' WHEN 4 THEN 'soffice' WHEN 5 THEN 'office' ELSE 'pdf' END AS route,
+CASE e WHEN 0 THEN 'text/csv' WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'image/png' WHEN 3 THEN 'application/vnd.oasis.opendocument.spreadsheet' WHEN 4 THEN 'application/rtf' WHEN 5 THEN 'text/html' ELSE 'application/pdf' END AS mime
+FROM (SELECT p_partkey, p_partkey % 7 AS e FROM part)""")
+def file_routes(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat("p_name", F.lit("."), F.element_at(F.array(*map(F.lit, ("CSV", "md", "png", "ods", "rtf", "html", "pdf"))), (F.col("p_partkey") % 7 + 1).cast("int")))
+    return _t(spark, sf, "part").select("p_partkey", T.route_format(name).alias("route"), T.content_type(name).alias("mime"))
+
+
+# ---------------------------------------------------------------- layout and chunks
+
+
+@_query(_LINES + "SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY ord)) AS digest, sum(length(text) + 2)::BIGINT - 2 AS size FROM blocks GROUP BY doc_id")
+def markdown_of(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.markdown_of(_blocks(spark, sf)).select("doc_id", F.md5("markdown").alias("digest"), F.length("markdown").cast("bigint").alias("size"))
+
+
+@_query(_LINES + "SELECT doc_id, ord, span_start, span_start + length(text) AS span_end FROM placed")
+def position_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.position_blocks(_blocks(spark, sf)).select("doc_id", "ord", "span_start", "span_end")
+
+
+@_query(_LINES + """, h AS (SELECT doc_id, ord, 5.0 + ord % 3 * 10 AS h FROM blocks),
+s AS (SELECT *, row_number() OVER w - 1 AS i, h / lag(h) OVER w AS ratio FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY h, ord)),
+c AS (SELECT doc_id, i AS cut FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ratio DESC, i) AS k FROM s WHERE ratio > 1.8) WHERE k = 1),
+n AS (SELECT doc_id, coalesce(any_value(cut), count(*)) // 2 AS at FROM s LEFT JOIN c USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(h AS DOUBLE) AS line_height FROM s JOIN n USING (doc_id) WHERE i = n.at""".replace(" AS at ", " AS mid ").replace("n.at", "n.mid"))
+def line_heights(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blocks(spark, sf).withColumn("bbox", F.struct(F.lit(0.0).alias("l"), (5.0 + F.col("ord") % 3 * 10).alias("t"), F.lit(9.0).alias("r"), F.lit(0.0).alias("b")))
+    return layout.line_height(b)
+
+
+_SPANS = _LINES + """, total AS (SELECT doc_id, max(span_start + length(text)) AS n FROM placed GROUP BY doc_id),
+spans AS (SELECT doc_id, j AS part, j * 500 AS s, least(j * 500 + 600, n) AS e FROM total, LATERAL (SELECT unnest(range(0, (n + 499) // 500)) AS j))
+, met AS (SELECT spans.doc_id, part, ord, page, r, t, greatest(s, span_start) AS overlap_start, least(e, span_start + length(text)) AS overlap_end
+  FROM spans JOIN placed ON spans.doc_id = placed.doc_id AND span_start < e AND span_start + length(text) > s)"""
+
+
+def _spans(positioned: DataFrame) -> DataFrame:
+    """Windows of 600 characters, 500 apart."""
+    n = positioned.groupBy("doc_id").agg(F.max("span_end").alias("n"))
+    return n.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") + 499) / 500) - 1)).alias("part")).select(F.struct("doc_id", "part").alias("span_id"), "doc_id", (F.col("part") * 500).alias("start"), F.least(F.col("part") * 500 + 600, "n").alias("end"))
+
+
+@_query(_SPANS + "SELECT doc_id, part, ord, overlap_start, overlap_end FROM met")
+def span_regions(spark: SparkSession, sf: str) -> DataFrame:
+    p = layout.position_blocks(_blocks(spark, sf))
+    return layout.span_regions(_spans(p), p).select("doc_id", F.col("span_id.part").alias("part"), "ord", "overlap_start", "overlap_end")
+
+
+@_query(_SPANS + """, lined AS (SELECT *, t - 6 AS c, row_number() OVER w AS rn, CASE WHEN t - 6 - lag(t - 6) OVER w > 48 THEN 1 ELSE 0 END AS fresh FROM met WINDOW w AS (PARTITION BY doc_id, part, page ORDER BY t, ord)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, part, page ORDER BY t, ord) AS k FROM lined),
+boxes AS (SELECT doc_id, part, page, k, count(*) AS n, max(r) AS r, max(t) AS t, min(t) - 12 AS b FROM g GROUP BY ALL)
+SELECT doc_id, part, page, n AS boxes, r, t, b FROM (SELECT *, max(n) OVER (PARTITION BY doc_id, part, page) AS m FROM boxes) WHERE n >= 2 OR n = m""")
+def merged_regions(spark: SparkSession, sf: str) -> DataFrame:
+    p = layout.position_blocks(_blocks(spark, sf))
+    met = layout.span_regions(_spans(p), p).join(p.select("doc_id", "ord", "page", "bbox"), ["doc_id", "ord"])
+    return layout.merge_regions(met).select("span_id.doc_id", "span_id.part", "page", "boxes", "r", "t", "b")
+
+
+@_query()
+def clipped_regions(spark: SparkSession, sf: str) -> DataFrame:
+    p = layout.position_blocks(_blocks(spark, sf))
+    return layout.clip_regions(layout.span_regions(_spans(p), p), p, layout.line_height(p)).select("span_id.*", "ord", "page", F.round("bbox.l", 4).alias("l"), F.round("bbox.r", 4).alias("r"))
+
+
+@_query(_LINES + """, o AS (SELECT *, lag(text) OVER w AS before FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+g AS (SELECT *, sum(CASE WHEN text = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM o),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n, row_number() OVER (PARTITION BY doc_id, run ORDER BY ord) AS i FROM g)
+SELECT doc_id, ord FROM k WHERE n < 3 OR i = 1""")
+def collapse_loops(spark: SparkSession, sf: str) -> DataFrame:
+    still = F.struct(*[F.lit(0.0).alias(c) for c in "ltrb"])
+    return layout.collapse_loops(_blocks(spark, sf).withColumn("bbox", still)).select("doc_id", "ord")
+
+
+_SITE = _LINES + ", site AS (SELECT d.source AS doc_id, b.doc_id AS page, b.ord, b.text FROM blocks b JOIN documents d USING (doc_id))"
+
+
+@_query(_SITE + """, pages AS (SELECT doc_id, count(DISTINCT page) AS n FROM site GROUP BY doc_id),
+often AS (SELECT doc_id, text, count(DISTINCT page) AS k FROM site GROUP BY ALL)
+SELECT s.doc_id AS source, count(*) AS lines FROM site s JOIN pages p USING (doc_id) JOIN often o ON o.doc_id = s.doc_id AND o.text = s.text WHERE NOT (n >= 3 AND k >= greatest(3, ceil(n / 2))) GROUP BY 1""")
+def lines_without_furniture(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of a source as the pages of one document; lines are compared by text alone."""
+    still = F.struct(*[F.lit(0.0).alias(c) for c in "ltrb"])
+    site = _blocks(spark, sf).join(_t(spark, sf, "documents").where("source IS NOT NULL").select("doc_id", "source"), "doc_id").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "ord", "text", still.alias("bbox"))
+    return layout.drop_furniture(site).groupBy(F.col("doc_id").alias("source")).agg(F.count("*").alias("lines"))
+
+
+@_query(_LINES + ", p AS (SELECT doc_id, count(*) AS n, count(DISTINCT text) AS d FROM blocks GROUP BY doc_id) SELECT doc_id, n >= 12 AND d / n < 0.6 AS degenerate FROM p")
+def degenerate_ocr(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.is_degenerate_ocr(_blocks(spark, sf))
+
+
+@_query("SELECT p_brand AS grid_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS row, p_name || ' │ Part · Size: ' || p_size || ' │ Part · Price: ' || p_type || CASE WHEN p_size > 40 THEN ' [red]' ELSE '' END AS line FROM part")
+def grid_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of each brand as a grid below two header rows, of which the first spans two columns."""
+    row = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) + 1
+    cell = lambda c, v, color=None: F.struct(F.lit(c).alias("col"), v.alias("text"), (color if color is not None else F.lit(None).cast("string")).alias("color"))
+    parts = _t(spark, sf, "part").withColumn("row", row.cast("int")).select(F.col("p_brand").alias("grid_id"), "row", F.lit(False).alias("header"), F.explode(F.array(cell(0, F.col("p_name")), cell(1, F.col("p_size").cast("string")), cell(2, F.col("p_type"), F.when(F.col("p_size") > 40, "red")))).alias("c"))
+    heads = F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(t).alias("text")) for r, c, t in ((0, 0, "Name"), (0, 1, "Part"), (1, 1, "Size"), (1, 2, "Price"))])
+    top = _t(spark, sf, "part").select(F.col("p_brand").alias("grid_id")).distinct().select("grid_id", F.explode(heads).alias("h")).select("grid_id", "h.row", F.lit(True).alias("header"), F.struct("h.col", "h.text", F.lit(None).cast("string").alias("color")).alias("c"))
+    cells = parts.unionByName(top).select("grid_id", "row", "header", "c.*")
+    return layout.describe_grid(cells).select("grid_id", (F.col("row") - 1).cast("int").alias("row"), "line")
+
+
+_SEGMENTS = _LINES + """, k AS (SELECT *, span_start + length(text) AS span_end, kind = 'table' AS is_table, lead(kind) OVER w AS nx, lag(kind) OVER w AS pv, lag(text) OVER w AS pt FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+u AS (SELECT *, CASE WHEN is_table AND pv = 'caption' THEN pt END AS caption FROM k WHERE NOT (kind = 'caption' AND coalesce(nx, '') = 'table')),
+f AS (SELECT *, CASE WHEN lag(is_table) OVER w IS NULL OR is_table <> lag(is_table) OVER w OR caption IS NOT NULL THEN 1 ELSE 0 END AS fresh FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+seg AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc_id ORDER BY ord) AS INTEGER) AS segment FROM f)"""
+
+
+@_query(_SEGMENTS + "SELECT doc_id, ord, is_table, caption IS NOT NULL AS captioned, segment FROM seg")
+def segmentize(spark: SparkSession, sf: str) -> DataFrame:
+    s = chunking.segmentize(layout.position_blocks(_blocks(spark, sf)))
+    return s.select("doc_id", "ord", "is_table", F.col("caption").isNotNull().alias("captioned"), "segment")
+
+
+@_query(_SEGMENTS + """, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, segment ORDER BY ord) - 1 AS part, first_value(text) OVER (PARTITION BY doc_id, segment ORDER BY ord) AS head, max(caption) OVER (PARTITION BY doc_id, segment) AS cap FROM seg WHERE is_table),
+c AS (SELECT doc_id, segment, 0 AS part, min(span_start) AS span_start, max(span_end) AS span_end, concat_ws(chr(10), max(cap), string_agg(text, chr(10) ORDER BY ord)) AS text FROM t GROUP BY doc_id, segment
+UNION ALL SELECT doc_id, segment, part, span_start, span_end, concat_ws(chr(10), cap, head, text) FROM t WHERE part > 0)
+SELECT doc_id, segment, CAST(part AS INTEGER) AS part, span_start, span_end, sha256(text) AS checksum FROM c""")
+def table_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunking.table_chunks(chunking.segmentize(layout.position_blocks(_blocks(spark, sf))))
+    return c.select("doc_id", "segment", "part", "span_start", "span_end", F.sha2("text", 256).alias("checksum"))
+
+
+@_query(_LINES + "SELECT doc_id, ord, sha256(text) AS checksum, lpad(lower(to_hex(ord)), 6, '0') AS rank FROM blocks")
+def structural_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.structural_chunks(layout.position_blocks(_blocks(spark, sf))).select("doc_id", "ord", "checksum", "rank")
+
+
+@_query("""SELECT doc_id, CAST(j AS INTEGER) AS ord, CAST(j * 280 AS BIGINT) AS span_start, CAST(least(j * 280 + 400, length(text)) AS BIGINT) AS span_end, substr(text, CAST(j * 280 + 1 AS BIGINT), 400) AS text
+FROM documents, LATERAL (SELECT unnest(range(0, greatest(0, length(text) - 121) // 280 + 1)) AS j) WHERE length(text) > 0""")
+def character_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.character_windows(_t(spark, sf, "documents"))
+
+
+@_query()
+def recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.split_texts(_t(spark, sf, "documents"), "recursive")
+
+
+@_query()
+def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.split_texts(_t(spark, sf, "documents"), "sentence")
+
+
+@_query()
+def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return html.html_blocks(_t(spark, sf, "pages"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+_BM25 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), lambda s: s <> '') AS ts FROM documents),
+st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d),
+p AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
+sc AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL),
+kw AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 20)
+"""
+
+
+@_query(_BM25 + "SELECT query_id, chunk_id, score, rank FROM kw")
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.bm25_topk(_chunks(spark, sf), _asked(spark, sf), 20)
+
+
+@_query("""
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+x AS (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) AS r(i) GROUP BY ALL),
+c AS (SELECT label AS query_id, list(m ORDER BY i) AS m FROM x GROUP BY label),
+s AS (SELECT query_id, vec_id AS chunk_id, round((1 + list_cosine_similarity(e, m)) / 2, 6) AS score FROM v, c)
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
+def knn_of_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors nearest to the mean of each label."""
+    v = _t(spark, sf, "embeddings")
+    mean = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    asked = mean.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda r: r["m"]).alias("vector"))
+    return retrieval.knn_topk(v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), asked, 10)
+
+
+_LEGS = (
+    _BM25
+    + """, sv AS (SELECT doc_id AS chunk_id, list_transform(range(0, 8), lambda i: ((length(text) + i) % 7) / 7.0::DOUBLE) AS v FROM documents),
+qv AS (SELECT item_id AS query_id, list_transform(range(0, 8), lambda i: ((length(text) + i) % 7) / 7.0::DOUBLE) AS v FROM benchmark),
+vs AS (SELECT query_id, chunk_id, round((1 + list_cosine_similarity(sv.v, qv.v)) / 2, 6) AS score FROM sv, qv),
+ve AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM vs QUALIFY rank <= 20),
+u AS (SELECT coalesce(ve.query_id, kw.query_id) AS query_id, coalesce(ve.chunk_id, kw.chunk_id) AS chunk_id, ve.score AS vs, ve.rank AS vr, kw.score AS ks, kw.rank AS kr FROM ve FULL JOIN kw ON ve.query_id = kw.query_id AND ve.chunk_id = kw.chunk_id),
+mm AS (SELECT *, min(coalesce(vs, 0)) OVER q AS vl, max(coalesce(vs, 0)) OVER q AS vh, min(coalesce(ks, 0)) OVER q AS kl, max(coalesce(ks, 0)) OVER q AS kh FROM u WINDOW q AS (PARTITION BY query_id)),
+nn AS (SELECT *, CASE WHEN vh = vl THEN 1.0 ELSE (coalesce(vs, 0) - vl) / (vh - vl) END * 1.4 AS a, CASE WHEN kh = kl THEN 1.0 ELSE (coalesce(ks, 0) - kl) / (kh - kl) END * 0.6 AS b FROM mm)
+"""
+)
+_FUSED = ", fz AS (SELECT *, round(CAST({how} AS DOUBLE), 6) AS fused FROM nn) SELECT query_id, chunk_id, vs AS vector_score, vr AS vector_rank, ks AS bm25_score, kr AS bm25_rank, fused, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vr NULLS LAST, kr NULLS LAST, chunk_id) AS INTEGER) AS fused_rank FROM fz"
+_HOW = {
+    "arithmetic_mean": "(a + b) / 2",
+    "geometric_mean": "sqrt(greatest(a * b, 0))",
+    "harmonic_mean": "CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END",
+    "reciprocal_rank_fusion": "0.7 / (60 + coalesce(vr, 40)) + 0.3 / (60 + coalesce(kr, 40))",
+}
+
+
+def _fusion(technique: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        chunks, asked = _chunks(spark, sf), _asked(spark, sf)
+        return retrieval.fuse(retrieval.knn_topk(chunks, asked), retrieval.bm25_topk(chunks, asked), technique)
+
+    return run
+
+
+for _technique, _how in _HOW.items():
+    QUERIES[f"fuse_{_technique}"] = _fusion(_technique)
+    ORACLE[f"fuse_{_technique}"] = _LEGS + _FUSED.format(how=_how)
+
+
+@_query(_LEGS + _FUSED.format(how="(a + b) / 2").replace("AS fused_rank FROM fz", "AS final_rank FROM fz"))
+def retrieve_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    found = retrieval.retrieve(_chunks(spark, sf), _asked(spark, sf), near_duplicates=False)
+    return found.select("query_id", "chunk_id", "vector_score", "vector_rank", "bm25_score", "bm25_rank", "fused", "final_rank")
+
+
+@_query()
+def retrieve_without_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.retrieve(_chunks(spark, sf), _asked(spark, sf)).drop("chunk_text")
+
+
+_MIDDLE = "CASE WHEN (rank - 1) % 2 = 0 THEN (rank - 1) // 2 ELSE count(*) OVER (PARTITION BY query_id) - 1 - (rank - 2) // 2 END"
+
+
+@_query(_BM25 + f"SELECT query_id, chunk_id, CAST({_MIDDLE} AS INTEGER) AS position FROM kw")
+def lost_in_the_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.lost_in_the_middle(bm25_topk(spark, sf), "query_id", "rank").select("query_id", "chunk_id", "position")
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25_topk(spark, sf).join(_chunks(spark, sf), "chunk_id")
+
+
+@_query()
+def diversified(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.maximal_marginal_relevance(_hits(spark, sf).select("query_id", "chunk_id", F.col("rank").alias("ord"), "score", "text")).select("query_id", "chunk_id", "mmr_rank")
+
+
+@_query(_BM25 + """, c AS (SELECT query_id, chunk_id, chunk_id % 50 AS parent_id, score FROM kw), g AS (SELECT *, count(*) OVER (PARTITION BY query_id, parent_id) / 4 >= 0.5 AS m FROM c)
+SELECT query_id, chunk_id, score, 0 AS merged FROM g WHERE NOT m UNION ALL SELECT query_id, parent_id, max(score), CAST(count(*) AS INTEGER) FROM g WHERE m GROUP BY query_id, parent_id""")
+def auto_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Parents of the documents of equal remainder, each said to have four children."""
+    children = _hits(spark, sf).select("query_id", "chunk_id", (F.col("chunk_id") % 50).alias("parent_id"), "score", "text")
+    parents = _t(spark, sf, "documents").select((F.col("doc_id") % 50).alias("chunk_id")).distinct().select("chunk_id", F.lit(4).alias("child_count"), F.lit("p").alias("text"))
+    return retrieval.auto_merge(children, parents).select("query_id", "chunk_id", "score", "merged")
+
+
+_WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda s: s <> ''))"
+
+
+@_query(_BM25 + f", s AS (SELECT query_id, chunk_id, rank, {_WORDS} AS cost FROM kw JOIN documents ON doc_id = chunk_id), c AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM s) SELECT query_id, CAST(sum(cost) AS BIGINT) AS context_tokens, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS included FROM c WHERE rank = 1 OR total <= 2000 GROUP BY query_id")
+def assemble_context(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.assemble_context(_hits(spark, sf).select("query_id", F.col("rank").alias("ord"), "chunk_id", "text"), 2000).select("query_id", "context_tokens", "included")
+
+
+@_query(_BM25 + f""", h AS (SELECT query_id, chunk_id, (rank - 1) % 3 AS hop, rank // 3 AS idx, rank FROM kw), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idx, hop) AS o FROM h),
+s AS (SELECT query_id, chunk_id, o, {_WORDS} AS cost FROM r JOIN documents ON doc_id = chunk_id), c AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY o) AS total FROM s)
+SELECT query_id, CAST(sum(cost) AS BIGINT) AS context_tokens, string_agg(chunk_id::VARCHAR, ',' ORDER BY o) AS included FROM c WHERE o = 1 OR total <= 2000 GROUP BY query_id""")
+def assemble_hops(spark: SparkSession, sf: str) -> DataFrame:
+    hops = _hits(spark, sf).select("query_id", ((F.col("rank") - 1) % 3).alias("hop"), F.floor(F.col("rank") / 3).alias("idx"), "chunk_id", "text")
+    return retrieval.assemble_hops(hops, 2000).select("query_id", "context_tokens", "included")
+
+
+@_query(_BM25 + "SELECT item_id AS query_id, CAST(min(rank) AS INTEGER) AS gold_rank FROM benchmark b LEFT JOIN (SELECT kw.*, text AS passage FROM kw JOIN documents ON doc_id = chunk_id) h ON h.query_id = b.item_id AND contains(passage, b.text) GROUP BY item_id")
+def gold_rank(spark: SparkSession, sf: str) -> DataFrame:
+    gold = _asked(spark, sf).select("query_id", F.col("text").alias("gold"))
+    return runs.gold_rank(_hits(spark, sf).select("query_id", F.col("rank").alias("final_rank"), F.col("text").alias("chunk_text")), gold)
+
+
+# ---------------------------------------------------------------- index, graph, runs
+
+
+@_query(_IDX + "SELECT chunk_id, owner FROM idx WHERE enabled AND set_id IN (SELECT min(source) FROM documents UNION ALL SELECT max(source) FROM documents) AND owner = 'en'")
+def scoped_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    index = _index(spark, sf)
+    ends = index.agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).first()
+    return retrieval.in_scope(index, list(ends), "en").select("chunk_id", "owner")
+
+
+@_query(_IDX + "SELECT set_id, count(*) AS n FROM idx GROUP BY set_id")
+def searchable_count(spark: SparkSession, sf: str) -> DataFrame:
+    return store.searchable_count(_index(spark, sf))
+
+
+@_query(_IDX + "SELECT chunk_id, set_id, document_id, CASE WHEN chunk_id[2:]::BIGINT % 3 = 0 THEN 'new' ELSE owner END AS owner FROM idx WHERE chunk_id[2:]::BIGINT % 3 <> 1")
+def index_upsert_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the index written anew, another third deleted."""
+    index = _index(spark, sf)
+    number = F.substring("chunk_id", 2, 20).cast("bigint")
+    fresh = index.where(number % 3 == 0).withColumn("owner", F.lit("new"))
+    return store.delete_ids(store.upsert(index, fresh), index.where(number % 3 == 1)).select("chunk_id", "set_id", "document_id", "owner")
+
+
+@_query(_IDX + "SELECT chunk_id, set_id, document_id, owner FROM idx UNION ALL SELECT chunk_id || 'x', coalesce(set_id, set_id), CASE WHEN document_id[2:]::BIGINT % 2 = 0 THEN document_id || 'y' ELSE document_id END, 'copy' FROM idx WHERE owner = 'en' AND chunk_id[2:]::BIGINT % 3 <> 0")
+def reindex_clone(spark: SparkSession, sf: str) -> DataFrame:
+    index = _index(spark, sf)
+    number = lambda c: F.substring(c, 2, 20).cast("bigint")
+    chunks = index.where(number("chunk_id") % 3 != 0).select(F.col("chunk_id").alias("old"), F.concat("chunk_id", F.lit("x")).alias("new"))
+    documents = index.where(number("document_id") % 2 == 0).select(F.col("document_id").alias("old"), F.concat("document_id", F.lit("y")).alias("new"))
+    none = documents.where("false")
+    return store.clone(index, "en", "copy", chunks, none, documents).select("chunk_id", "set_id", "document_id", "owner")
+
+
+@_query(r"""WITH m AS (SELECT o_orderkey AS chunk_id, o_orderpriority AS name, trim(regexp_replace(regexp_replace(lower(o_orderpriority), '[^\p{L}\p{N}\s_]+', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM orders)
+SELECT key, min(name) AS name, count(*) AS mentions, count(DISTINCT chunk_id) AS chunks FROM m WHERE key <> '' GROUP BY key""")
+def entities(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.dedupe_entities(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("name"), F.lit("priority").alias("type")))
+
+
+_CHAINS = "WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 10 <> 0), m AS (SELECT k AS member FROM p UNION SELECT k + 1 FROM p), c AS (SELECT member, ((member - 1) // 10) * 10 + 1 AS low FROM m)"
+
+
+@_query(_CHAINS + " SELECT member, CAST(greatest(low, (SELECT min(member) FROM c)) AS BIGINT) AS community FROM c")
+def communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of ten consecutive parts."""
+    return graph.communities(_t(spark, sf, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("source"), (F.col("p_partkey") + 1).alias("target")))
+
+
+@_query(_CHAINS + ", g AS (SELECT member, greatest(low, (SELECT min(member) FROM c)) AS community FROM c) SELECT CAST(community AS BIGINT) AS community, count(*) AS size, string_agg(member::VARCHAR, ', ' ORDER BY member::VARCHAR) AS members FROM g GROUP BY 1")
+def community_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.community_sizes(communities(spark, sf))
+
+
+@_query("SELECT false AS degenerate")
+def communities_degenerate(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.is_degenerate(communities(spark, sf))
+
+
+@_query("""WITH h AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
+SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM h WHERE k <= 6 GROUP BY conv_id""")
+def contextualized_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.contextualize(_t(spark, sf, "conversations"))
+
+
+@_query("SELECT event_type AS model, round(sum(CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 100 * 0.5 + event_id % 7 * 2.0 END), 4) AS cost FROM events GROUP BY 1")
+def stage_costs(spark: SparkSession, sf: str) -> DataFrame:
+    m = _t(spark, sf, "events").select(F.col("event_type").alias("model"), F.when(F.col("event_id") % 4 == 0, "free").otherwise("metered").alias("billing_mode"), (F.col("event_id") % 100).alias("input_tokens"), (F.col("event_id") % 7).alias("output_tokens"))
+    prices = m.select("model").distinct().select("model", F.lit(0.5).alias("input_price"), F.lit(2.0).alias("output_price"))
+    return runs.cost_of(m, prices).groupBy("model").agg(F.round(F.sum("cost"), 4).alias("cost"))
+
+
+@_query("SELECT avg(CASE WHEN contains(d.text, b.text) THEN 1.0 ELSE 0.0 END) AS grounded, count(*) AS answers FROM documents d, benchmark b")
+def graded_answers(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _t(spark, sf, "documents").select(F.col("text").alias("answer")).crossJoin(_t(spark, sf, "benchmark").select(F.col("text").alias("expect"), F.lit("").alias("reject")))
+    return runs.grade(pairs).agg(F.avg(F.col("grounded").cast("double")).alias("grounded"), F.count("*").alias("answers"))
+
+
+@_query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of the streaming ingest, over the whole table."""
+    return ingest.event_counts(_t(spark, sf, "events"))
+
+
+@_query("SELECT p_partkey AS id, CASE WHEN p_size BETWEEN 1 AND 20 THEN 'low' ELSE NULL END AS label FROM part")
+def legend_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts coloured by size, against a legend of one entry that reaches ten steps either way."""
+    colors = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 5).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+    legend = spark.range(1).select(F.lit("low").alias("label"), F.lit(50).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+    return pixels.nearest_label(colors, legend).select("id", "label")
