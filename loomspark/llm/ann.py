@@ -28,9 +28,9 @@ class AnnParams:
     list_size: int = 256
     #: Lists that hold a vector besides its own, if their centroid is within closure times the nearest's distance.
     replicas: int = 6
-    closure: float = 1.12
+    closure: float = 1.3
     #: Lists scanned: those whose centroid is within prune times the distance of the nearest.
-    prune: float = 1.1
+    prune: float = 1.5
     beam: int = 64
     degree: int = 16
     #: Vectors that a cell aims at: it is clustered, and its lists scanned, by one task.
@@ -238,7 +238,8 @@ def _scan(dim: int, k: int):
                 best_d[qs], best_i[qs] = d[r, top], np.where(np.isfinite(d[r, top]), i[r, top], -1)
         good = best_i >= 0
         some = good.any(1)
-        return pd.DataFrame({"q": qid[some], "ids": [i[g] for i, g in zip(best_i[some], good[some])], "ds": [d[g] for d, g in zip(best_d[some], good[some])]})
+        kept = lambda best: pd.Series([b[g] for b, g in zip(best[some], good[some])], dtype="object")
+        return pd.DataFrame({"q": qid[some], "ids": kept(best_i), "ds": kept(best_d)})
 
     return run
 
