@@ -46,6 +46,11 @@ _DIGIT = re.compile(r"\d")
 _SECRET_HEAD = re.compile(r"(\w+\s*[=:]\s*\"?|AKIA|ASIA|gh[pousr]_|sk-)", re.IGNORECASE)
 
 
+#: From this attempt on a surrogate is a character longer each time: so many short entities may exist that their shape
+#: has no value left that none of them has.
+WIDEN_AFTER = 5
+
+
 @dataclass(frozen=True)
 class PiiParams:
     key: str = "loomspark-demo-key"  # a deployment passes its own
@@ -163,8 +168,10 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     and keeps its first digit, an address its kind of network, a phone its country code, a name its gender and script."""
     k = hashlib.blake2b(key.encode(), digest_size=32).digest()
     tweak = f"{kind}|{attempt}"
+    more = max(0, attempt - WIDEN_AFTER)
     if kind == "email":
         local, _, domain = value.partition("@")
+        local += "x" * more
         body, _, top = domain.rpartition(".")
         own = (_DIGITS, _LOWER)
         return f"{_by_class(k, tweak, local, own)}@{_by_class(k, 'domain', body, own)}.{top}"
@@ -188,10 +195,12 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
             if kept or private(out) == same:
                 return ".".join(map(str, out))
     if kind == "secret":
+        value += "0" * more
         hexed = re.fullmatch(r"[0-9a-f]+", value)
         return _by_class(k, tweak, value, ("0123456789abcdef",) if hexed else (_DIGITS, _LOWER, _UPPER))
     words = value.split()
     script, gender = _GIVEN_OF.get(words[0], (_script(words[0]), ""))
+    words[-1] += "".join(LETTERS[script][i % 2][0] for i in range(more)) if not (gender and len(words) == 1) else ""
     out = []
     for i, word in enumerate(words):
         if i == 0 and gender:
@@ -234,7 +243,7 @@ def _dress(kind: str, original: str, new: str) -> str:
         digits = iter(re.sub(r"\D", "", new))
         return "".join(next(digits) if ch.isdigit() else ch for ch in original)
     if kind == "email" and original != original.lower():
-        return new.upper() if original == original.upper() else "".join(n.upper() if o.isupper() else n for o, n in zip(original, new))
+        return new.upper() if original == original.upper() else "".join(n.upper() if o.isupper() else n for o, n in zip(original, new)) + new[len(original) :]
     if kind == "secret":
         head, _, tail = _secret_parts(original)
         return head + new + tail
