@@ -27,6 +27,9 @@ class ToxicityParams:
     #: A feature must occur in this share of the rows of a class (in 3 rows at least) and have a ratio beyond the floor.
     min_share: float = 0.0125
     ratio_floor: float = 0.5
+    #: What a clean text taken for toxic costs in choosing the threshold, against a toxic one missed: clean texts are
+    #: the many, and labels of toxic ones the noisier.
+    false_positive_cost: float = 8.0
     seed: int = 11
 
 
@@ -78,7 +81,7 @@ def fit(texts: list[str], toxic: np.ndarray, params: ToxicityParams = ToxicityPa
     # rows below the k-th cut are clean
     missed = np.concatenate([[0], np.cumsum(yh[order])]) / max(yh.sum(), 1)
     wrong = 1 - np.concatenate([[0], np.cumsum(1 - yh[order])]) / max((1 - yh).sum(), 1)
-    cost = missed + 2 * wrong
+    cost = missed + params.false_positive_cost * wrong
     best = np.flatnonzero(cost == cost.min())
     at = best[len(best) // 2]
     return ToxicityModel(weights, bias, float(cuts[at]), grams, float(1 - missed[at]), float(wrong[at]))
