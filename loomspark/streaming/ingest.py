@@ -16,4 +16,7 @@ def once(stream: DataFrame, time: str = "ts", within: str = "1 hour") -> DataFra
 
 def event_counts(stream: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(event_type, hour, n, total) of events (ts, event_type, value), for a stream or a table alike."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("hour"), "n", "total")
+    kind = dict(stream.dtypes)["ts"]  # event time must be a timestamp with a zone; the result is what came in
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counts = timed.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return counts.select("event_type", F.col("w.start").cast(kind).alias("hour"), "n", "total")
