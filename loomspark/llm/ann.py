@@ -1,5 +1,5 @@
 """Approximate nearest neighbours by balanced posting lists: boundary vectors are replicated to several lists, centroids
-are searched by an in-memory graph, and a distance-ratio rule selects the lists to scan.
+are searched by an in-memory graph, and a distance-ratio rule selects the lists to scan, however many they are.
 
 Vectors are dealt to cells by coarse centroids; a cell is cut, by bisection with bounded imbalance, into lists of at
 most list_size. The centroids of all lists and a neighbour graph over them are what a task holds in memory: their size
@@ -31,6 +31,7 @@ class AnnParams:
     closure: float = 1.3
     #: Lists scanned: those whose centroid is within prune times the distance of the nearest.
     prune: float = 1.5
+    #: Width at which a search of centroids begins; it grows until its last list lies outside prune.
     beam: int = 64
     degree: int = 16
     #: Vectors that a cell aims at: it is clustered, and its lists scanned, by one task.
@@ -125,6 +126,32 @@ class CentroidGraph:
         order = np.argsort(dist, axis=1, kind="stable")
         return ids[row, order], np.sqrt(np.maximum(dist[row, order], 0))
 
+    def within(self, q: np.ndarray, beam: int, prune: float) -> list[np.ndarray]:
+        """For each row of q the lists within prune times the distance of the nearest: a beam whose last entry is still
+        within is widened, and once walking costs more than looking at every centroid, all are looked at."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        todo = np.arange(len(q))
+        while len(todo) and beam < len(self.c) and beam * beam < 16 * len(self.c):
+            open_ = []
+            step = max(1, (1 << 16) // beam)  # rows at a time, for memory
+            for at in range(0, len(todo), step):
+                rows = todo[at : at + step]
+                ids, dist = self.search(q[rows], beam)
+                near = (ids >= 0) & (dist <= prune * dist[:, :1] + 1e-6)
+                for i, r in enumerate(rows):
+                    out[r] = ids[i, near[i]]
+                open_.append(rows[near[:, -1] | (ids[:, -1] < 0)])
+            todo, beam = np.concatenate(open_), beam * 4
+        step = max(1, (1 << 22) // len(self.c))
+        for at in range(0, len(todo), step):
+            rows = todo[at : at + step]
+            square = self.norm - 2 * (q[rows] @ self.c.T) + (q[rows] * q[rows]).sum(1)[:, None]
+            dist = np.sqrt(np.maximum(square, 0))
+            near = dist <= prune * dist.min(1, keepdims=True) + 1e-6
+            for i, r in enumerate(rows):
+                out[r] = np.flatnonzero(near[i])
+        return out
+
     def replicas(self, ids: np.ndarray, dist: np.ndarray, most: int, closure: float) -> np.ndarray:
         """Which found lists hold the vector: the nearest, and up to most others within closure of its distance."""
         place = np.arange(ids.shape[1])
@@ -278,10 +305,7 @@ def _search(base: DataFrame, index: DataFrame, n: int, dim: int, params: AnnPara
             x = _floats(b.column(1), dim)
             rows, to, chosen = [], [], []
             for at in range(0, len(x), 1024):
-                found, dist = graph.search(x[at : at + 1024], params.beam)
-                near = (found >= 0) & (dist <= params.prune * dist[:, :1] + 1e-6)
-                for i, (f, m) in enumerate(zip(found, near)):
-                    f = f[m]
+                for i, f in enumerate(graph.within(x[at : at + 1024], params.beam, params.prune)):
                     for c in np.unique(cells[f]):
                         rows.append(at + i)
                         to.append(c)

@@ -34,6 +34,31 @@ def test_ann_recall_against_brute_force(spark):
     assert sum(len({n for n, _ in got[i]} & set(want[i].tolist())) for i in range(1500)) / 7500 >= 0.9
 
 
+def test_ann_scans_what_the_ratio_selects(spark):
+    x = np.random.default_rng(4).normal(size=(2500, 48)).astype(np.float32)
+    params = ann.AnnParams(k=5, list_size=16, replicas=2, beam=8, cell_rows=800)
+    got = _found(ann.neighbours(spark.createDataFrame(_rows(x), VECTORS), params))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert sum(len({n for n, _ in got[i]} & set(want[i].tolist())) for i in range(2500)) / 12500 >= 0.95
+
+
+def test_ann_ratio_selects_against_brute_force():
+    rng = np.random.default_rng(5)
+    c = (rng.normal(size=(40, 1, 12)) * 4 + rng.normal(size=(40, 30, 12))).reshape(-1, 12).astype(np.float32)
+    d = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1))
+    graph = ann.CentroidGraph(c, np.argsort(d, axis=1)[:, 1:17])
+    q = c[::17] + rng.normal(size=(len(c[::17]), 12)).astype(np.float32)
+    far = np.sqrt(((q[:, None] - c[None]) ** 2).sum(-1))
+    for prune in (1.05, 1.5, 4.0, 50.0):
+        want = [set(np.flatnonzero(f <= prune * f.min())) for f in far]
+        got = [set(g.tolist()) for g in graph.within(q, 8, prune)]
+        assert sum(len(g & w) for g, w in zip(got, want)) >= 0.98 * sum(map(len, want))
+    assert all(len(w) == len(c) for w in want) and got == want
+
+
 def test_ann_several_indexes_find_the_same(spark):
     x = np.random.default_rng(2).normal(size=(300, 8)).astype(np.float32)
     df = spark.createDataFrame(_rows(x), VECTORS)
