@@ -111,6 +111,20 @@ def test_simhash_groups_against_brute_force(spark):
     assert pairs(got) <= pairs(want) and len(pairs(got)) >= 0.95 * len(pairs(want)) > 50
 
 
+def test_simhash_recall_by_distance():
+    rng = np.random.default_rng(12)
+    params = simhash_dedup.SimHashParams()
+    bits = rng.integers(0, 2, (600, simhash_dedup.BITS), dtype=np.uint8)
+    for d in (8, 16, 19, 21, 22):
+        other = bits.copy()
+        for row in other:
+            row[rng.permutation(simhash_dedup.BITS)[:d]] ^= 1
+        met = np.zeros(len(bits), bool)
+        for at in params.positions():
+            met |= (bits[:, at] == other[:, at]).all(1)
+        assert met.mean() >= 0.92, d
+
+
 def test_bk_tree_finds_what_brute_force_finds():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 2**63, (300, 2), dtype=np.int64).view(np.uint64)
