@@ -1,7 +1,9 @@
 """Mixing sources to target weights: exact block quotas, split among output shards by a multivariate-hypergeometric tree.
 
 Every source is cut into blocks of block_rows rows. Its quota of blocks follows from the target weights, by largest
-remainders; the total is the largest for which no source has to give more blocks than it has. Shards form a binary
+remainders. Given weights are kept exactly, so the total is the largest for which no source has to give more blocks than
+it has; a given total, or without weights all blocks, is met instead by what the others have where a source runs short.
+Shards form a binary
 tree: at each node the blocks of its subtree are split between its two sides by a draw from the multivariate
 hypergeometric distribution over sources, so the quotas stay exact and every shard gets its number of blocks. A shard
 takes, of each source, the next blocks of a keyed permutation, and shuffles its rows by a keyed hash.
@@ -27,6 +29,8 @@ class MixingParams:
     #: Weight of each source; None: row counts to the power of temperature, the usual smoothing of a natural mix.
     weights: tuple[tuple[str, float], ...] | None = None
     temperature: float = 0.7
+    #: Blocks of the mix. None: as many as keep given weights exact, and all there are where no weights are given.
+    total: int | None = None
     block_rows: int = 16
     #: Blocks that a shard aims at.
     shard_blocks: int = 256
@@ -35,15 +39,26 @@ class MixingParams:
     seed: int = 17
 
 
-def quotas(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
+def quotas(blocks: dict[str, int], weights: dict[str, float], most: int | None = None) -> dict[str, int]:
     """Blocks of each source: weights scaled by the largest total that all sources can meet, rounded by largest
-    remainders (ties by name), never beyond what a source has. Sources of weight 0, or without one, give none."""
+    remainders (ties by name), never beyond what a source has. Sources of weight 0, or without one, give none.
+
+    With most, the total is that, or all blocks of the sources with a weight if they are fewer: a source that falls
+    short gives all it has, and the others share the rest by weight."""
     live = {s: weights.get(s, 0.0) for s, n in blocks.items() if n > 0 and weights.get(s, 0.0) > 0}
     if not live:
         return dict.fromkeys(blocks, 0)
     whole = sum(live.values())
     total = min(blocks[s] / (w / whole) for s, w in live.items())
     exact = {s: total * w / whole for s, w in live.items()}
+    if most is not None:
+        total = min(most, sum(blocks[s] for s in live))
+        rest, free = float(total), whole
+        for s in sorted(live, key=lambda s: (blocks[s] / live[s], s)):  # the scarcest for its weight first
+            exact[s] = min(blocks[s], rest * live[s] / free)
+            rest, free = rest - exact[s], free - live[s]
+            if free <= 0:
+                break
     out = {s: min(int(x + 1e-9), blocks[s]) for s, x in exact.items()}
     spare = int(total + 1e-9) - sum(out.values())
     for s in sorted(live, key=lambda s: (-(exact[s] - out[s]), s)):
@@ -142,7 +157,8 @@ def assign(docs: DataFrame, params: MixingParams = MixingParams()) -> DataFrame:
     rows = {r["_source"]: r["n"] for r in ids.groupBy("_source").agg(F.count("*").alias("n")).collect()}  # one row a source
     blocks = {s: -(-n // params.block_rows) for s, n in rows.items()}
     weights = dict(params.weights) if params.weights is not None else {s: n**params.temperature for s, n in rows.items()}
-    chosen = plan(spark, blocks, quotas(blocks, weights), params)
+    most = sum(blocks.values()) if params.total is None and params.weights is None else params.total
+    chosen = plan(spark, blocks, quotas(blocks, weights, most), params)
     ranked = _ranked(ids, params).withColumn("_block", F.floor(F.col("_rank") / params.block_rows))
     taken = ranked.join(chosen, ["_source", "_block"])
     order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(params.seed + 1), "shard", "_id", "_source"), "_id", "_source")
@@ -150,10 +166,21 @@ def assign(docs: DataFrame, params: MixingParams = MixingParams()) -> DataFrame:
 
 
 def mix(docs: DataFrame, params: MixingParams = MixingParams()) -> DataFrame:
-    """The rows of docs that the mix takes, columns as they are, laid out by shard in shuffled order."""
+    """The rows of docs that the mix takes, columns as they are, laid out by shard in shuffled order.
+
+    Where neither weights nor a total leave rows out, those with a null doc_id stay too, after the shards."""
     where = assign(docs, params).select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("shard").alias("_mix_shard"), F.col("position").alias("_mix_position"))
     joined = docs.join(where, (docs["doc_id"] == where["_mix_id"]) & (F.coalesce(docs["source"], F.lit("")) == where["_mix_source"]))
-    return joined.repartition("_mix_shard").sortWithinPartitions("_mix_shard", "_mix_position").drop("_mix_id", "_mix_source", "_mix_shard", "_mix_position")
+    out = joined.repartition("_mix_shard").sortWithinPartitions("_mix_shard", "_mix_position").drop("_mix_id", "_mix_source", "_mix_shard", "_mix_position")
+    return out.unionByName(docs.where("doc_id IS NULL")) if params.weights is None and params.total is None else out
+
+
+def report(docs: DataFrame, params: MixingParams = MixingParams()) -> DataFrame:
+    """(source, rows_in, rows_out): distinct (doc_id, source) of non-null doc_id, and how many of them the mix takes."""
+    source = F.coalesce(F.col("source"), F.lit("")).alias("source")
+    have = docs.where("doc_id IS NOT NULL").select("doc_id", source).distinct().groupBy("source").agg(F.count("*").alias("rows_in"))
+    taken = assign(docs, params).groupBy("source").agg(F.count("*").alias("rows_out"))
+    return have.join(taken, "source", "left").select("source", "rows_in", F.coalesce("rows_out", F.lit(0)).alias("rows_out"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

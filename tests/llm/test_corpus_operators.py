@@ -193,6 +193,17 @@ def test_split_is_hypergeometric():
     assert (draws.sum(1) == 20).all() and abs(draws[:, 0].mean() - 15) < 0.15 and abs(draws[:, 0].var() - 20 * 0.75 * 0.25 * 20 / 39) < 0.25
 
 
+def test_mixing_isnt_shrunk_by_a_tiny_source(spark):
+    rows = [(i, "t", "big") for i in range(4000)] + [(9000 + i, "t", "tiny") for i in range(16)] + [(None, "t", "big")]
+    docs = _docs(spark, rows)
+    assert {tuple(r) for r in mixing.report(docs).collect()} == {("big", 4000, 4000), ("tiny", 16, 16)}
+    assert sorted(r["doc_id"] or 0 for r in mixing.mix(docs).collect()) == sorted(r[0] or 0 for r in rows)
+    some = {r["source"]: r["rows_out"] for r in mixing.report(docs, mixing.MixingParams(total=100)).collect()}
+    assert sum(some.values()) == 1600 and some["tiny"] == 16
+    assert mixing.quotas({"a": 62500, "b": 1}, {"a": 0.5, "b": 0.5}, 1000) == {"a": 999, "b": 1}
+    assert mixing.quotas({"a": 62500, "b": 1}, {"a": 0.5, "b": 0.5}) == {"a": 1, "b": 1}
+
+
 def test_mixing_edges(spark):
     docs = _docs(spark, [(None, "t", "a"), (1, "t", None), (1, "t", None), (2, None, "b"), (3, "", "b")])
     got = mixing.assign(docs, mixing.MixingParams(block_rows=1)).collect()
