@@ -46,15 +46,16 @@ _DIGIT = re.compile(r"\d")
 _SECRET_HEAD = re.compile(r"(\w+\s*[=:]\s*\"?|AKIA|ASIA|gh[pousr]_|sk-)", re.IGNORECASE)
 
 
-#: From this attempt on a surrogate is a character longer each time: so many short entities may exist that their shape
-#: has no value left that none of them has.
+#: Beyond this attempt surrogates come from a wider range, as so many short entities may exist that their shape has no
+#: value left that none of them has: emails, secrets and surnames grow by a character each time, a given name alone gets
+#: a growing surname, a private address may lie in any private network, and phones and cards keep no leading digits.
 WIDEN_AFTER = 5
 
 
 @dataclass(frozen=True)
 class PiiParams:
     key: str = "loomspark-demo-key"  # a deployment passes its own
-    #: Tries of a colliding entity. Chances of needing k fall as (entities / values of the shape) ** k.
+    #: Rounds that may leave no fewer collisions than before; after that it is an error. Rounds that help aren't counted.
     attempts: int = 16
 
 
@@ -176,16 +177,20 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
         own = (_DIGITS, _LOWER)
         return f"{_by_class(k, tweak, local, own)}@{_by_class(k, 'domain', body, own)}.{top}"
     if kind == "phone":
-        fixed = len(value) - 10 if len(value) > 10 else min(3, len(value) // 3)
+        fixed = int(value[0] == "+") if more else len(value) - 10 if len(value) > 10 else min(3, len(value) // 3)
         rest, size = value[fixed:], 10 ** (len(value) - fixed)
         plain = lambda s: len(s) != 10 or (s[0] in "23456789" and s[3] in "23456789")
         return value[:fixed] + _walk(k, tweak + value[:fixed], rest, size, plain)
     if kind == "card":
         good = luhn(value)
-        return value[0] + _walk(k, tweak + value[0] + str(good), value[1:], 10 ** (len(value) - 1), lambda s: luhn(value[0] + s) == good)
+        head = "" if more else value[0]
+        rest = value[len(head) :]
+        return head + _walk(k, tweak + head + str(good), rest, 10 ** len(rest), lambda s: luhn(head + s) == good)
     if kind == "ip":
         octets = [int(p) for p in value.split(".")]
         kept = 1 if octets[0] in (10, 127) else 2 if octets[:2] == [192, 168] or (octets[0] == 172 and 16 <= octets[1] < 32) else 0
+        if more and kept and octets[0] != 127:
+            return _private(permute(k, tweak, _place(octets), sum(n for _, n in PRIVATE)))
         n = int.from_bytes(bytes(octets[kept:]), "big")
         private = lambda o: o[0] in (0, 10, 127) or o[0] >= 224 or o[:2] == [192, 168] or (o[0] == 172 and 16 <= o[1] < 32)
         same = private(octets)
@@ -200,7 +205,10 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
         return _by_class(k, tweak, value, ("0123456789abcdef",) if hexed else (_DIGITS, _LOWER, _UPPER))
     words = value.split()
     script, gender = _GIVEN_OF.get(words[0], (_script(words[0]), ""))
-    words[-1] += "".join(LETTERS[script][i % 2][0] for i in range(more)) if not (gender and len(words) == 1) else ""
+    if more and gender and len(words) == 1:
+        words.append("".join(LETTERS[script][(i + 1) % 2][0] for i in range(more + 2)))
+    else:
+        words[-1] += "".join(LETTERS[script][i % 2][0] for i in range(more))
     out = []
     for i, word in enumerate(words):
         if i == 0 and gender:
@@ -211,6 +219,28 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     return " ".join(out)
 
 
+#: First address and size of the private networks.
+PRIVATE = ((10 << 24, 1 << 24), (172 << 24 | 16 << 16, 1 << 20), (192 << 24 | 168 << 16, 1 << 16))
+
+
+def _place(octets: list[int]) -> int:
+    """The place of a private address among all of them."""
+    n, before = int.from_bytes(bytes(octets), "big"), 0
+    for first, size in PRIVATE:
+        if first <= n < first + size:
+            return before + n - first
+        before += size
+    raise ValueError(f"{octets} isn't private")
+
+
+def _private(place: int) -> str:
+    for first, size in PRIVATE:
+        if place < size:
+            return ".".join(map(str, (first + place).to_bytes(4, "big")))
+        place -= size
+    raise ValueError("there are no more private addresses")
+
+
 def _walk(key: bytes, tweak: str, digits: str, size: int, wanted) -> str:
     """Cycle walking inside the wanted subset, of which digits may be an unwanted member: then the whole set counts."""
     inside = wanted(digits)
@@ -282,7 +312,7 @@ def _entities(docs: DataFrame, key: str) -> DataFrame:
 def retried_entities(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate collides, with an attempt whose surrogate doesn't:
     not with a real entity of its kind, itself included, nor with another surrogate; of two that meet, the one of the
-    smaller (attempt, value) keeps it."""
+    smaller (attempt, value) keeps it. RuntimeError if collisions remain that further attempts don't resolve."""
     key = params.key
 
     @F.pandas_udf("string")
@@ -291,14 +321,20 @@ def retried_entities(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFr
 
     now = materialize(_entities(docs, key).withColumn("attempt", F.lit(0)), "entities")
     settled = now
-    for _ in range(params.attempts):
+    fewest, idle = None, 0
+    while True:
         taken = now.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "value")).alias("first")).where("n > 1")
         met = now.join(taken, ["kind", "new"]).where(F.struct("attempt", "value") != F.col("first")).select("kind", "value")
         real = now.join(settled.select("kind", F.col("value").alias("new")), ["kind", "new"], "left_semi").select("kind", "value")
         bad = materialize(met.unionByName(real).distinct(), "collisions")
-        if bad.isEmpty():
+        left = {r["kind"]: r["count"] for r in bad.groupBy("kind").count().collect()}  # one row a kind
+        if not left:
             discard(bad)
             break
+        many = sum(left.values())
+        fewest, idle = (many, 0) if fewest is None or many < fewest else (fewest, idle + 1)
+        if idle > params.attempts:
+            raise RuntimeError(f"no free surrogates for {left}")
         moved = now.join(bad, ["kind", "value"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         moved = moved.withColumn("new", again("kind", "value", "attempt"))
         after = materialize(now.join(bad, ["kind", "value"], "left_anti").unionByName(moved.select(now.columns)), "entities")

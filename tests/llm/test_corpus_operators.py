@@ -66,6 +66,32 @@ def test_pii_edges(spark):
     assert pii.pseudonymize(_docs(spark, [])).count() == 0
 
 
+def test_pii_pool_of_given_names_runs_out(spark):
+    titled = [("Mr.", ("latin", "m")), ("Mrs.", ("latin", "f")), ("господин", ("cyrillic", "m")), ("κυρία", ("greek", "f"))]
+    names = [f"{t} {n}" for t, pool in titled for n in pii.GIVEN[pool]]
+    docs = _docs(spark, [(i, f"we saw {n} there, {n} again", "s") for i, n in enumerate(names)])
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs).collect()}
+    new = []
+    for i in range(len(names)):
+        two = [got[i][s:e] for s, e, k in pii.find_entities(got[i]) if k == "name"]
+        assert len(two) == 2 and two[0] == two[1] and two[0].split()[0] == names[i].split()[0]
+        new.append(pii.canonical(two[0], "name"))
+    assert len(set(new)) == len(new) and not set(new) & {n.split()[1] for n in names}
+    with pytest.raises(RuntimeError):
+        pii.pseudonymize(docs, pii.PiiParams(attempts=0)).count()
+
+
+def test_pii_widened_ranges():
+    some = [f"192.168.{a}.{b}" for a in range(0, 256, 16) for b in range(0, 256, 8)] + [f"10.0.{a}.1" for a in range(99)] + ["172.16.0.0", "172.31.255.255"]
+    new = [pii.surrogate("ip", v, "k", pii.WIDEN_AFTER + 1) for v in some]
+    assert len(set(new)) == len(some) and all(v.startswith("10.") or v.startswith("192.168.") or 16 <= int(v.split(".")[1]) < 32 and v.startswith("172.") for v in new)
+    assert sum(v.startswith("192.168.") for v in new) < len(new) / 10
+    for kind, value in (("phone", "+12125550187"), ("phone", "2125550187"), ("card", "4111111111111111")):
+        got = {pii.surrogate(kind, value, "k", pii.WIDEN_AFTER + n)[:3] for n in range(1, 9)}
+        assert len(got) > 4 and all(len(pii.surrogate(kind, value, "k", n)) == len(value) for n in range(9))
+    assert pii.luhn(pii.surrogate("card", "4111111111111111", "k", pii.WIDEN_AFTER + 2))
+
+
 def test_permutation_is_one():
     for size in (1, 2, 5, 10, 97, 1000):
         assert sorted(pii.permute(b"k", "t", x, size) for x in range(size)) == list(range(size))
