@@ -37,14 +37,32 @@ def _fresh_id(record_id, digest):
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
 
 
+def _hexadecimal(digest):
+    """A SHA-1 without its prefix, in lower-case hexadecimal; crawlers mostly write it in base32, 8 characters for 5 bytes."""
+    bare = F.upper(F.regexp_replace(F.trim(digest), "(?i)^sha1:", ""))
+    radix = F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV")
+    parts = [F.lpad(F.conv(F.substring(radix, at, 8), 32, 16), 10, "0") for at in (1, 9, 17, 25)]
+    return F.lower(F.when(bare.rlike("^[A-Z2-7]{32}$"), F.concat(*parts)).otherwise(bare))
+
+
 def _headers(records: DataFrame) -> DataFrame:
-    """(_type, _uri, _date, _id, _digest) of responses and revisits; the digest of a response is computed anew."""
-    said = F.lower(F.regexp_replace("payload_digest", "(?i)^sha1:", ""))
+    """(_type, _uri, _date, _id, _digest, _payload) of responses and revisits; the digest of a response is computed anew,
+    that of a revisit without one is its original's, where records has refers_to."""
+    said = _hexadecimal(F.col("payload_digest"))
     payload = F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary"))
     digest = F.when(F.col("warc_type") == "response", F.sha1(payload)).otherwise(said)
-    return records.where("warc_type IN ('response', 'revisit')").select(
-        F.col("warc_type").alias("_type"), F.col("target_uri").alias("_uri"), F.col("warc_date").alias("_date"), F.col("record_id").alias("_id"), digest.alias("_digest"), payload.alias("_payload")
+    names = ["_type", "_uri", "_date", "_id", "_digest", "_payload"]
+    refers = F.col("refers_to") if "refers_to" in records.columns else F.lit(None).cast("string")
+    heads = records.where("warc_type IN ('response', 'revisit')").select(
+        F.col("warc_type").alias("_type"), F.col("target_uri").alias("_uri"), F.col("warc_date").alias("_date"), F.col("record_id").alias("_id"), digest.alias("_digest"), payload.alias("_payload"), refers.alias("_refers")
     )
+    if "refers_to" not in records.columns:
+        return heads.select(*names)
+    lacking = F.col("_digest").isNull() & F.col("_refers").isNotNull()
+    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
+    named = heads.where("_digest IS NOT NULL AND _id IS NOT NULL").groupBy(bare("_id").alias("_refers")).agg(F.min("_digest").alias("_found"))
+    filled = heads.where(lacking).withColumn("_refers", bare("_refers")).join(named, "_refers", "left").withColumn("_digest", F.col("_found"))
+    return heads.where(~lacking).select(*names).unionByName(filled.select(*names))
 
 
 def _originals(headers: DataFrame, *more) -> DataFrame:
@@ -58,7 +76,8 @@ def resolve(records: DataFrame) -> DataFrame:
 
     records has (record_id, warc_type, target_uri, warc_date, payload_digest, payload). A digest's first response (by
     date, URI, id; nulls last) stays a response; all others of that payload, and the revisits, become revisits that refer
-    to it. A revisit without a digest, or whose original isn't among the records, stays with null refers_to. A null
+    to it. Digests may be hexadecimal or base32; a revisit without one goes by refers_to, if there is such a column. One
+    with neither, or whose original isn't among the records, stays with null refers_to. A null
     payload counts as an empty one; rows whose five header fields repeat count once; records of other types are left
     out; further columns are ignored; an empty table gives an empty result."""
     heads = _headers(records).drop("_payload").distinct()
@@ -148,7 +167,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame(rows, columns=[*COLUMNS, "payload"])
 
     kinds = ", ".join(f"{c} {'bigint' if c == 'content_length' else 'string'}" for c in COLUMNS)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.gz,*.warc}").load(path).select("content")
     return files.mapInPandas(run, f"{kinds}, payload binary")
 
 

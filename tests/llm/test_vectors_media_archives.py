@@ -175,6 +175,27 @@ def test_warc_resolution_and_round_trip(spark, tmp_path):
     assert len(by["http://long/", "2024-01-01"]["payload"]) == 300_000
 
 
+def test_warc_base32_digests_and_refers_to(spark):
+    texts = [f"page {k}" for k in range(40)]
+    b32 = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+    rows = [(*_record(f"r{k}", "response", f"http://{k}/", "2024-01-01", t, "sha1:" + b32(t)), None) for k, t in enumerate(texts)]
+    rows += [(*_record(f"v{k}", "revisit", f"http://{k}/", "2024-02-01", None, ("sha1:", "", "SHA1:")[k % 3] + b32(t)), None) for k, t in enumerate(texts)]
+    rows += [(*_record("w1", "revisit", "http://1/", "2024-03-01"), "<r1>"), (*_record("w2", "revisit", "http://2/", "2024-03-01"), "<none>"), (*_record("w3", "revisit", "http://3/", "2024-03-01", None, "sha1:" + _sha("page 3")), "r9")]
+    got = {(r["target_uri"], r["warc_date"]): r for r in warc.resolve(spark.createDataFrame(rows, RECORDS + ", refers_to string")).collect()}
+    assert len(got) == len(rows)
+    for k in range(40):
+        own, again = got[f"http://{k}/", "2024-01-01"], got[f"http://{k}/", "2024-02-01"]
+        assert own["warc_type"] == "response" and again["refers_to"] == own["record_id"] and again["payload_digest"] == own["payload_digest"] == "sha1:" + _sha(texts[k])
+    for k, known in ((1, True), (2, False), (3, True)):
+        assert got[f"http://{k}/", "2024-03-01"]["refers_to"] == (got[f"http://{k}/", "2024-01-01"]["record_id"] if known else None)
+
+
+def test_warc_reads_plain_archives(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:1>\r\nContent-Length: 9\r\n\r\nH\r\n\r\nbody\r\n\r\n")
+    (got,) = warc.read_archive(spark, f"file://{tmp_path}").collect()
+    assert (got["record_id"], bytes(got["payload"])) == ("urn:1", b"body")
+
+
 def test_warc_empty(spark, tmp_path):
     none = spark.createDataFrame([], RECORDS)
     assert warc.resolve(none).count() == 0
