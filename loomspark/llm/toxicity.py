@@ -19,14 +19,18 @@ class ToxicityParams:
     bits: int = 20
     #: Bound of the labelled sample, for each class.
     sample_per_class: int = 1500
-    held_out: float = 0.2
+    #: The threshold comes from scores of models that haven't seen the row: each of so many parts is scored by a model of the rest.
+    folds: int = 5
     alpha: float = 1.0
     l2: float = 1e-3
     steps: int = 120
     rate: float = 0.05
-    #: A feature must occur in this share of the rows of a class (in 3 rows at least) and have a ratio beyond the floor.
+    #: A feature must occur in this share of the rows of a class (in 3 rows at least, fewer below 75 rows) and have a ratio beyond the floor.
     min_share: float = 0.0125
     ratio_floor: float = 0.5
+    #: Few labels say little about where to cut: the threshold found is shrunk towards 0, the boundary of the balanced
+    #: loss, as if so many more toxic rows had spoken for that.
+    prior_rows: float = 50.0
     #: What a clean text taken for toxic costs in choosing the threshold, against a toxic one missed: clean texts are
     #: the many, and labels of toxic ones the noisier.
     false_positive_cost: float = 8.0
@@ -45,23 +49,38 @@ class ToxicityModel:
 
 def fit(texts: list[str], toxic: np.ndarray, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Ratios r = log of the smoothed n-gram rates of toxic against clean texts; logistic loss over the presence
-    features times r; the threshold is the one with the fewest weighted errors on held-out texts, in the middle of
-    its gap. With only one class present (or no rows) nothing is toxic: weights 0, threshold infinite."""
+    features times r. The threshold has the fewest weighted errors over the scores of all rows, each by a model that was
+    fitted without it (cross-validation), shrunk by prior_rows; the model that is returned is fitted on all rows. With fewer than four rows or
+    only one class present nothing is toxic: weights 0, threshold infinite."""
     grams = NGrams(params.low, params.high, params.bits)
     y = np.asarray(toxic, float)
     if len(y) < 4 or y.min() == y.max():
         return ToxicityModel(np.zeros(1 << params.bits, np.float32), 0.0, float("inf"), grams, 0.0, 0.0)
-    rng = np.random.default_rng(params.seed)
-    held = rng.random(len(y)) < params.held_out
-    for value in (0.0, 1.0):  # each side keeps at least one row of each class
-        own = np.flatnonzero(y == value)
-        held[own[0]] = False
-        if len(own) > 1:
-            held[own[1]] = True
     features = [grams.distinct(t) for t in texts]
-    yt = y[~held]
-    least = max(min(3, max(1, len(yt) // 20)), int(params.min_share * min(yt.sum(), len(yt) - yt.sum())))
-    rows = Rows([f for f, h in zip(features, held) if not h], 1 << params.bits, least)
+    rng = np.random.default_rng(params.seed)
+    fold = np.zeros(len(y), np.int64)
+    for value in (0.0, 1.0):  # each part has its share of each class
+        own = rng.permutation(np.flatnonzero(y == value))
+        fold[own] = np.arange(len(own)) % params.folds
+    z = np.zeros(len(y))
+    for k in range(params.folds):
+        held = fold == k
+        weights, bias = _weights(features, y, ~held, params)
+        for i in np.flatnonzero(held):
+            z[i] = weights[features[i]].sum(dtype=np.float64) + bias
+    threshold, recall, wrong = _threshold(z, y, params.false_positive_cost)
+    threshold *= y.sum() / (y.sum() + params.prior_rows)
+    weights, bias = _weights(features, y, np.ones(len(y), bool), params)
+    return ToxicityModel(weights, bias, threshold, grams, recall, wrong)
+
+
+def _weights(features: list[np.ndarray], y: np.ndarray, use: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, float]:
+    """Weights (ratio times coefficient) and bias from the rows in use; zeros where they have one class only."""
+    yt = y[use]
+    if not len(yt) or yt.min() == yt.max():
+        return np.zeros(1 << params.bits, np.float32), 0.0
+    least = max(min(3, max(1, len(yt) // 25)), int(params.min_share * min(yt.sum(), len(yt) - yt.sum())))
+    rows = Rows([features[i] for i in np.flatnonzero(use)], 1 << params.bits, least)
     p, q = rows.back(yt) + params.alpha, rows.back(1 - yt) + params.alpha
     r = np.log(p / p.sum()) - np.log(q / q.sum())
     rows.keep(np.abs(r) >= params.ratio_floor)
@@ -73,18 +92,20 @@ def fit(texts: list[str], toxic: np.ndarray, params: ToxicityParams = ToxicityPa
         return np.append(r * rows.back(g) + params.l2 * w[:-1], g.sum())
 
     w = descend(gradient, len(rows.used) + 1, params.steps, params.rate)
-    weights, bias = rows.full(r * w[:-1]), float(w[-1])
-    z = np.array([weights[f].sum() + bias for f, h in zip(features, held) if h])
-    yh = y[held]
+    return rows.full(r * w[:-1]), float(w[-1])
+
+
+def _threshold(z: np.ndarray, y: np.ndarray, cost: float) -> tuple[float, float, float]:
+    """(cut of least weighted error, recall and false positives there); the middle of the range of equal cuts."""
     order = np.argsort(z)
     cuts = np.concatenate([[z[order[0]] - 1], (z[order][1:] + z[order][:-1]) / 2, [z[order[-1]] + 1]])
     # rows below the k-th cut are clean
-    missed = np.concatenate([[0], np.cumsum(yh[order])]) / max(yh.sum(), 1)
-    wrong = 1 - np.concatenate([[0], np.cumsum(1 - yh[order])]) / max((1 - yh).sum(), 1)
-    cost = missed + params.false_positive_cost * wrong
-    best = np.flatnonzero(cost == cost.min())
+    missed = np.concatenate([[0], np.cumsum(y[order])]) / max(y.sum(), 1)
+    wrong = 1 - np.concatenate([[0], np.cumsum(1 - y[order])]) / max((1 - y).sum(), 1)
+    total = missed + cost * wrong
+    best = np.flatnonzero(total <= total.min() + 1e-12)
     at = best[len(best) // 2]
-    return ToxicityModel(weights, bias, float(cuts[at]), grams, float(1 - missed[at]), float(wrong[at]))
+    return float(cuts[at]), float(1 - missed[at]), float(wrong[at])
 
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
