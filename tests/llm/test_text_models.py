@@ -140,3 +140,51 @@ def test_url_filter_generalises():
     model = url_filter.fit([r for r in rows if url_filter.host_and_path(r[0]).split("$")[0] not in held])
     test = [(u, y) for u, y in rows if url_filter.host_and_path(u).split("$")[0] in held and y == 0]
     assert np.mean([model.probability(u) < 0.65 for u, _ in test]) >= 0.9
+
+
+def test_url_filter_finds_unwanted_hosts_it_has_not_seen():
+    rows, threshold = url_filter.training_urls(), url_filter.UrlParams().threshold
+    host = lambda u: url_filter.host_and_path(u).split("$")[0]
+    hosts, found, kept = sorted({host(u) for u, _ in rows}), [], []
+    for seed in range(3):
+        held = set(random.Random(seed).sample(hosts, len(hosts) // 5))
+        model = url_filter.fit([r for r in rows if host(r[0]) not in held])
+        for u, y in rows:
+            if host(u) in held:
+                (found if y else kept).append((model.probability(u) >= threshold) == bool(y))
+    assert np.mean(found) >= 0.8 and np.mean(kept) >= 0.95
+
+
+def test_url_filter_on_the_pages(spark):
+    """None of the table's unwanted hosts is in the training table."""
+    unwanted = "casino-win free-bets ads-track spam-farm cheap-pills adult-x".split()
+    own = {url_filter.host_and_path(u).split("$")[0] for u, _ in url_filter.training_urls()}
+    assert not [h for h in own for u in unwanted if u in h]
+    rows = url_filter.classify(table(spark, "/root/testdata/sf0.1", "pages")).collect()
+    wrong = [r["url"] for r in rows if r["drop"] != any(u in r["url"] for u in unwanted)]
+    assert len(wrong) <= 0.01 * len(rows)
+
+
+def test_toxicity_against_brute_force():
+    """The same model spelled out over sets of n-grams as strings, without hashing."""
+    rng = random.Random(7)
+    y = np.array([i % 3 == 0 for i in range(40)], float)
+    texts = [_text(rng, bool(v), 12) for v in y]
+    p = toxicity.ToxicityParams()
+    sets = [{t[i : i + n] for n in range(p.low, p.high + 1) for i in range(len(t) - n + 1)} for t in texts]
+    least = max(min(3, max(1, len(y) // 25)), int(p.min_share * min(y.sum(), (1 - y).sum())))
+    names = sorted(g for g in set.union(*sets) if sum(g in s for s in sets) >= least)
+    x = np.array([[g in s for g in names] for s in sets], float)
+    up, down = x.T @ y + p.alpha, x.T @ (1 - y) + p.alpha
+    r = np.log(up / up.sum()) - np.log(down / down.sum())
+    x, r = x[:, np.abs(r) >= p.ratio_floor], r[np.abs(r) >= p.ratio_floor]
+    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w, m, v = np.zeros(len(r) + 1), np.zeros(len(r) + 1), np.zeros(len(r) + 1)
+    for t in range(1, p.steps + 1):
+        g = (1 / (1 + np.exp(-(x @ (r * w[:-1]) + w[-1]))) - y) * share
+        g = np.append(r * (x.T @ g) + p.l2 * w[:-1], g.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    model = toxicity.fit(texts, y > 0, p)
+    got = [model.weights[model.grams.distinct(t)].sum(dtype=np.float64) + model.bias for t in texts]
+    assert np.allclose(got, x @ (r * w[:-1]) + w[-1], atol=1e-2)
