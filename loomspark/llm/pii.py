@@ -4,42 +4,62 @@ occurs and never one that another entity has or is.
 A surrogate comes from a keyed permutation (a Feistel network with cycle walking) of all values of the entity's shape,
 so distinct entities of a shape can't meet. What a permutation alone can't exclude, that the surrogate is itself a real
 entity of the corpus (or the same as before) or that surrogates of different shapes or attempts meet, is checked over
-all entities of the corpus: whoever collides tries again with the next tweak, until none does."""
+all entities of the corpus: whoever collides tries again with the next tweak, until none does.
+
+A name is replaced word by word, the given name within its script and gender, each surname by itself: 'Mr Silva' and
+'Ana Silva' go on sharing theirs. A surname that a text has with a title or a known given name is found wherever else
+that text has it."""
 
 from __future__ import annotations
 
+import datetime
 import hashlib
+import ipaddress
 import re
+import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
-from .names import GIVEN, LETTERS, TITLES, VOWELS
+from .common import discard, materialize, short_batches, table
+from .names import ENDINGS, GIVEN, LETTERS, OPENERS, TITLES, VOWELS
 
-TYPES = ("email", "phone", "ip", "card", "secret", "name")
+TYPES = ("email", "phone", "ip", "ip6", "card", "ssn", "iban", "birth", "secret", "name")
 _GIVEN_OF = {n: (script, gender) for (script, gender), pool in GIVEN.items() for n in pool}
 _CAP = "[^\\W\\d_]"
+_UP = "[A-ZÀ-ÖØ-ÞĀ-ſΆ-ΫЀ-Я]"
 _NAME = (
-    r"(?P<name>\b(?:(?:" + "|".join(TITLES) + r")\b\.?[ \t]+(?:[A-ZÀ-ÞΑ-ΫА-Я]" + _CAP + r"+[ \t]+)?|(?:" + "|".join(sorted(_GIVEN_OF, key=len, reverse=True)) + r")[ \t]+)[A-ZÀ-ÞΑ-ΫА-Я]" + _CAP + r"+(?:-[A-ZÀ-Þ]" + _CAP + r"+)?\b)"
+    r"(?P<name>\b(?:(?:" + "|".join(TITLES) + r")\b\.?[ \t]+(?:" + _UP + _CAP + r"+(?:-" + _UP + _CAP + r"+)?[ \t]+)?|(?:" + "|".join(sorted(_GIVEN_OF, key=len, reverse=True)) + r")[ \t]+)" + _UP + _CAP + r"+(?:-" + _UP + _CAP + r"+)?\b)"
 )
 #: One alternative for each way an entity may begin; digits and @ are rare, so most positions fail on their first character.
 _SHAPES = re.compile(
     r"(?P<secret>(?<![\w])(?:token|password|passwd|secret|api_?key)\s*[=:]\s*\"?[\w+/-]{8,}={0,2}\"?|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_\w{36,}|\bsk-[\w-]{20,})"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w])|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
+    r"|(?P<ssn>(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\w|\.\d))"
     r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))",
     re.IGNORECASE,
 )
-_EMAIL = re.compile(r"@(?=[\w-]+\.\w)", re.UNICODE)
-_LOCAL = re.compile(r"[\w.+%-]+\Z")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
+#: A date counts as personal where it is said to be one of birth.
+_BIRTH = re.compile(
+    r"(?<!\w)(?:born(?:[ \t]+on)?|date[ \t]+of[ \t]+birth|birth[ \t]?date|dob|d\.o\.b\.|geboren(?:[ \t]+am)?|geburtsdatum|née?[ \t]+le|date[ \t]+de[ \t]+naissance|nacid[oa](?:[ \t]+el)?|fecha[ \t]+de[ \t]+nacimiento|дата[ \t]+рождения|родил(?:ся|ась))"
+    r"[ \t]*[:=]?[ \t]*(?P<birth>\d{4}-\d{1,2}-\d{1,2}|\d{1,2}(?P<s>[./-])\d{1,2}(?P=s)\d{4})(?!\d)",
+    re.IGNORECASE,
+)
 _DOMAIN = re.compile(r"[^\W_](?:[\w-]*\w)?(?:\.[^\W_](?:[\w-]*\w)?)+")
 _NAMES = re.compile(_NAME)
 #: A capitalised word before another: only where it is a title or a known given name is the whole pattern tried.
-_CAPITALISED = re.compile(r"[A-ZÀ-ÞΑ-ΫА-Я][^\W\d_]+(?=\.?[ \t]+[A-ZÀ-ÞΑ-ΫА-Я])")
+_CAPITALISED = re.compile(_UP + r"[^\W\d_]+(?=\.?[ \t]+" + _UP + ")")
+_WORD = re.compile(_UP + r"[^\W\d_]{2,}")
+#: Two capitalised words of which the second ends as surnames do.
+_ENDED = re.compile(r"\b" + _UP + r"[^\W\d_]{2,}[ \t]+" + _UP + r"[^\W\d_]{2,}(?:" + "|".join(ENDINGS) + r")\b")
 _STARTS = frozenset([*TITLES, *_GIVEN_OF])
 _LOW_TITLES = tuple(t for t in TITLES if t[0].islower())
 _DIGIT = re.compile(r"\d")
@@ -47,8 +67,9 @@ _SECRET_HEAD = re.compile(r"(\w+\s*[=:]\s*\"?|AKIA|ASIA|gh[pousr]_|sk-)", re.IGN
 
 
 #: Beyond this attempt surrogates come from a wider range, as so many short entities may exist that their shape has no
-#: value left that none of them has: emails, secrets and surnames grow by a character each time, a given name alone gets
-#: a growing surname, a private address may lie in any private network, and phones and cards keep no leading digits.
+#: value left that none of them has: emails, secrets, bank accounts and surnames grow by a character each time, a given
+#: name alone gets a growing surname, a private address may lie in any private network, phones and cards keep no leading
+#: digits, and social security numbers may have areas that aren't given out.
 WIDEN_AFTER = 5
 
 
@@ -67,17 +88,26 @@ def find_entities(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     spans: list[tuple[int, int, str]] = []
-    for m in _EMAIL.finditer(text):
-        local, domain = _LOCAL.search(text, max(0, m.start() - 64), m.start()), _DOMAIN.match(text, m.end())
-        if local and domain and text[domain.start() : domain.end()].rpartition(".")[2].isalpha():
-            start = local.start() + (len(local[0]) - len(local[0].lstrip(".+%-")))
-            if start < m.start():
+    at = text.find("@")
+    while at >= 0:
+        if domain := _DOMAIN.match(text, at + 1):
+            start = at
+            while start > 0 and _in_local(text[start - 1]):
+                start -= 1
+            while start < at and text[start] in ".+%-":
+                start += 1
+            if start < at and text[domain.start() : domain.end()].rpartition(".")[2].isalpha():
                 spans.append((start, domain.end(), "email"))
-    if _DIGIT.search(text) or "=" in text or ":" in text:
+        at = text.find("@", at + 1)
+    digits = _DIGIT.search(text) is not None
+    if digits or "=" in text or ":" in text:
         spans += [(*m.span(), m.lastgroup or "") for m in _SHAPES.finditer(text)]
-    starts = [m.start() for m in _CAPITALISED.finditer(text) if m[0] in _STARTS]
-    starts += [m.start() for t in _LOW_TITLES if t in text for m in re.finditer(t, text)]
-    spans += [(*m.span(), "name") for at in sorted(starts) if (m := _NAMES.match(text, at))]
+    if digits:
+        spans += [(*m.span("birth"), "birth") for m in _BIRTH.finditer(text) if _date(m["birth"])]
+        spans += [(*m.span(), "iban") for m in _IBAN.finditer(text) if _iban_valid(m[0].replace(" ", ""))]
+    if "::" in text or text.count(":") > 4:
+        spans += [(*m.span(), "ip6") for m in _IP6.finditer(text) if _ip6(m[0])]
+    spans += _names(text)
     spans.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int, str]] = []
     for s in spans:
@@ -86,12 +116,78 @@ def find_entities(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
+def _in_local(ch: str) -> bool:
+    return ch.isalnum() or ch in "._+%-" or unicodedata.category(ch)[0] == "M"
+
+
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """Names with a title, a known given name or the ending of a surname, and wherever else the text has their surnames."""
+    starts = [m.start() for m in _CAPITALISED.finditer(text) if m[0] in _STARTS]
+    starts += [m.start() for t in _LOW_TITLES if t in text for m in re.finditer(t, text)]
+    spans = [m.span() for at in sorted(starts) if (m := _NAMES.match(text, at))]
+    spans += [m.span() for m in _ENDED.finditer(text) if m[0].split()[0] not in OPENERS]
+    if not spans:
+        return []
+    known = {w for a, b in spans for w in _name_parts(text[a:b])[1][-1:] if len(w) > 2 and w not in OPENERS}
+    last = None
+    for m in _WORD.finditer(text):
+        if m[0] in known:
+            start = m.start()
+            before = last is not None and text[last.end() : start].strip(" \t") == "" and last.end() < start
+            if before and last[0] not in OPENERS and last[0] not in known:
+                start = last.start()
+            spans.append((start, m.end()))
+        last = m
+    return [(a, b, "name") for a, b in spans]
+
+
+def _date(value: str) -> tuple[datetime.date, str] | None:
+    """The date and its layout (year, month, day as y, m, d): day before month unless only the other way is a date."""
+    parts = re.split(r"[./-]", value)
+    for layout in ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy"):
+        of = dict(zip(layout, map(int, parts)))
+        try:
+            d = datetime.date(of["y"], of["m"], of["d"])
+        except ValueError:
+            continue
+        if FIRST_DAY <= d < LAST_DAY:
+            return d, layout
+    return None
+
+
+FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2026, 1, 1)
+
+
+def _iban_rest(body: str, country: str) -> int:
+    return int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+
+
+def _iban_valid(value: str) -> bool:
+    return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
+def _ip6(value: str) -> ipaddress.IPv6Address | None:
+    try:
+        return ipaddress.IPv6Address(value) if len(value) > 4 else None
+    except ValueError:
+        return None
+
+
 def canonical(value: str, kind: str) -> str:
     """What mentions of one entity have in common: case of addresses and names, separators of numbers don't count."""
     if kind == "email":
         return value.lower()
     if kind in ("phone", "card"):
         return ("+" if value[0] == "+" else "") + re.sub(r"\D", "", value)
+    if kind == "ssn":
+        return value.replace("-", "")
+    if kind == "iban":
+        return value.replace(" ", "")
+    if kind == "ip6":
+        return str(ipaddress.IPv6Address(value))
+    if kind == "birth":
+        d = _date(value)
+        return d[0].isoformat() if d else value
     if kind == "secret":
         return _secret_parts(value)[1]
     if kind == "name":
@@ -99,6 +195,17 @@ def canonical(value: str, kind: str) -> str:
     return value
 
 
+def atoms(value: str, kind: str) -> list[tuple[str, str]]:
+    """(kind, canonical value) of what gets a surrogate of its own in a mention: of a name each word that isn't a known
+    given name before others, as 'surname'; a given name alone is a 'name'."""
+    if kind != "name":
+        return [(kind, canonical(value, kind))]
+    words = _name_parts(value)[1]
+    if len(words) == 1 and words[0] in _GIVEN_OF:
+        return [("name", words[0])]
+    return [("surname", w) for i, w in enumerate(words) if i or w not in _GIVEN_OF]
+
+
 def _secret_parts(value: str) -> tuple[str, str, str]:
     head = _SECRET_HEAD.match(value)
     start = head.end() if head else 0
@@ -141,10 +248,36 @@ def _stretch(f: bytes, width: int) -> int:
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Usual letters of blocks that hold many rare ones.
+_COMMON = tuple(x for c in ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý") for x in (c, c.upper()))
+
+
+@cache
+def _class(ch: str, classes: tuple[str, ...]) -> str:
+    """The characters that may stand where ch does: one of the given classes, else the digits of its script, or the
+    letters of its block and case; '' for a sign, which stays."""
+    for c in classes:
+        if ch in c:
+            return c
+    if ch.isdecimal():
+        zero = ord(ch) - unicodedata.decimal(ch)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if not ch.isalpha():
+        return ""
+    if ch.isascii():
+        return _UPPER if ch.isupper() else _LOWER
+    for c in _COMMON:
+        if ch in c:
+            return c
+    block = map(chr, range(max(128, ord(ch) & ~0xFF), (ord(ch) | 0xFF) + 1))
+    side = (ch.isupper(), ch == ch.lower())
+    return "".join(c for c in block if c.isalpha() and (c.isupper(), c == c.lower()) == side)
+
+
 def _by_class(key: bytes, tweak: str, text: str, classes: tuple[str, ...]) -> str:
-    """Permute the strings that have, in each place, a character of the same class; others stay as they are."""
-    radix = [next((c for c in classes if ch in c), "") for ch in text]
-    shape = "".join(str(classes.index(c)) if c else ch for c, ch in zip(radix, text))
+    """Permute the strings that have, in each place, a character of the same class; signs stay as they are."""
+    radix = [_class(ch, classes) for ch in text]
+    shape = "".join(c[0] if c else ch for c, ch in zip(radix, text))
     size, x = 1, 0
     for c, ch in zip(radix, text):
         if c:
@@ -199,23 +332,37 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
             out = octets[:kept] + list(n.to_bytes(4 - kept, "big"))
             if kept or private(out) == same:
                 return ".".join(map(str, out))
+    if kind == "ssn":
+        given_out = lambda s: s[:3] not in ("000", "666") and (more or s[0] != "9") and s[3:5] != "00" and s[5:] != "0000"
+        return _walk(k, tweak + str(more > 0), value, 10**9, given_out)
+    if kind == "iban":
+        body = _by_class(k, tweak, value[4:] + "0" * more, (_DIGITS, _UPPER))
+        return f"{value[:2]}{98 - _iban_rest(body, value[:2]):02d}{body}"
+    if kind == "ip6":
+        n = int(ipaddress.IPv6Address(value))
+        kept = n >> 112
+        return str(ipaddress.IPv6Address(kept << 112 | permute(k, f"{tweak}|{kept}", n & ((1 << 112) - 1), 1 << 112)))
+    if kind == "birth":
+        n = permute(k, tweak, (datetime.date.fromisoformat(value) - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days)
+        return (FIRST_DAY + datetime.timedelta(n)).isoformat()
     if kind == "secret":
         value += "0" * more
         hexed = re.fullmatch(r"[0-9a-f]+", value)
         return _by_class(k, tweak, value, ("0123456789abcdef",) if hexed else (_DIGITS, _LOWER, _UPPER))
+    if kind == "surname":
+        return _surname(k, tweak, value, _script(value), more)
     words = value.split()
     script, gender = _GIVEN_OF.get(words[0], (_script(words[0]), ""))
     if more and gender and len(words) == 1:
         words.append("".join(LETTERS[script][(i + 1) % 2][0] for i in range(more + 2)))
-    else:
-        words[-1] += "".join(LETTERS[script][i % 2][0] for i in range(more))
+        more = 0
     out = []
     for i, word in enumerate(words):
         if i == 0 and gender:
             pool = GIVEN[script, gender]
             out.append(pool[permute(k, f"given|{script}|{gender}|{attempt}", pool.index(word), len(pool))])
         else:
-            out.append(_surname(k, tweak, word, script))
+            out.append(_surname(k, tweak, word, script, more if i == len(words) - 1 else 0))
     return " ".join(out)
 
 
@@ -257,19 +404,22 @@ def _script(word: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin"
 
 
-def _surname(key: bytes, tweak: str, word: str, script: str) -> str:
-    """Vowels go to vowels and consonants to consonants of the script; accented letters are part of the tweak."""
+def _surname(key: bytes, tweak: str, word: str, script: str, more: int = 0) -> str:
+    """Vowels go to vowels and consonants to consonants of the script, and an ending that tells a surname's gender stays,
+    as does a last a; accented letters are part of the tweak. more: letters by which it grows."""
     vowels, consonants = LETTERS[script]
     low = word.lower()
+    end = next((e for e in ENDINGS if low.endswith(e) and len(low) > len(e) + 1), low[-1] if low[-1] in "aа" and len(low) > 2 else "")
+    low = low[: len(low) - len(end)] + "".join(LETTERS[script][i % 2][0] for i in range(more))
     plain = "".join(ch if ch in vowels + consonants else (vowels[0] if ch in VOWELS[script] else consonants[0] if ch.isalpha() else ch) for ch in low)
     odd = "" if plain == low else low
-    new = _by_class(key, f"{tweak}|{script}|{odd}", plain, (vowels, consonants))
+    new = _by_class(key, f"{tweak}|{script}|{odd}|{end}", plain, (vowels, consonants)) + end
     return "-".join(p[:1].upper() + p[1:] for p in new.split("-"))
 
 
 def _dress(kind: str, original: str, new: str) -> str:
     """Give a canonical surrogate the separators, title and case of this mention."""
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "ssn"):
         digits = iter(re.sub(r"\D", "", new))
         return "".join(next(digits) if ch.isdigit() else ch for ch in original)
     if kind == "email" and original != original.lower():
@@ -277,20 +427,40 @@ def _dress(kind: str, original: str, new: str) -> str:
     if kind == "secret":
         head, _, tail = _secret_parts(original)
         return head + new + tail
-    if kind == "name":
-        return _name_parts(original)[0] + new
+    if kind == "iban" and " " in original:
+        return " ".join(new[i : i + 4] for i in range(0, len(new), 4))
+    if kind == "ip6" and original != original.lower():
+        return new.upper()
+    if kind == "birth":
+        layout = _date(original)[1]  # type: ignore[index]
+        of = dict(zip("ymd", new.split("-")))
+        parts = re.split(r"([./-])", original)
+        return "".join(p if i % 2 else of[layout[i // 2]] if len(p) > 1 or layout[i // 2] == "y" else str(int(of[layout[i // 2]])) for i, p in enumerate(parts))
     return new
 
 
+def _new_mention(original: str, kind: str, key: str, retried: dict[tuple[str, str], int]) -> str:
+    if kind != "name":
+        value = canonical(original, kind)
+        return _dress(kind, original, surrogate(kind, value, key, retried.get((kind, value), 0)))
+    title, words = _name_parts(original)
+    alone = len(words) == 1 and words[0] in _GIVEN_OF
+    new = []
+    for i, w in enumerate(words):
+        own = "name" if i == 0 and w in _GIVEN_OF else "surname"
+        # before a surname a given name always takes its first surrogate: the surname keeps the names distinct
+        new.append(surrogate(own, w, key, retried.get((own, w), 0) if own == "surname" or alone else 0))
+    return title + " ".join(new)
+
+
 def replace_entities(text: str | None, key: str, retried: dict[tuple[str, str], int] | None = None) -> tuple[str | None, int]:
-    """(text with surrogates, number of entities). retried: attempts of the entities that collided."""
+    """(text with surrogates, number of entities). retried: attempts of the atoms that collided."""
     spans = find_entities(text)
     if not spans or text is None:
         return text, 0
     out, at = [], 0
     for start, end, kind in spans:
-        value = canonical(text[start:end], kind)
-        out += [text[at:start], _dress(kind, text[start:end], surrogate(kind, value, key, (retried or {}).get((kind, value), 0)))]
+        out += [text[at:start], _new_mention(text[start:end], kind, key, retried or {})]
         at = end
     return "".join([*out, text[at:]]), len(spans)
 
@@ -299,12 +469,13 @@ def replace_entities(text: str | None, key: str, retried: dict[tuple[str, str],
 
 
 def _entities(docs: DataFrame, key: str) -> DataFrame:
-    """(kind, value, new) of each entity of the corpus, once."""
+    """(kind, value, new) of each atom of the corpus, once. Dates of birth have no part in it: their permutation keeps them
+    distinct, and as there are few dates, every one may be somebody's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen = {(k, canonical(t[s:e], k)) for t in b["text"] for s, e, k in find_entities(t)}
-            yield pd.DataFrame([(k, v, surrogate(k, v, key)) for k, v in sorted(seen)], columns=["kind", "value", "new"])
+            seen = {a for t in b["text"] for s, e, k in find_entities(t) for a in atoms(t[s:e], k)}
+            yield pd.DataFrame([(k, v, surrogate(k, v, key)) for k, v in sorted(seen) if k != "birth"], columns=["kind", "value", "new"])
 
     return docs.select("text").where("text IS NOT NULL").mapInPandas(run, "kind string, value string, new string").distinct()
 
@@ -312,20 +483,22 @@ def _entities(docs: DataFrame, key: str) -> DataFrame:
 def retried_entities(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate collides, with an attempt whose surrogate doesn't:
     not with a real entity of its kind, itself included, nor with another surrogate; of two that meet, the one of the
-    smaller (attempt, value) keeps it. RuntimeError if collisions remain that further attempts don't resolve."""
+    smaller (attempt, value, kind) keeps it. RuntimeError if collisions remain that further attempts don't resolve."""
     key = params.key
 
     @F.pandas_udf("string")
     def again(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(k, v, key, int(a)) for k, v, a in zip(kind, value, attempt)], dtype="object")
 
-    now = materialize(_entities(docs, key).withColumn("attempt", F.lit(0)), "entities")
+    # surnames and given names that stand alone are one space: neither may become what another is
+    space = F.when(F.col("kind") == "surname", "name").otherwise(F.col("kind"))
+    now = materialize(_entities(docs, key).withColumn("attempt", F.lit(0)).withColumn("space", space), "entities")
     settled = now
     fewest, idle = None, 0
     while True:
-        taken = now.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "value")).alias("first")).where("n > 1")
-        met = now.join(taken, ["kind", "new"]).where(F.struct("attempt", "value") != F.col("first")).select("kind", "value")
-        real = now.join(settled.select("kind", F.col("value").alias("new")), ["kind", "new"], "left_semi").select("kind", "value")
+        taken = now.groupBy("space", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "value", "kind")).alias("first")).where("n > 1")
+        met = now.join(taken, ["space", "new"]).where(F.struct("attempt", "value", "kind") != F.col("first")).select("kind", "value")
+        real = now.join(settled.select("space", F.col("value").alias("new")), ["space", "new"], "left_semi").select("kind", "value")
         bad = materialize(met.unionByName(real).distinct(), "collisions")
         left = {r["kind"]: r["count"] for r in bad.groupBy("kind").count().collect()}  # one row a kind
         if not left:
@@ -346,12 +519,16 @@ def retried_entities(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFr
 
 
 def pseudonymize(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
-    """docs with text replaced, other columns and all rows as they are, null texts null.
+    """docs with text replaced, other columns and all rows as they are.
+
+    Null texts stay null and empty ones empty; whole texts are searched, however long. Repeated rows and ids get the same
+    surrogates. No column name is reserved: helpers have names that no table has. An empty table gives an empty one.
 
     Retried entities are few (those that collide among the values of a shape) but may grow, so they aren't broadcast by
     hand: they are joined to the documents that mention them, and Spark broadcasts that table only where its size is
     known to be small."""
     spark, key = docs.sparkSession, params.key
+    short_batches(spark)
     retried = retried_entities(docs, params)
     if retried.isEmpty():
 
@@ -363,7 +540,7 @@ def pseudonymize(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def mentions(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({f"{k}\x00{canonical(t[s:e], k)}" for s, e, k in find_entities(t)}) if t else [] for t in texts], dtype="object")
+        return pd.Series([sorted({f"{k}\x00{v}" for s, e, kind in find_entities(t) for k, v in atoms(t[s:e], kind)}) if t else [] for t in texts], dtype="object")
 
     @F.pandas_udf("string")
     def replaced(texts: pd.Series, attempts: pd.Series) -> pd.Series:
@@ -373,14 +550,16 @@ def pseudonymize(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
             out.append(replace_entities(t, key, given)[0])
         return pd.Series(out, dtype="object")
 
-    coded = retried.select(F.concat_ws("\x00", "kind", "value").alias("_m"), F.concat_ws("\x00", "kind", "value", F.col("attempt").cast("string")).alias("_a"))
+    own = uuid.uuid4().hex
+    tag, mention, some, attempt, given = (f"_{x}_{own}" for x in ("tag", "mention", "some", "attempt", "given"))
+    coded = retried.select(F.concat_ws("\x00", "kind", "value").alias(mention), F.concat_ws("\x00", "kind", "value", F.col("attempt").cast("string")).alias(attempt))
     # texts are told apart by a hash of 128 bits: rows with the same text get the same attempts, whatever their ids
-    tag = [F.xxhash64("text"), F.hash("text", F.lit(7)), F.length("text")]
-    tagged = docs.select(F.struct(*tag).alias("_tag"), mentions("text").alias("_ms")).where(F.size("_ms") > 0)
-    per_text = tagged.select("_tag", F.explode("_ms").alias("_m")).join(coded, "_m").groupBy("_tag").agg(F.collect_set("_a").alias("_as"))
+    hashed = F.struct(F.xxhash64("text").alias("a"), F.hash("text", F.lit(7)).alias("b"), F.length("text").alias("n"))
+    tagged = docs.select(hashed.alias(tag), mentions("text").alias(some)).where(F.size(some) > 0)
+    per_text = tagged.select(tag, F.explode(some).alias(mention)).join(coded, mention).groupBy(tag).agg(F.collect_set(attempt).alias(given))
     per_text = materialize(per_text, "attempts")
-    joined = docs.withColumn("_tag", F.struct(*tag)).join(per_text, "_tag", "left")
-    return joined.withColumn("text", replaced("text", "_as")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.withColumn(tag, hashed).join(per_text, tag, "left")
+    return joined.withColumn("text", replaced("text", given)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

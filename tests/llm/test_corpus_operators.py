@@ -55,6 +55,61 @@ def test_pii_distinct_and_coreferent(spark):
     assert not set(to.values()) & {b for b, _ in to}
 
 
+@pytest.mark.parametrize(
+    ("text", "kinds", "gone"),
+    [
+        ("mail иван.петров@example.com now", ["email"], ["иван", "петров"]), ("mail josé.núñez@пример.рф now", ["email"], ["josé", "núñez", "пример"]), (f"mail {'a' * 80}.b@x.com now", ["email"], ["a" * 8]), ("mail 张伟@例子.中国 now", ["email"], ["张", "伟"]),
+        ("ssn 123-45-6789 ok", ["ssn"], ["123-45-6789"]), ("to DE89 3704 0044 0532 0130 00 please", ["iban"], ["3704 0044"]), ("to GB82WEST12345698765432 please", ["iban"], ["WEST1234"]), ("from 2001:db8::8a2e:370:7334 on", ["ip6"], ["8a2e"]),
+        ("she was born on 12/03/1981 there", ["birth"], ["12/03/1981"]), ("DOB: 1981-3-12.", ["birth"], ["1981-3-12"]), ("so Dr Jones said", ["name"], ["Jones"]), ("then Ivanka Trumpova and Boris Pasternak met", ["name", "name"], ["Ivanka", "Trump", "Boris", "Pasternak"]),
+        ("with Mr Silva. When Silva left, Ana Silva stayed", ["name", "name", "name"], ["Silva", "Ana"]), ("at 12:30:45, in std::vector, on 12/03/1981", [], []),
+    ],
+)
+def test_pii_nothing_of_it_stays(text, kinds, gone):
+    assert [k for *_, k in pii.find_entities(text)] == kinds
+    new = pii.replace_entities(text, "k")[0]
+    assert not [g for g in gone if g in new]
+    if "iban" in kinds:
+        assert [k for *_, k in pii.find_entities(new)] == ["iban"]
+    if "birth" in kinds:
+        assert [k for *_, k in pii.find_entities(new)] == ["birth"]
+
+
+def test_pii_surnames_are_coreferent_and_scripts_kept():
+    new = pii.replace_entities("with Mr Silva. When Silva left, Ana Silva and Petra Silva stayed", "k")[0]
+    a, b, c, d = (new[s:e].split() for s, e, _ in pii.find_entities(new))
+    assert a[1] == b[0] == c[1] == d[1] and c[0] != d[0] and {c[0], d[0]} <= set(pii.GIVEN["latin", "f"])
+    local, domain = pii.surrogate("email", "иван@пример.рф", "k").split("@")
+    assert len(local) == 4 and all("а" <= ch <= "я" for ch in local + domain.replace(".", ""))
+    assert pii.surrogate("surname", "Петрова", "k").endswith("ова")
+
+
+def test_pii_no_value_of_the_corpus_survives(spark):
+    """Brute force over the documents: no value that is detected anywhere is found in any text afterwards, equal values
+    have equal surrogates and different ones different ones."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs).collect()}
+    values = lambda texts: {(k, pii.canonical(t[s:e], k)) for t in texts.values() for s, e, k in pii.find_entities(t)}
+    old = values(before)
+    assert len(old) > 50 and not old & values(after)
+    to: dict = {}
+    for i, text in before.items():
+        one, two = pii.find_entities(text), pii.find_entities(after[i])
+        assert len(one) == len(two)
+        if not one:
+            assert after[i] == text
+        for (s, e, k), (s2, e2, k2) in zip(one, two):
+            assert k == k2 and to.setdefault((k, pii.canonical(text[s:e], k)), pii.canonical(after[i][s2:e2], k)) == pii.canonical(after[i][s2:e2], k)
+    assert len({(k, v) for (k, _), v in to.items()}) == len(to)
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    rows = [(1, "Mr. James met Mr. Robert", "a", "b", "c", 4)] + [(i, f"Mr. {n}", "a", "b", "c", 4) for i, n in enumerate(pii.GIVEN["latin", "m"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _tag string, _as string, `a.b` string, n int")
+    got = pii.pseudonymize(docs).collect()
+    assert len(got) == len(rows) and all(tuple(r)[2:] == ("a", "b", "c", 4) for r in got)
+
+
 def test_pii_edges(spark):
     docs = _docs(spark, [(None, "a@b.com", "s"), (1, None, "s"), (2, "", None), (3, "x a@b.com " * 20_000, "s"), (3, "x a@b.com " * 20_000, "s"), (4, "nothing here", "s")])
     got = pii.pseudonymize(docs)
