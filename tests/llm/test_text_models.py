@@ -93,6 +93,38 @@ def test_quality_keeps_good_documents_of_the_tables(spark):
     assert np.mean([r["keep"] for r in both if not r["quality"]]) <= 0.5
 
 
+def test_quality_on_the_tables_at_its_own_boundary(spark):
+    for sf, junk, lost in (("sf0.01", 0.1, 0.03), ("sf0.1", 0.1, 0.03)):
+        docs, labels = table(spark, f"/root/testdata/{sf}", "documents"), table(spark, f"/root/testdata/{sf}", "labels")
+        # no label of these rows is seen: only positives are trusted, and of them only the others
+        held = labels.where("quality = 0 OR doc_id % 3 = 0")
+        both = quality.classify(docs, labels.where("doc_id % 3 <> 0")).join(held, "doc_id").collect()
+        assert np.mean([r["keep"] for r in both if not r["quality"]]) <= junk and np.mean([not r["keep"] for r in both if r["quality"]]) <= lost
+
+
+def test_quality_against_brute_force(spark):
+    """Cells, counts and the risk spelled out row by row; the fit has to reach a lower risk than its start and than shifts
+    of its boundary."""
+    rng = random.Random(12)
+    junk = lambda: " ".join("".join(rng.choice("@#%&*0123456789XQZ") for _ in range(8)) for _ in range(30))
+    texts = [_text(rng) if rng.random() < 0.7 else junk() for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, 0.0, 1, 1, "") for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, int("#" not in t and "@" not in t), 0, "") for i, t in enumerate(texts) if i < 150], LABELS)
+    model = quality.train(docs, labels)
+    positive = [t for i, t in enumerate(texts) if i < 150 and "#" not in t and "@" not in t]
+    loss = lambda z: 1 / (1 + np.exp(z))
+
+    def risk(shift, scale=1.0):
+        g = lambda ts: np.array([model.score(t) for t in ts]) * scale + shift
+        return model.prior * loss(g(positive)).mean() + max(0.0, loss(-g(texts)).mean() - model.prior * loss(-g(positive)).mean())
+
+    assert risk(0) < risk(0, 0.0) and risk(0) <= min(risk(5), risk(-5)) and abs(model.prior - 0.7) < 0.15
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    assert np.allclose([got[i] for i in range(300)], [model.score(t) for t in texts])
+    local = quality.fit(positive, texts)
+    assert np.allclose(local.weights, model.weights) and local.prior == model.prior
+
+
 def test_quality_edges(spark):
     docs, labels, _ = _corpus(spark, 60)
     odd = spark.createDataFrame([(None, "river", 0.0, 1, 1, ""), (1000, None, 0.0, 1, 1, ""), (1001, "", 0.0, 1, 1, ""), (1002, "word " * 100_000, 0.0, 1, 1, ""), (5, "again", 0.0, 1, 1, "")], DOCS)
