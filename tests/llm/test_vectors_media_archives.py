@@ -36,7 +36,7 @@ def test_ann_recall_against_brute_force(spark):
 
 def test_ann_scans_what_the_ratio_selects(spark):
     x = np.random.default_rng(4).normal(size=(2500, 48)).astype(np.float32)
-    params = ann.AnnParams(k=5, list_size=16, replicas=2, beam=8, cell_rows=800)
+    params = ann.AnnParams(k=5, list_size=16, replicas=2, closure=1.3, prune=1.5, beam=8, cell_rows=800)
     got = _found(ann.neighbours(spark.createDataFrame(_rows(x), VECTORS), params))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
@@ -45,6 +45,30 @@ def test_ann_scans_what_the_ratio_selects(spark):
     assert sum(len({n for n, _ in got[i]} & set(want[i].tolist())) for i in range(2500)) / 12500 >= 0.95
 
 
+def test_ann_asked_ids_on_the_embeddings(spark):
+    """The registered query against brute force: every id divisible by 50 asks, among all rows."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = _found(ann.op1_ann(spark, "/root/testdata/sf0.1"))
+    asked = ids[ids % 50 == 0]
+    assert sorted(got) == sorted(asked.tolist())
+    hit = 0
+    for i in asked:
+        s = x @ x[ids == i][0]
+        s[ids == i] = -2
+        hit += len({n for n, _ in got[i]} & set(ids[np.argsort(-s)[:10]].tolist()))
+    assert hit >= 0.9 * 10 * len(asked)
+
+
+def test_ann_lists_are_balanced_and_prune(spark):
+    """Where vectors have structure few lists are scanned; only boundary vectors are copied and no list grows far."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(60, 1, 24)) * 2 + rng.normal(size=(60, 100, 24))).reshape(-1, 24).astype(np.float32)
+    got = ann.profile(spark.createDataFrame(_rows(x), VECTORS))
+    assert got["share"] < 0.25 and 1.0 < got["copies"] < 2 and got["longest"] <= 3 * ann.AnnParams().list_size
+
+
 def test_ann_ratio_selects_against_brute_force():
     rng = np.random.default_rng(5)
     c = (rng.normal(size=(40, 1, 12)) * 4 + rng.normal(size=(40, 30, 12))).reshape(-1, 12).astype(np.float32)
