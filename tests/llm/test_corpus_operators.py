@@ -274,6 +274,50 @@ def test_split_is_hypergeometric():
     assert (draws.sum(1) == 20).all() and abs(draws[:, 0].mean() - 15) < 0.15 and abs(draws[:, 0].var() - 20 * 0.75 * 0.25 * 20 / 39) < 0.25
 
 
+def test_draw_of_more_than_a_thousand_million():
+    rng = np.random.default_rng(3)
+    good, bad, many = 2_000_000_000, 3_000_000_000, 1_250_000_000
+    draws = np.array([mixing.draw(good, bad, many, rng) for _ in range(300)], float)
+    spread = np.sqrt(many * 0.4 * 0.6 * 0.75)
+    assert abs(draws.mean() - many * 0.4) < 4 * spread / np.sqrt(300) and 0.85 < draws.std() / spread < 1.15
+    assert mixing.draw(2_000_000_000, 5, 2_000_000_005, rng) == 2_000_000_000 and mixing.draw(5, 2_000_000_000, 2_000_000_005, rng) == 5
+    first, counts = mixing.leaf(np.array([2_500_000_000, 1_500_000_000, 7]), 1 << 24, 12_345_678, 1)
+    assert counts.sum() == mixing.shard_sizes(4_000_000_007, 12_345_678, 12_345_679, 1 << 24) and (first >= 0).all()
+
+
+def test_wide_draw_is_the_same_distribution():
+    """The sum over the distribution against the exact one, by fractions of binomials."""
+    from math import comb
+
+    good, bad, many = 9, 14, 8
+    exact = np.array([comb(good, x) * comb(bad, many - x) / comb(good + bad, many) for x in range(many + 1)])
+    x = np.arange(0, many, dtype=float)
+    logs = np.r_[0, np.cumsum(np.log(good - x) + np.log(many - x) - np.log(x + 1) - np.log(bad - many + x + 1))]
+    assert np.allclose(np.exp(logs) / np.exp(logs).sum(), exact)
+
+
+def test_mixing_at_given_targets_against_brute_force(spark):
+    """Quotas by fractions: the largest total that no source falls short of, rounded by largest remainders."""
+    from fractions import Fraction
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").distinct().collect()}
+    weights, size = {s: Fraction(w) for s, w in mixing.TARGETS.weights}, mixing.TARGETS.block_rows
+    have = {s: -(-n // size) for s, n in Counter(rows.values()).items()}
+    whole = sum(weights[s] for s in have)
+    total = min(have[s] * whole / weights[s] for s in have)
+    exact = {s: total * weights[s] / whole for s in have}
+    want = {s: int(x) for s, x in exact.items()}
+    for s in sorted(have, key=lambda s: (-(exact[s] - want[s]), s))[: int(total) - sum(want.values())]:
+        want[s] += 1
+    got = mixing.op5_mixing(spark, "/root/testdata/sf0.01").collect()
+    blocks = defaultdict(set)
+    for r in got:
+        assert rows[r["doc_id"]] == r["source"]
+        blocks[r["source"]].add(r["block"])
+    assert {s: len(b) for s, b in blocks.items()} == want and len({r["doc_id"] for r in got}) == len(got)
+
+
 def test_mixing_isnt_shrunk_by_a_tiny_source(spark):
     rows = [(i, "t", "big") for i in range(4000)] + [(9000 + i, "t", "tiny") for i in range(16)] + [(None, "t", "big")]
     docs = _docs(spark, rows)
@@ -347,6 +391,35 @@ def test_packing_limits_and_edges(spark):
     assert packing.pack(spark.createDataFrame([], EXAMPLES)).count() == 0
 
 
+def test_pieces_follow_the_turns(spark):
+    """Brute force: mark every token of an example by its turn and by whether it bears loss, and count in each piece."""
+    rng = random.Random(21)
+    params = packing.PackingParams(tokens=100, segments=7, loss_tokens=40, group_rows=64)
+    rows, marks = [], {}
+    for i in range(120):
+        layout = [(n, rng.choice([0, n, n // 2])) for n in (rng.choice([0, 1, 5, 30, 150]) for _ in range(rng.randint(1, 12)))]
+        marks[i] = [(k, j >= n - b) for k, (n, b) in enumerate(layout) for j in range(n)]
+        rows.append((i, sum(n for n, _ in layout), len(layout), sum(b for _, b in layout), layout))
+    rows.append((0, 5000, 2, 2500, [(2500, 0), (2500, 2500)]))
+    rows[-1] = (500, *rows[-1][1:])
+    marks[500] = [(0, False)] * 2500 + [(1, True)] * 2500
+    got = packing.pack(spark.createDataFrame(rows, "id bigint, tokens bigint, segments bigint, loss_tokens bigint, layout array<struct<tokens: bigint, loss_tokens: bigint>>"), params).collect()
+    by, use = defaultdict(list), defaultdict(lambda: np.zeros(3, int))
+    for r in got:
+        by[r["id"]].append(r)
+        use[r["pack_id"]] += (r["tokens"], r["segments"], r["loss_tokens"])
+    assert all((u <= (100, 7, 40)).all() for u in use.values())
+    for i, mark in marks.items():
+        parts = sorted(by[i], key=lambda r: r["piece"])
+        assert [r["piece"] for r in parts] == list(range(parts[0]["pieces"]))
+        at = 0
+        for r in parts:
+            own = mark[r["start"] : r["start"] + r["tokens"]]
+            assert r["start"] == at and sum(loss for _, loss in own) == r["loss_tokens"] and len({k for k, _ in own}) <= r["segments"]
+            at += r["tokens"]
+        assert at == len(mark)
+
+
 def test_packing_counts_whole_texts(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hello there", 1), (1, 1, "assistant", "word " * 9000, 1), (2, 0, "user", None, 1), (None, 0, "assistant", "", 1)], "conv_id bigint, turn bigint, role string, text string, tokens int")
     by = {r["id"]: r for r in packing.conversation_examples(turns).collect()}
