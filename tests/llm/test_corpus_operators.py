@@ -206,6 +206,48 @@ def test_simhash_recall_by_distance():
         assert met.mean() >= 0.92, d
 
 
+@pytest.mark.parametrize("n", [1000, 250_000, 15_000_000, 50_000_000_000])
+def test_simhash_recall_at_the_radius_at_every_size(n):
+    """Pairs at each distance up to the radius, against the recall that is wanted, with the keys chosen for n fingerprints."""
+    params = simhash_dedup.SimHashParams().fitted(n)
+    rng = np.random.default_rng(n)
+    bits = rng.integers(0, 2, (400, simhash_dedup.BITS), dtype=np.uint8)
+    for d in (4, 16, 18, 20, 22):
+        other = bits.copy()
+        for row in other:
+            row[rng.permutation(simhash_dedup.BITS)[:d]] ^= 1
+        met = np.zeros(len(bits), bool)
+        for a, b in zip(simhash_dedup.keys(bits, params), simhash_dedup.keys(other, params)):
+            met |= a == b
+        assert met.mean() >= 0.91, (n, d)
+
+
+def test_simhash_hot_shards_are_divided(spark):
+    """A third of the rows are near copies of one text, each with a fingerprint of its own, and shards of over 40 are hot."""
+    rng = random.Random(31)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    texts = [" ".join(w if rng.random() > 0.04 else rng.choice(vocabulary) for w in base) for _ in range(150)]
+    texts += [" ".join(rng.choice(vocabulary) for _ in range(150)) for _ in range(300)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    params = simhash_dedup.SimHashParams(hot_rows=40, hot_sample=450)
+    prints = {i: simhash_dedup.fingerprint(t) for i, t, _ in rows}
+    table_ = spark.createDataFrame([(i, p[0], p[1]) for i, p in prints.items()], "id bigint, high bigint, low bigint")
+    assert simhash_dedup._hot(table_, 450, params.fitted(450))
+    got = {r["doc_id"]: r["group_id"] for r in simhash_dedup.groups(_docs(spark, rows), params).collect()}
+    want = _components(prints, params.radius)
+    assert sum(got[i] == 0 for i in range(150)) >= 0.97 * sum(want[i] == 0 for i in range(150)) > 100
+    assert all(got[i] == i for i in range(150, 450) if want[i] == i)
+
+
+def test_simhash_deduplicate_on_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "some words that are alike", 5, "x"), (2, "some words that are alike", 6, "y"), (2, None, 7, None), (3, None, 8, "z")], "doc_id bigint, text string, _kept_id int, _row_of_id string")
+    got = sorted(simhash_dedup.deduplicate(docs).collect())
+    assert [r["doc_id"] for r in got] == [1, 3] and got[0]["_kept_id"] == 5 and got[1]["_row_of_id"] == "z"
+    mixed = mixing.mix(docs.withColumn("source", docs["_row_of_id"]).withColumn("_mix_shard", docs["doc_id"])).collect()
+    assert len(mixed) == 4 and sorted(r["_mix_shard"] for r in mixed) == [1, 2, 2, 3]
+
+
 def test_bk_tree_finds_what_brute_force_finds():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 2**63, (300, 2), dtype=np.int64).view(np.uint64)
