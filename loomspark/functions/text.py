@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,12 @@ CONTROL = r"[\x00-\x08\x0E-\x1F\x7F-\x9F\p{Cf}\p{Co}\x{FFFD}]"
 READABLE = r"[A-Za-z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}\x{370}-\x{3FF}\x{400}-\x{4FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]"
 
 
+#: The same characters, for a trim that looks at the ends alone.
+BLANKS = " \t\n\x0b\f\r\ufeff\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:
@@ -24,6 +29,14 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")
 
 
+_SPACES = re.compile("[" + re.escape(BLANKS) + "]+")
+
+
+def word_list(text: str | None) -> list[str]:
+    """Lower-cased words between white space, in Python."""
+    return [w for w in _SPACES.split(text.lower()) if w] if text else []
+
+
 def word_set(c: Column) -> Column:
     return F.array_distinct(words(F.lower(c)))
 
@@ -33,6 +46,14 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+_TERM = re.compile(r"[^\W_]+")
+
+
+def term_list(text: str | None) -> list[str]:
+    """The same in Python, for scans that hold a batch of queries."""
+    return _TERM.findall(text.lower()) if text else []
+
+
 def ctrl_ratio(c: Column) -> Column:
     return F.coalesce(F.try_divide(F.regexp_count(c, F.lit(CONTROL)), F.length(c)), F.lit(0.0))
 
@@ -45,10 +66,22 @@ def valid_frac(c: Column, readable: str = READABLE) -> Column:
 def route_page(text: Column, graphics: Column, mojibake: Column, *, least: int = 200, ctrl: float = 0.002, valid: float = 0.6, moji: float = 0.001) -> Column:
     """'fast' for a readable page, else 'mineru' where it has graphics, else 'vlm'. A null text counts as empty."""
     t = js_trim(F.coalesce(text, F.lit("")))
-    garbled = (F.length(t) < least) | (ctrl_ratio(t) > ctrl) | (valid_frac(t) < valid) | (F.coalesce(mojibake, F.lit(0.0)) > moji)
+    return route_of(F.length(t), ctrl_ratio(t), valid_frac(t), graphics, mojibake, least=least, ctrl=ctrl, valid=valid, moji=moji)
+
+
+def route_of(size: Column, control: Column, readable: Column, graphics: Column, mojibake: Column, *, least: int = 200, ctrl: float = 0.002, valid: float = 0.6, moji: float = 0.001) -> Column:
+    """The same from signals that are columns already, so that a page's text is looked through once."""
+    garbled = (size < least) | (control > ctrl) | (readable < valid) | (F.coalesce(mojibake, F.lit(0.0)) > moji)
     return F.when(garbled, F.when(F.coalesce(graphics, F.lit(False)), "mineru").otherwise("vlm")).otherwise("fast")
 
 
+def page_badness(text: Column) -> Column:
+    """The share of characters that betray a wrong decoding: replacement characters, and Latin letters of a two-byte UTF-8
+    sequence read one by one. 0 for a null or empty text."""
+    bad = F.regexp_count(text, F.lit(r"\x{FFFD}|[\x{C2}\x{C3}\x{C5}\x{D0}\x{D1}][\x{80}-\x{BF}]"))
+    return F.coalesce(F.try_divide(bad, F.length(text)), F.lit(0.0))
+
+
 def without_mineru(route: Column) -> Column:
     return F.when(route == "mineru", "vlm").otherwise(route)
 
@@ -143,6 +176,15 @@ _MIME = {
 }
 
 
+def is_presentation(name: Column) -> Column:
+    return extension(name).isin("pptx", "ppt", "odp")
+
+
+def accepted(name: Column) -> Column:
+    """Whether a file of that name is taken at all."""
+    return extension(name).isin("pdf", *SHEETS, *LEGACY, *TEXTS, *IMAGES, *OFFICE, *SOFFICE)
+
+
 def content_type(name: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in _MIME.items() for x in pair])
     return F.coalesce(F.get(F.array(F.try_element_at(known, extension(name))), F.lit(0)), F.lit("application/pdf"))
@@ -161,12 +203,14 @@ def clean_query(raw: Column, cap: int = 60) -> Column:
 
 
 def parse_query_list(raw: Column, fallback: Column) -> Column:
-    """Queries of a reply that is a JSON array, fenced or not, or a list of lines; [fallback] where there is none."""
-    bare = js_trim(F.regexp_replace(js_trim(F.coalesce(raw, F.lit(""))), r"^```[A-Za-z]*|```$", ""))
+    """Queries of a reply that is a JSON array, of which strings count, fenced or not, or a list of lines; [fallback]
+    where there is none."""
+    bare = js_trim(F.regexp_replace(js_trim(F.coalesce(raw, F.lit(""))), r"^```(?:json)?|```$", ""))
     tidy = lambda items: F.filter(F.transform(items, js_trim), lambda s: s.isNotNull() & (s != ""))
-    from_json = tidy(F.from_json(bare, "array<string>"))
+    items = F.try_variant_get(F.try_parse_json(bare), "$", "array<variant>")
+    strings = tidy(F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string")))
     lines = tidy(F.transform(F.split(bare, "\n"), lambda s: F.regexp_replace(js_trim(s), r"^(?:[-*]|\d+[.)])\s*", "")))
-    found = F.when(bare.startswith("["), F.coalesce(from_json, lines)).otherwise(lines)
+    found = F.when(bare.startswith("["), F.coalesce(strings, lines)).otherwise(lines)
     return F.when(F.size(found) > 0, found).otherwise(F.array(fallback))
 
 

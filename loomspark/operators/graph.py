@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
-import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 
+from .shared import written
+
 SIMILARITY_FLOOR = 0.35
 MEMBERS_SHOWN = 24
 
@@ -20,7 +20,7 @@ MEMBERS_SHOWN = 24
 def rank_by_similarity(vectors: DataFrame, query: list[float], limit: int, floor: float = SIMILARITY_FLOOR) -> DataFrame:
     """(name, score, rank) of the vectors (name, vec) nearest to query; null and empty ones don't count."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.where("vec IS NOT NULL AND size(vec) > 0").select("name", F.round(T.cosine(F.col("vec"), q), 6).alias("score")).where(F.col("score") >= floor)
+    scored = vectors.where("vec IS NOT NULL AND size(vec) > 0").select("name", F.round(T.cosine(F.col("vec"), q), 9).alias("score")).where(F.col("score") >= floor)
     top = scored.orderBy(F.desc("score"), "name").limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "name")))
 
@@ -33,15 +33,21 @@ def dedupe_entities(mentions: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame) -> DataFrame:
-    """df, written to the folder that all executors share and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="loomspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, "labels")
+
+
+def entity_text(name: Column, kind: Column) -> Column:
+    """What stands for an entity when it is embedded."""
+    return F.concat(name, F.lit(" ("), kind, F.lit(")"))
+
+
+def relationship_text(source: Column, target: Column) -> Column:
+    return F.concat(source, F.lit(" — "), target)
+
+
+def community_text(summary: Column, members: Column) -> Column:
+    """The summary of a community, else its first members."""
+    return F.when(F.trim(F.coalesce(summary, F.lit(""))) != "", summary).otherwise(F.array_join(F.slice(members, 1, MEMBERS_SHOWN), ", "))
 
 
 def communities(edges: DataFrame) -> DataFrame:

@@ -32,12 +32,12 @@ def position_blocks(blocks: DataFrame) -> DataFrame:
 
 def line_height(positioned: DataFrame) -> DataFrame:
     """(doc_id, line_height): of the box heights, sorted and cut at the largest ratio beyond 1.8 of neighbours (the first
-    of equals), the upper median of the lower part; 0 without boxes."""
+    of equals), the one a quarter up the lower part: tall boxes of several lines hardly move it. No row without boxes."""
     h = positioned.select("doc_id", "ord", (F.col("bbox.t") - F.col("bbox.b")).alias("_d")).select("doc_id", "ord", F.abs("_d").alias("h")).where("h > 0")
     w = Window.partitionBy("doc_id").orderBy("h", "ord")
     step = h.withColumn("i", F.row_number().over(w) - 1).withColumn("ratio", F.col("h") / F.lag("h").over(w))
     cut = step.where("ratio > 1.8").groupBy("doc_id").agg(F.max_by("i", F.struct("ratio", -F.col("i"))).alias("cut"))
-    size = step.groupBy("doc_id").agg(F.count("*").alias("n")).join(cut, "doc_id", "left").select("doc_id", F.floor(F.coalesce("cut", "n") / 2).alias("at"))
+    size = step.groupBy("doc_id").agg(F.count("*").alias("n")).join(cut, "doc_id", "left").select("doc_id", F.floor(F.coalesce("cut", "n") / 4).alias("at"))
     return step.join(size, "doc_id").where("i = at").select("doc_id", F.col("h").alias("line_height"))
 
 
@@ -90,9 +90,13 @@ def geometry_of(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.when(F.bool_or(F.col("cell").isNotNull()), "grid").when(F.bool_or(F.col("bbox").isNotNull()), "spatial").otherwise("none").alias("geometry"))
 
 
-def to_bottom_left(box: Column, height: Column) -> Column:
-    """Boxes with y growing downward are turned over, if the page height is known."""
-    flip = (box["t"] < box["b"]) & (F.coalesce(height, F.lit(0.0)) > 0)
+def to_bottom_left(box: Column, height: Column, origin: Column | None = None) -> Column:
+    """Boxes with y growing downward, by their own y or by an origin that says TOPLEFT, are turned over, if the page height
+    is known."""
+    down = box["t"] < box["b"]
+    if origin is not None:
+        down = down | F.coalesce(origin == "TOPLEFT", F.lit(False))
+    flip = down & (F.coalesce(height, F.lit(0.0)) > 0)
     turned = F.struct(box["l"].alias("l"), (height - box["t"]).alias("t"), box["r"].alias("r"), (height - box["b"]).alias("b"))
     return F.when(flip, turned).otherwise(box)
 
@@ -108,6 +112,12 @@ def drop_furniture(blocks: DataFrame, least_pages: int = 3) -> DataFrame:
     return keyed.join(gone, ["doc_id", "_key"], "left_anti").drop("_key")
 
 
+def is_geometryless(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, geometryless): a page that is one block with text and without a box, so worth reading in tiles."""
+    whole = F.coalesce(F.bool_and(F.col("bbox").isNull() & (F.trim("text") != "")), F.lit(False))
+    return blocks.groupBy("doc_id", "page").agg(((F.count("*") == 1) & whole).alias("geometryless"))
+
+
 def text_layer(lines: DataFrame) -> DataFrame:
     """lines (doc_id, page, ord, text, bbox) without specks: boxes under 2 points, texts of combining marks alone, and
     texts of one or two characters that lie mostly inside a larger line of their page."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layout import describe_grid
+from .pixels import respace_blocks, snap_blocks
 
 T = TypeVar("T")
 
@@ -59,12 +60,14 @@ def word_boxes(words: DataFrame, width: Column, height: Column) -> DataFrame:
     return out.select("page_id", "group", F.array_join(F.transform("_r", lambda r: r["text"]), " ").alias("text"), "x0", "y0", "x1", "y1")
 
 
-def routed_blocks(base: DataFrame, routes: DataFrame, mineru: DataFrame, vlm: DataFrame) -> DataFrame:
+def routed_blocks(base: DataFrame, routes: DataFrame, mineru: DataFrame, vlm: DataFrame, pipeline: str = "auto") -> DataFrame:
     """Blocks (doc_id, page, ord, text, ...) of the engine to which each page (doc_id, page, route) goes, with engine. A
-    page of mineru without blocks goes to vlm; where vlm has none either the rejected parse stays, engine 'rejected'."""
+    page of mineru without blocks goes to vlm; where vlm has none either the rejected parse stays, engine 'rejected'.
+    pipeline='vlm' sends every page to vlm. A page of base without a route is fast."""
     page = ["doc_id", "page"]
     have = lambda df, name: df.select(*page).distinct().withColumn(name, F.lit(True))
-    way = routes.select(*page, "route").join(have(mineru, "_m"), page, "left").join(have(vlm, "_v"), page, "left")
+    routed = base.select(*page).distinct().join(routes.select(*page, "route"), page, "full_outer").withColumn("route", F.lit("vlm") if pipeline == "vlm" else F.coalesce("route", F.lit("fast")))
+    way = routed.select(*page, "route").join(have(mineru, "_m"), page, "left").join(have(vlm, "_v"), page, "left")
     engine = F.when(F.col("route") == "fast", "fast").when((F.col("route") == "mineru") & F.coalesce("_m", F.lit(False)), "mineru").when(F.coalesce("_v", F.lit(False)), "vlm").otherwise("rejected")
     chosen = way.select(*page, engine.alias("engine"))
     of = lambda df, *names: df.join(chosen.where(F.col("engine").isin(*names)), page)
@@ -76,6 +79,18 @@ def with_color(text: Column, color: Column, boxed: Column, longest: int = 60) ->
     return F.when(boxed & color.isNotNull() & (F.length(text) <= longest), F.concat(text, F.lit(" ["), color, F.lit("]"))).otherwise(text)
 
 
+def cell_color(text: Column, legend: Column, palette: Column) -> Column:
+    """What a cell's colour means: a legend entry's label only where the cell has no text of its own to speak of (three
+    characters at most), else the colour's name."""
+    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) <= 3, F.coalesce(legend, palette)).otherwise(palette)
+
+
+def reconcile(blocks: DataFrame, words: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Boxes moved onto the ink of their pages, then fused capitals spaced by the words of their pages; blocks of pages
+    without a raster or words stay as they are."""
+    return respace_blocks(snap_blocks(blocks, rasters), words)
+
+
 def is_swatch(text: Column, boxed: Column, saturated: Column) -> Column:
     """A legend entry: boxed, 1 to 60 characters, no heading, on a saturated colour."""
     return boxed & F.length(text).between(1, 60) & ~text.rlike("[:：]$") & saturated

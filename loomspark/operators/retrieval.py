@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomspark.functions import text as T
 
+from .shared import Holders, TopK, id_array, in_blocks, written
+
+#: Places that scores carry: enough to tell any two apart but for the noise of sums taken in another order, so that equal
+#: texts tie, and ties go by id.
+PLACES = 9
+#: Bound of the text or of the numbers of a block of queries, of which a task holds one.
+BLOCK_BYTES = 32 << 20
 TECHNIQUES = ("arithmetic_mean", "geometric_mean", "harmonic_mean", "reciprocal_rank_fusion")
 
 
@@ -26,25 +39,153 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score, rank). Terms that no query has are dropped before anything is shuffled; lengths are
-    counted in place. Repeated terms of a query count once. Scores are rounded to six places, ties go by chunk_id."""
-    docs = chunks.select("chunk_id", T.terms(F.coalesce("text", F.lit(""))).alias("_t"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.coalesce("text", F.lit(""))))).alias("term"))
-    stats = docs.agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg"))
-    terms = asked.select("term").distinct()
-    tf = docs.select("chunk_id", F.size("_t").alias("_dl"), F.explode("_t").alias("term")).join(terms, "term", "left_semi").groupBy("chunk_id", "term", "_dl").agg(F.count("*").alias("_tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("_df"))
-    idf = df.crossJoin(stats).select("term", "_avg", F.log1p((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"))
-    weight = F.col("_idf") * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_dl") / F.col("_avg")))
-    weighted = tf.join(idf, "term").select("term", "chunk_id", weight.alias("_w"))
-    return _top(asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("_w"), 6).alias("score")), k)
-
-
-def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, chunk_id, score, rank): exact, score = (1 + cosine) / 2, so never negative; rounded to six places."""
-    pairs = vectors.select("chunk_id", "vector").crossJoin(queries.select("query_id", F.col("vector").alias("_q")))
-    return _top(pairs.select("query_id", "chunk_id", F.round((1 + T.cosine(F.col("vector"), F.col("_q"))) / 2, 6).alias("score")), k)
+def _hits(best: TopK, ids: list, kinds: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+    q, chunk, score = best.rows()
+    return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kinds[0]), pa.array(chunk.tolist(), kinds[1]), pa.array(score)], ["query_id", "chunk_id", "score"])
+
+
+def _hit_schema(chunks: DataFrame, queries: DataFrame) -> tuple[str, tuple[pa.DataType, pa.DataType]]:
+    q, c = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
+    return f"query_id {q.simpleString()}, chunk_id {c.simpleString()}, score double", (to_arrow_type(q), to_arrow_type(c))
+
+
+def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, chunk_id, score, rank) of chunks (chunk_id, text) for queries (query_id, text).
+
+    Texts are read and cut into terms once: what is written of a chunk is its length and the counts of those of its terms
+    that a query has. From these come the statistics, one row a term, and then the scores, without a shuffle by term, of
+    which each task passes on its k best for each query. Queries are held by every task, in blocks of block_bytes of text.
+    Repeated terms of a query count once. Ties go by chunk_id."""
+    asked = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
+    return reduce(DataFrame.unionByName, [_bm25_block(chunks, part, k, k1, b) for part in in_blocks(asked, F.octet_length("text"), block_bytes)])
+
+
+def _bm25_block(chunks: DataFrame, asked: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    spark = chunks.sparkSession
+    rows = asked.collect()  # a block
+    ids, holders = [r["query_id"] for r in rows], Holders([T.term_list(r["text"]) for r in rows])
+    schema, kinds = _hit_schema(chunks, asked)
+    wanted = spark.sparkContext.broadcast(holders.place)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = wanted.value
+        for batch in batches:
+            size, term, many = [], [], []
+            for text in batch.column(1).to_pylist():
+                found = T.term_list(text)
+                own = sorted((place[t], n) for t, n in Counter(found).items() if t in place)
+                size.append(len(found))
+                term.append([t for t, _ in own])
+                many.append([n for _, n in own])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(term, pa.list_(pa.int32())), pa.array(many, pa.list_(pa.int32()))], ["chunk_id", "size", "terms", "counts"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    postings = written(chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(counted, f"chunk_id {kind}, size bigint, terms array<int>, counts array<int>"), "postings")
+    n, mean = postings.agg(F.count("*"), F.avg("size")).first()
+    df = np.zeros(max(len(holders.place), 1))
+    for r in postings.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each term of the block
+        df[r["t"]] = r["count"]
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    held = spark.sparkContext.broadcast((holders, idf))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holders, idf = held.value
+        best, step = TopK(holders.n, k), max(1, 4_000_000 // max(holders.n, 1))
+        for whole in batches:
+            for at in range(0, whole.num_rows if holders.n else 0, step):
+                batch = whole.slice(at, step)
+                size, terms = batch.column(1).to_numpy(), batch.column(2)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
+                term, tf = terms.flatten().to_numpy().astype(np.int64), batch.column(3).flatten().to_numpy().astype(np.float64)
+                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean)) if len(term) else tf
+                score = np.round(holders.spread(row, term, weight, batch.num_rows), PLACES)
+                best.add(id_array(batch.column(0)), np.where(score > 0, score, -np.inf))
+        yield _hits(best, ids, kinds)
+
+    return _top(postings.mapInArrow(scored, schema), k)
+
+
+def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, chunk_id, score, rank): exact, score = (1 + cosine) / 2, so never negative. A vector that is null, empty,
+    of norm 0 or of another length than the query's has cosine 0.
+
+    Every task holds the queries, in blocks of block_bytes, multiplies its vectors with them and passes on the k best for
+    each query. Ties go by chunk_id."""
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    return reduce(DataFrame.unionByName, [_knn_block(vectors, part, k) for part in in_blocks(asked, F.size("vector") * 8, block_bytes)])
+
+
+def _unit(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: (places, unit vectors) of the rows that have a norm."""
+    by: dict[int, list[int]] = {}
+    for i, v in enumerate(rows):
+        if v is not None and len(v):
+            by.setdefault(len(v), []).append(i)
+    out = {}
+    for size, at in by.items():
+        x = np.array([rows[i] for i in at], np.float64)
+        norm = np.sqrt((x * x).sum(1))
+        good = np.isfinite(norm) & (norm > 0)
+        out[size] = (np.array(at)[good], x[good] / norm[good][:, None])
+    return out
+
+
+def _knn_block(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    rows = asked.collect()  # a block
+    ids, many = [r["query_id"] for r in rows], len(rows)
+    schema, kinds = _hit_schema(vectors, asked)
+    held = vectors.sparkSession.sparkContext.broadcast(_unit([r["vector"] for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, step = TopK(many, k), max(1, 4_000_000 // max(many, 1))
+        for whole in batches:
+            for at in range(0, whole.num_rows if many else 0, step):
+                batch = whole.slice(at, step)
+                cosine = np.zeros((many, batch.num_rows))
+                for size, (place, x) in _unit(batch.column(1).to_pylist()).items():
+                    if size in held.value:
+                        q, y = held.value[size]
+                        cosine[np.ix_(q, place)] = y @ x.T
+                best.add(id_array(batch.column(0)), np.round((1 + cosine) / 2, PLACES))
+        yield _hits(best, ids, kinds)
+
+    return _top(vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, schema), k)
+
+
+def bm25_rank(hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score, rank) of the wanted (query_id, chunk_id) among the hits; nulls where it isn't there."""
+    return wanted.select("query_id", "chunk_id").join(hits.select("query_id", "chunk_id", "score", "rank"), ["query_id", "chunk_id"], "left")
+
+
+def hybrid_scores(keyword_leg: DataFrame, vector_leg: DataFrame, weights: tuple[float, float] = (0.5, 0.5), technique: str = "arithmetic_mean") -> DataFrame:
+    """What a store's own hybrid query gives: (query_id, chunk_id, score, rank). The legs come as keyword, vector, and so
+    do the weights. Each leg is scaled by its own hits, a missing one counts 0, and means are weighted; the geometric and
+    the harmonic one leave out legs that score 0. Reciprocal ranks (constant 60) take no weights."""
+    legs = []
+    for leg, w in zip((keyword_leg, vector_leg), weights):
+        own = Window.partitionBy("query_id")
+        low, high = F.min("score").over(own), F.max("score").over(own)
+        scaled = F.when(high == low, 1.0).otherwise(F.try_divide(F.col("score") - low, high - low))
+        legs.append(leg.select("query_id", "chunk_id", F.greatest(scaled, F.lit(0.001)).alias("x"), (1 / (60 + F.col("rank"))).alias("r"), F.lit(max(float(w), 1e-6)).alias("w")))
+    both = legs[0].unionByName(legs[1]).groupBy("query_id", "chunk_id")
+    whole = sum(max(float(w), 1e-6) for w in weights)
+    how = {
+        "arithmetic_mean": F.sum(F.col("w") * F.col("x")) / whole,
+        "geometric_mean": F.exp(F.sum(F.col("w") * F.log("x")) / F.sum("w")),
+        "harmonic_mean": F.sum("w") / F.sum(F.col("w") / F.col("x")),
+        "reciprocal_rank_fusion": F.sum("r"),
+    }
+    return both.agg(F.round(how[technique], PLACES).alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+
+
+def ids_in_set(chunks: DataFrame, set_ids: list[str]) -> DataFrame:
+    """(chunk_id): the distinct ids of the sets, however many."""
+    return chunks.where(F.col("set_id").isin(set_ids)).select("chunk_id").distinct()
+
+
+def chunk_vector(chunks: DataFrame, chunk_id, model: str) -> DataFrame:
+    """(chunk_id, vector) of one chunk by a model, from the map vectors (model to vector); null where it has none."""
+    return chunks.where(F.col("chunk_id") == chunk_id).select("chunk_id", F.try_element_at("vectors", F.lit(model)).alias("vector"))
 
 
 def combined(technique: str, a: Column, b: Column) -> Column:
@@ -77,7 +218,7 @@ def fuse(vector_leg: DataFrame, keyword_leg: DataFrame, technique: str = "arithm
 
         fused = combined(technique, scaled("vector_score") * (1 - kw) * 2, scaled("bm25_score") * kw * 2)
     order = Window.partitionBy("query_id").orderBy(F.desc("fused"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("bm25_rank"), "chunk_id")
-    return both.withColumn("fused", F.round(fused, 6)).withColumn("fused_rank", F.row_number().over(order))
+    return both.withColumn("fused", F.round(fused, PLACES)).withColumn("fused_rank", F.row_number().over(order))
 
 
 def drop_near_duplicates(candidates: DataFrame, radius: int = 3, contained: float | None = None) -> DataFrame:
@@ -108,13 +249,31 @@ def drop_near_duplicates(candidates: DataFrame, radius: int = 3, contained: floa
     return candidates.groupBy("query_id").applyInPandas(keep, candidates.withColumn("final_rank", F.lit(0)).schema)
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, *, technique: str = "arithmetic_mean", keyword_weight: float = 0.3, top_k: int = 20, near_duplicates: bool = True) -> DataFrame:
-    """Hybrid retrieval: chunks (chunk_id, text, vector), queries (query_id, text, vector)."""
-    fused = fuse(knn_topk(chunks, queries, top_k), bm25_topk(chunks, queries, top_k), technique, keyword_weight, top_k)
-    texts = fused.join(chunks.select("chunk_id", F.col("text").alias("chunk_text")), "chunk_id")
-    if near_duplicates:
-        return drop_near_duplicates(texts)
-    return texts.withColumn("final_rank", F.col("fused_rank"))
+def retrieve(
+    chunks: DataFrame, queries: DataFrame, *, technique: str = "arithmetic_mean", keyword_weight: float = 0.3, top_k: int = 20, near_duplicates: bool = True,
+    set_ids: list[str] | None = None, owner: str | None = None, keyword: bool = True, embed: Callable[[Column], Column] | None = None, reranker: Column | None = None,
+) -> DataFrame:
+    """Hybrid retrieval: chunks (chunk_id, text, vector, and document_id, enabled, set_id and owner if they have them), queries
+    (query_id, text, and vector unless embed makes it of the text).
+
+    One row a candidate, up to twice top_k a query: (query_id, chunk_id, document_id, document_name, chunk_text,
+    vector_score, vector_rank, bm25_score, bm25_rank, fused, fused_rank, rerank_score, final_rank, assembled). keyword=False
+    is a store without a text index. reranker: a score by the columns of the candidates; final_rank follows it, without one
+    rerank_score is null."""
+    if "vector" not in queries.columns:
+        if embed is None:
+            raise ValueError("queries need a vector, or embed to make one")
+        queries = queries.withColumn("vector", embed(F.col("text")))
+    if "enabled" in chunks.columns:
+        chunks = in_scope(chunks, set_ids, owner)
+    vectors = knn_topk(chunks, queries, top_k)
+    fused = fuse(vectors, bm25_topk(chunks, queries, top_k) if keyword else vectors.where("false"), technique, keyword_weight, top_k)
+    document = F.col("document_id") if "document_id" in chunks.columns else F.lit(None).cast("string")
+    found = fused.join(chunks.select("chunk_id", document.alias("document_id"), F.col("text").alias("chunk_text")), "chunk_id")
+    kept = drop_near_duplicates(found) if near_duplicates else found.withColumn("final_rank", F.col("fused_rank"))
+    ranked = kept.withColumn("rerank_score", F.lit(None).cast("double")) if reranker is None else rerank(kept, reranker)
+    first = ("query_id", "chunk_id", "document_id", F.lit("").alias("document_name"), "chunk_text")
+    return ranked.select(*first, "vector_score", "vector_rank", "bm25_score", "bm25_rank", "fused", "fused_rank", "rerank_score", "final_rank", F.lit(False).alias("assembled"))
 
 
 def rerank(candidates: DataFrame, score: Column) -> DataFrame:
@@ -161,17 +320,23 @@ def maximal_marginal_relevance(items: DataFrame, k: int = 10, weight: float = 0.
 
 
 def auto_merge(children: DataFrame, parents: DataFrame, ratio: float = 0.5) -> DataFrame:
-    """Children (query_id, chunk_id, parent_id, score, text) whose parent (chunk_id, child_count, text) has enough of
-    its children retrieved become one row of the parent, with the best score. Repeated children count once."""
-    order = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("score"))
-    once = children.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
-    known = once.join(parents.select(F.col("chunk_id").alias("parent_id"), "child_count", F.col("text").alias("_ptext")), "parent_id", "left")
+    """Children (query_id, chunk_id, parent_id, score, text, and ord if they have it) whose parent (chunk_id, child_count,
+    text) has enough of its children retrieved become one row of the parent, with the best score. Of a repeated child the
+    first counts (by ord; without one the best). position is the order of the result: by score, and of equal scores those
+    without a known parent first, then parents in the order in which they appear."""
+    came = F.col("ord") if "ord" in children.columns else F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    placed = children.withColumn("_ord", came)
+    once = placed.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("_ord"))).where("_k = 1").drop("_k")
+    known = once.join(parents.select(F.col("chunk_id").alias("parent_id"), "child_count", F.col("text").alias("_ptext"), F.lit(True).alias("_has")), "parent_id", "left")
     group = Window.partitionBy("query_id", "parent_id")
-    share = F.try_divide(F.count("*").over(group), F.col("child_count"))
-    marked = known.withColumn("_merge", F.col("parent_id").isNotNull() & F.coalesce(share >= min(max(ratio, 0.0), 1.0), F.lit(False)))
-    merged = marked.where("_merge").groupBy("query_id", "parent_id").agg(F.max("score").alias("score"), F.first("_ptext").alias("text"), F.count("*").cast("int").alias("merged"))
-    kept = marked.where("NOT _merge").select("query_id", "chunk_id", "parent_id", "score", "text", F.lit(0).alias("merged"))
-    return kept.unionByName(merged.select("query_id", F.col("parent_id").alias("chunk_id"), F.lit(None).cast(dict(children.dtypes)["parent_id"]).alias("parent_id"), "score", "text", "merged"))
+    share = F.when(F.col("child_count") > 0, F.count("*").over(group) / F.col("child_count"))
+    grouped = F.coalesce("_has", F.lit(False))
+    marked = known.withColumn("_first", F.when(grouped, F.min("_ord").over(group))).withColumn("_merge", grouped & F.coalesce(share >= min(max(ratio, 0.0), 1.0), F.lit(False)))
+    merged = marked.where("_merge").groupBy("query_id", "parent_id").agg(F.max("score").alias("score"), F.first("_ptext").alias("text"), F.count("*").cast("int").alias("merged"), F.min("_first").alias("_first"), F.min("_ord").alias("_ord"))
+    kept = marked.where("NOT _merge").select("query_id", "chunk_id", "parent_id", "score", "text", F.lit(0).alias("merged"), "_first", "_ord")
+    out = kept.unionByName(merged.select("query_id", F.col("parent_id").alias("chunk_id"), F.lit(None).cast(dict(children.dtypes)["parent_id"]).alias("parent_id"), "score", "text", "merged", "_first", "_ord"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("_first"), "_ord")
+    return out.withColumn("position", F.row_number().over(order)).drop("_first", "_ord")
 
 
 def assemble_context(segments: DataFrame, budget: int, tokens: Column | None = None) -> DataFrame:

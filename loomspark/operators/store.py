@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from loomspark.functions import text as T
 
+from .shared import Holders, in_blocks, written
+
 
 def open_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at path; an empty one of that schema where there is none."""
@@ -44,14 +52,47 @@ def searchable_count(index: DataFrame) -> DataFrame:
     return index.groupBy("set_id").agg(F.count("*").alias("n"))
 
 
-def embed_texts(texts: DataFrame, cache: DataFrame, model: str, embed, days: int = 30) -> DataFrame:
-    """(text, vector) of the distinct texts: from cache (key, vector, cached_at) if younger than days, else by embed, a
-    column function; texts go to it ordered by length, so that a batch has little padding."""
-    key = F.concat(F.lit("emb:"), F.sha2(F.concat(F.lit(f"embed-1 {model} "), F.col("text")), 256))
-    fresh = cache.where(F.col("cached_at") > F.current_timestamp() - F.make_dt_interval(F.lit(days))).select("key", F.col("vector").alias("_v"))
-    keyed = texts.select("text").where("text IS NOT NULL").distinct().withColumn("key", key).join(fresh, "key", "left")
-    missed = keyed.where("_v IS NULL").sortWithinPartitions(F.length("text"))
-    return keyed.where("_v IS NOT NULL").select("text", "key", F.col("_v").alias("vector")).unionByName(missed.select("text", "key", embed(F.col("text")).alias("vector")))
+CACHE_DAYS = 30
+
+
+def cache_key(kind: str, *parts: Column) -> Column:
+    """'emb' over model and text, 'ctx' over model, document hash and text: parts are joined by spaces."""
+    return F.concat(F.lit(f"{kind}:"), F.sha2(F.concat_ws(" ", F.lit({"emb": "embed-1", "ctx": "ctx-1"}[kind]), *parts), 256))
+
+
+def cached(keyed: DataFrame, cache: DataFrame, days: int = CACHE_DAYS, value: str = "vector") -> DataFrame:
+    """keyed (key, ...) with value, null where the cache (key, value, cached_at) has none younger than days."""
+    fresh = cache.where(F.col("cached_at") > F.current_timestamp() - F.make_dt_interval(F.lit(days))).groupBy("key").agg(F.max_by(value, "cached_at").alias(value))
+    return keyed.join(fresh, "key", "left")
+
+
+def remember(cache: DataFrame, found: DataFrame, value: str = "vector") -> DataFrame:
+    """The cache (key, value, cached_at) with what was found (key, value) in place of what it had of those keys."""
+    return cache.join(found.select("key").distinct(), "key", "left_anti").unionByName(found.select("key", value, F.current_timestamp().alias("cached_at")))
+
+
+def normalized(c: Column) -> Column:
+    """Unicode NFC, for which there is no built-in function."""
+
+    @F.pandas_udf("string")
+    def nfc(texts):  # noqa: ANN001, ANN202
+        return texts.str.normalize("NFC")
+
+    return F.when(c.rlike(r"[^\x00-\x{2FF}]"), nfc(c)).otherwise(c)
+
+
+def embed_texts(texts: DataFrame, cache: DataFrame, model: str, embed: Callable[[Column], Column], days: int = CACHE_DAYS) -> DataFrame:
+    """(text, key, vector) of the distinct texts, in NFC: from the cache (key, vector, cached_at) if younger than days, else
+    by embed, a column function; texts go to it ordered by length, so that a batch has little padding. Vectors of
+    different lengths are an error."""
+    distinct = texts.select(normalized(F.col("text")).alias("text")).where("text IS NOT NULL").distinct()
+    keyed = cached(distinct.withColumn("key", cache_key("emb", F.lit(model), F.col("text"))), cache, days)
+    missed = keyed.where("vector IS NULL").sortWithinPartitions(F.length("text"))
+    out = written(keyed.where("vector IS NOT NULL").select("text", "key", "vector").unionByName(missed.select("text", "key", embed(F.col("text")).alias("vector"))), "embedded")
+    sizes = out.agg(F.min(F.size("vector")).alias("a"), F.max(F.size("vector")).alias("b")).first()
+    if sizes["a"] != sizes["b"]:
+        raise ValueError(f"vectors of {sizes['a']} and of {sizes['b']} numbers")
+    return out
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -59,25 +100,51 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("checksum")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND checksum IS NOT NULL")
 
 
-def near_pairs(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b, distance) of ids whose SimHashes differ in radius bits or fewer, a < b. Of radius + 1 equal parts of the
-    bits at least one must agree: pairs are looked for among those, which is exact; equal hashes are compared once."""
-    prints = docs.select("doc_id", T.simhash(F.col("text")).alias("h")).where("h IS NOT NULL")
-    width = -(-64 // (radius + 1))
-    distinct = prints.select("h").distinct()
-    bands = F.posexplode(F.array(*[F.shiftrightunsigned("h", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(radius + 1)]))
-    banded = distinct.select("h", bands.alias("band", "value"))
-    met = banded.alias("x").join(banded.alias("y"), ["band", "value"]).where("x.h < y.h").select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).where(T.hamming(F.col("ha"), F.col("hb")) <= radius).distinct()
-    pairs = met.unionByName(met.select(F.col("hb").alias("ha"), F.col("ha").alias("hb"))).unionByName(distinct.select(F.col("h").alias("ha"), F.col("h").alias("hb")))
-    ids = pairs.join(prints.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "ha").join(prints.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "hb")
-    return ids.where("a < b").select("a", "b", T.hamming(F.col("ha"), F.col("hb")).alias("distance"))
+def print_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, h): documents of equal SimHash are a class, named by the smallest id."""
+    prints = written(docs.select("doc_id", T.simhash(F.col("text")).alias("h")).where("h IS NOT NULL"), "prints")
+    return prints.join(prints.groupBy("h").agg(F.min("doc_id").alias("class_id")), "h").select("doc_id", "class_id", "h")
+
+
+def near_pairs(classes: DataFrame, radius: int = 3) -> DataFrame:
+    """(a, b, distance) of the classes (class_id, h) whose SimHashes differ in radius bits or fewer, a < b; with the
+    membership these are all pairs of documents. Of radius + 3 parts of the bits at least three must agree, so pairs are
+    looked for among those that agree in some three: exact, with keys of about 192 / (radius + 3) bits."""
+    parts = radius + 3
+    edges = [round(i * 64 / parts) for i in range(parts + 1)]
+    part = [F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+    keys = F.posexplode(F.array(*[F.struct(*[part[i].alias(f"p{k}") for k, i in enumerate(three)]) for three in combinations(range(parts), 3)]))
+    heads = classes.select("class_id", "h").distinct()
+    keyed = heads.select("class_id", "h", keys.alias("way", "key"))
+    met = keyed.alias("x").join(keyed.alias("y"), ["way", "key"]).where("x.class_id < y.class_id").select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"), T.hamming(F.col("x.h"), F.col("y.h")).alias("distance"))
+    return met.where(F.col("distance") <= radius).distinct()
 
 
-def containment(items: DataFrame, docs: DataFrame, share: float = 0.9) -> DataFrame:
+def containment(items: DataFrame, docs: DataFrame, share: float = 0.9, block_bytes: int = 32 << 20) -> DataFrame:
     """(item_id, doc_id, share) of the items (item_id, text) of whose words a document (doc_id, text) has that share.
-    Joined on words: only those of the items are kept of the documents before the shuffle."""
-    words = lambda c: F.explode(T.word_set(F.col(c)))
-    own = items.select("item_id", F.size(T.word_set(F.col("text"))).alias("_n"), words("text").alias("w"))
-    theirs = docs.select("doc_id", words("text").alias("w"))
-    met = theirs.join(own, "w").groupBy("item_id", "doc_id", "_n").agg(F.count("*").alias("_k"))
-    return met.select("item_id", "doc_id", F.round(F.col("_k") / F.col("_n"), 6).alias("share")).where(F.col("_k") >= share * F.col("_n"))
+    Every task holds the items, in blocks of block_bytes of text, and reads its documents once: no shuffle."""
+    asked = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    return reduce(DataFrame.unionByName, [_containment_block(part, docs, share) for part in in_blocks(asked, F.octet_length("text"), block_bytes, "item_id")])
+
+
+def _containment_block(items: DataFrame, docs: DataFrame, share: float) -> DataFrame:
+    rows = items.collect()  # a block
+    words = [T.word_list(r["text"]) for r in rows]
+    size = np.array([len(set(w)) for w in words], np.float64)
+    held = docs.sparkSession.sparkContext.broadcast((Holders(words), size, np.array([r["item_id"] for r in rows])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holders, size, ids = held.value
+        step = max(1, 4_000_000 // max(holders.n, 1))
+        for whole in batches:
+            for start in range(0, whole.num_rows if holders.n else 0, step):
+                batch = whole.slice(start, step)
+                terms = [[holders.place[w] for w in set(T.word_list(t)) if w in holders.place] for t in batch.column(1).to_pylist()]
+                row = np.repeat(np.arange(batch.num_rows), [len(t) for t in terms])
+                term = np.array([x for t in terms for x in t], np.int64)
+                many = holders.spread(row, term, np.ones(len(term)), batch.num_rows)
+                q, r = np.nonzero((many > 0) & (many >= share * size[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array(r)), pa.array(np.round(many[q, r] / size[q], 6))], ["item_id", "doc_id", "share"])
+
+    kinds = [f"item_id {dict(items.dtypes)['item_id']}", f"doc_id {dict(docs.dtypes)['doc_id']}"]
+    return docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(run, ", ".join([*kinds, "share double"]))

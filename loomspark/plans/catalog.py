@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import chunking, graph, layout, pixels, retrieval, runs, store
+from loomspark.operators import chunking, graph, layout, pages, pixels, retrieval, runs, store
 from loomspark.sources import html
 from loomspark.streaming import ingest
 
@@ -75,14 +75,17 @@ _SIGNALS = r"""
 WITH t AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
 s AS (SELECT doc_id, lang, length(t) AS n, CASE WHEN length(t) = 0 THEN 0 ELSE len(regexp_extract_all(t, '[\x00-\x08\x0E-\x1F\x7F-\x9F\p{Cf}\p{Co}\x{FFFD}]')) / length(t) END AS ctrl,
   CASE WHEN len(regexp_extract_all(t, '\p{L}')) = 0 THEN 1 ELSE len(regexp_extract_all(t, '[A-Za-z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}\x{370}-\x{3FF}\x{400}-\x{4FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]')) / len(regexp_extract_all(t, '\p{L}')) END AS valid FROM t),
-r AS (SELECT *, CASE WHEN n < 200 OR ctrl > 0.002 OR valid < 0.6 THEN 'vlm' ELSE 'fast' END AS route FROM s)
+r AS (SELECT *, CASE WHEN n < 200 OR ctrl > 0.002 OR valid < 0.6 OR doc_id % 7 = 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'mineru' ELSE 'vlm' END ELSE 'fast' END AS route FROM s)
 """
 
 
 def _routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third document is said to have graphics, every seventh to be garbled."""
     d = _t(spark, sf, "documents")
     t = T.js_trim(F.coalesce("text", F.lit("")))
-    return d.select("doc_id", "lang", T.ctrl_ratio(t).alias("ctrl"), T.valid_frac(t).alias("valid"), T.route_page(F.col("text"), F.lit(False), F.lit(0.0)).alias("route"))
+    trimmed = d.select("doc_id", "lang", t.alias("_t"))  # kept as a step of its own, as it is read more than once
+    signals = trimmed.select("doc_id", "lang", F.length("_t").alias("_n"), T.ctrl_ratio(F.col("_t")).alias("ctrl"), T.valid_frac(F.col("_t")).alias("valid"))
+    return signals.withColumn("route", T.route_of(F.col("_n"), F.col("ctrl"), F.col("valid"), F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 7 == 0, 0.01))).drop("_n")
 
 
 @_query(_SIGNALS + "SELECT doc_id, round(CAST(ctrl AS DOUBLE), 6) AS ctrl, round(CAST(valid AS DOUBLE), 6) AS valid, route FROM r")
@@ -130,9 +133,15 @@ def simhash_docs(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.lower(F.lpad(F.hex(T.simhash(F.col("text"))), 16, "0")).alias("h"))
 
 
-@_query(_HASH + "SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM prints a JOIN prints b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 3")
+@_query(_HASH + ", heads AS (SELECT min(doc_id) AS c, h FROM prints GROUP BY h) SELECT a.c AS a, b.c AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM heads a JOIN heads b ON a.c < b.c AND bit_count(xor(a.h, b.h)) <= 3")
 def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return store.near_pairs(_t(spark, sf, "documents"))
+    """Pairs of classes of documents; near_duplicate_classes tells who is in them."""
+    return store.near_pairs(store.print_classes(_t(spark, sf, "documents")))
+
+
+@_query(_HASH + "SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id FROM prints")
+def near_duplicate_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return store.print_classes(_t(spark, sf, "documents")).select("doc_id", "class_id")
 
 
 @_query(r"""
@@ -190,7 +199,7 @@ def position_blocks(spark: SparkSession, sf: str) -> DataFrame:
 @_query(_LINES + """, h AS (SELECT doc_id, ord, 5.0 + ord % 3 * 10 AS h FROM blocks),
 s AS (SELECT *, row_number() OVER w - 1 AS i, h / lag(h) OVER w AS ratio FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY h, ord)),
 c AS (SELECT doc_id, i AS cut FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ratio DESC, i) AS k FROM s WHERE ratio > 1.8) WHERE k = 1),
-n AS (SELECT doc_id, coalesce(any_value(cut), count(*)) // 2 AS at FROM s LEFT JOIN c USING (doc_id) GROUP BY doc_id)
+n AS (SELECT doc_id, coalesce(any_value(cut), count(*)) // 4 AS at FROM s LEFT JOIN c USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, CAST(h AS DOUBLE) AS line_height FROM s JOIN n USING (doc_id) WHERE i = n.at""".replace(" AS at ", " AS mid ").replace("n.at", "n.mid"))
 def line_heights(spark: SparkSession, sf: str) -> DataFrame:
     b = _blocks(spark, sf).withColumn("bbox", F.struct(F.lit(0.0).alias("l"), (5.0 + F.col("ord") % 3 * 10).alias("t"), F.lit(9.0).alias("r"), F.lit(0.0).alias("b")))
@@ -225,7 +234,9 @@ def merged_regions(spark: SparkSession, sf: str) -> DataFrame:
     return layout.merge_regions(met).select("span_id.doc_id", "span_id.part", "page", "boxes", "r", "t", "b")
 
 
-@_query()
+@_query(_SPANS.replace("SELECT spans.doc_id, part, ord, page, r, t,", "SELECT spans.doc_id, part, ord, page, r, t, span_start, length(text) AS n,") + """, f AS (SELECT *, (overlap_start - span_start) / greatest(n, 1) AS f0, (overlap_end - span_start) / greatest(n, 1) AS f1, r - 50 AS room FROM met),
+x AS (SELECT *, 50 + f0 * room AS x0, 50 + f1 * room AS x1 FROM f), w AS (SELECT *, (f0 <= 0.02 AND f1 >= 0.98) OR room <= 6 OR x1 - x0 < 6 OR x1 - x0 < 0.05 * room AS whole FROM x)
+SELECT doc_id, part, ord, page, round(CASE WHEN whole THEN 50.0 ELSE x0 END, 4) AS l, round(CASE WHEN whole THEN r ELSE x1 END, 4) AS r FROM w""")
 def clipped_regions(spark: SparkSession, sf: str) -> DataFrame:
     p = layout.position_blocks(_blocks(spark, sf))
     return layout.clip_regions(layout.span_regions(_spans(p), p), p, layout.line_height(p)).select("span_id.*", "ord", "page", F.round("bbox.l", 4).alias("l"), F.round("bbox.r", 4).alias("r"))
@@ -296,6 +307,85 @@ def structural_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.structural_chunks(layout.position_blocks(_blocks(spark, sf))).select("doc_id", "ord", "checksum", "rank")
 
 
+_ALL_CHUNKS = _SEGMENTS + """, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, segment ORDER BY ord) - 1 AS part, first_value(text) OVER (PARTITION BY doc_id, segment ORDER BY ord) AS head, max(caption) OVER (PARTITION BY doc_id, segment) AS cap FROM seg WHERE is_table),
+al AS (SELECT doc_id, segment, 0 AS part, min(span_start) AS a, max(span_end) AS b, concat_ws(chr(10), max(cap), string_agg(text, chr(10) ORDER BY ord)) AS text FROM t GROUP BY doc_id, segment
+UNION ALL SELECT doc_id, segment, part, span_start, span_end, concat_ws(chr(10), cap, head, text) FROM t WHERE part > 0
+UNION ALL SELECT doc_id, segment, j, rs + j * 280, rs + least(j * 280 + 400, length(run)), substr(run, j * 280 + 1, 400) FROM (SELECT doc_id, segment, min(span_start) AS rs, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS run FROM seg WHERE NOT is_table GROUP BY doc_id, segment), LATERAL (SELECT unnest(range(0, greatest(0, length(run) - 121) // 280 + 1)) AS j)),
+nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY segment, part) - 1 AS ord FROM al)"""
+
+
+@_query(_ALL_CHUNKS + """, met AS (SELECT nu.doc_id, nu.ord, count(*) AS regions FROM nu JOIN placed p ON p.doc_id = nu.doc_id AND p.span_start < b AND p.span_start + length(p.text) > a GROUP BY ALL)
+SELECT nu.doc_id, CAST(nu.ord AS INTEGER) AS ord, lpad(lower(to_hex(nu.ord)), 6, '0') AS rank, CAST(a AS BIGINT) AS span_start, CAST(b AS BIGINT) AS span_end, sha256(text) AS checksum, CAST(coalesce(regions, 0) AS INTEGER) AS regions FROM nu LEFT JOIN met ON met.doc_id = nu.doc_id AND met.ord = nu.ord""")
+def built_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """All chunks of the documents: tables with their captions, prose by character windows, with rank, checksum, regions."""
+    c = chunking.build_chunks(_blocks(spark, sf), "character", 400, 120)
+    return c.select("doc_id", "ord", "rank", "span_start", "span_end", "checksum", F.size("regions").alias("regions"))
+
+
+@_query(_SEGMENTS + ", r AS (SELECT doc_id, segment, min(span_start) AS run_start, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS run FROM seg WHERE NOT is_table GROUP BY ALL) SELECT doc_id, segment, run_start, md5(run) AS digest FROM r")
+def prose_runs(spark: SparkSession, sf: str) -> DataFrame:
+    runs_ = chunking.prose_runs(chunking.segmentize(layout.position_blocks(_blocks(spark, sf))))
+    return runs_.select("doc_id", "segment", "run_start", F.md5("text").alias("digest"))
+
+
+@_query(_LINES + ", p AS (SELECT *, span_start + length(text) AS e FROM placed), m AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS md FROM blocks GROUP BY doc_id) SELECT doc_id, ord, sha256(substr(md, span_start + 1, e - span_start)) AS checksum, CAST(CASE WHEN ord % 5 = 0 THEN 0 ELSE 1 END AS INTEGER) AS regions FROM p JOIN m USING (doc_id)")
+def remapped_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The spans of the blocks without their text, every fifth of them lost."""
+    p = layout.position_blocks(_blocks(spark, sf))
+    lost = lambda c: F.when(F.col("ord") % 5 == 0, F.lit(-1)).otherwise(F.col(c)).alias(c)
+    spans = p.select("doc_id", "ord", lost("span_start"), lost("span_end"), F.when(F.col("ord") % 5 == 0, F.col("text")).alias("text"))
+    return chunking.remap_span(spans, layout.markdown_of(p), p).select("doc_id", "ord", "checksum", F.size("regions").alias("regions"))
+
+
+@_query(_LINES + ", s AS (SELECT doc_id, page, count(*) AS n FROM blocks GROUP BY ALL) SELECT doc_id, page, n = 1 AND doc_id % 2 = 0 AS geometryless FROM s")
+def geometryless_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of even id are taken to have no boxes."""
+    b = _blocks(spark, sf)
+    return layout.is_geometryless(b.withColumn("bbox", F.when(F.col("doc_id") % 2 != 0, F.col("bbox"))))
+
+
+@_query(_LINES + "SELECT doc_id, CASE WHEN max(CAST(kind = 'table' AND doc_id % 3 = 0 AS INTEGER)) = 1 THEN 'grid' WHEN doc_id % 2 = 0 THEN 'spatial' ELSE 'none' END AS geometry FROM blocks GROUP BY doc_id")
+def geometries(spark: SparkSession, sf: str) -> DataFrame:
+    """Table lines of every third document have cells, documents of even id have boxes."""
+    b = _blocks(spark, sf)
+    return layout.geometry_of(b.withColumn("cell", F.when((F.col("kind") == "table") & (F.col("doc_id") % 3 == 0), F.col("ord"))).withColumn("bbox", F.when(F.col("doc_id") % 2 == 0, F.col("bbox"))))
+
+
+@_query(_LINES + ", k AS (SELECT doc_id, ord % 50 AS o, kind, text, page, min(ord) AS ord FROM blocks GROUP BY ALL) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY kind = 'table', ord) - 1 AS INTEGER) AS ord, kind, md5(text) AS digest FROM (SELECT doc_id, kind, text, page, min(ord) AS ord FROM blocks GROUP BY ALL)")
+def flattened_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal lines of a page once, tables last."""
+    nodes = _blocks(spark, sf).select("doc_id", "ord", "kind", "text", "page", F.struct(*[F.lit(0.0).alias(c) for c in "ltrb"]).alias("bbox"))
+    return pages.flatten(nodes).select("doc_id", "ord", "kind", F.md5("text").alias("digest"))
+
+
+@_query("""SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(x AS DOUBLE) AS l, CAST(CASE WHEN flip THEN 800 - t ELSE t END AS DOUBLE) AS t, CAST(CASE WHEN flip THEN 800 - b ELSE b END AS DOUBLE) AS b
+FROM (SELECT s_suppkey, s_suppkey % 90 AS x, s_suppkey % 50 * 10 AS t, s_suppkey % 70 * 10 AS b, (s_suppkey % 50 < s_suppkey % 70 OR s_suppkey % 4 = 0) AND s_suppkey % 5 <> 0 AS flip FROM supplier)""")
+def bottom_left_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes whose y grows downward by itself or by their origin; every fifth page has no known height."""
+    k = F.col("s_suppkey")
+    box = F.struct((k % 90).cast("double").alias("l"), (k % 50 * 10).cast("double").alias("t"), (k % 90 + 5).cast("double").alias("r"), (k % 70 * 10).cast("double").alias("b"))
+    turned = layout.to_bottom_left(box, F.when(k % 5 != 0, F.lit(800.0)), F.when(k % 4 == 0, "TOPLEFT").otherwise("BOTTOMLEFT"))
+    return _t(spark, sf, "supplier").select(k.cast("bigint").alias("id"), turned["l"].alias("l"), turned["t"].alias("t"), turned["b"].alias("b"))
+
+
+@_query("SELECT p_partkey AS id, CASE WHEN length(trim(left(p_name, p_size % 6))) <= 3 AND p_size % 2 = 0 THEN 'legend' WHEN p_size % 3 = 0 THEN NULL ELSE 'red' END AS color FROM part")
+def cell_colors(spark: SparkSession, sf: str) -> DataFrame:
+    """Legend entries count for cells of hardly any text."""
+    size = F.col("p_size")
+    color = pages.cell_color(F.substring("p_name", F.lit(1), (size % 6).cast("int")), F.when(size % 2 == 0, "legend"), F.when(size % 3 != 0, "red"))
+    return _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), color.alias("color"))
+
+
+@_query("""SELECT doc_id, ord, CASE WHEN route = 'fast' OR (route = 'mineru' AND NOT m AND NOT v) OR (route = 'vlm' AND NOT v) THEN CASE WHEN route = 'fast' THEN 'fast' ELSE 'rejected' END WHEN route = 'mineru' AND m THEN 'mineru' ELSE 'vlm' END AS engine
+FROM (SELECT o_orderkey AS doc_id, 0 AS ord, CASE o_orderkey % 4 WHEN 0 THEN 'mineru' WHEN 1 THEN 'vlm' ELSE 'fast' END AS route, o_custkey % 2 = 0 AS m, o_custkey % 3 = 0 AS v FROM orders)""")
+def routed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as pages of one block; some have no route, and not every page is parsed by every engine."""
+    page = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("ord"), "o_custkey")
+    route = F.when(F.col("doc_id") % 4 == 0, "mineru").when(F.col("doc_id") % 4 == 1, "vlm").when(F.col("doc_id") % 4 == 2, "fast")
+    routes = page.select("doc_id", "page", route.alias("route")).where("route IS NOT NULL")
+    return pages.routed_blocks(page, routes, page.where("o_custkey % 2 = 0"), page.where("o_custkey % 3 = 0")).select("doc_id", "ord", "engine")
+
+
 @_query("""SELECT doc_id, CAST(j AS INTEGER) AS ord, CAST(j * 280 AS BIGINT) AS span_start, CAST(least(j * 280 + 400, length(text)) AS BIGINT) AS span_end, substr(text, CAST(j * 280 + 1 AS BIGINT), 400) AS text
 FROM documents, LATERAL (SELECT unnest(range(0, greatest(0, length(text) - 121) // 280 + 1)) AS j) WHERE length(text) > 0""")
 def character_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,42 +416,47 @@ p AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
-sc AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL),
+sc AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL),
 kw AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 20)
 """
 
 
-@_query(_BM25 + "SELECT query_id, chunk_id, score, rank FROM kw")
+@_query(_BM25 + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kw")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.bm25_topk(_chunks(spark, sf), _asked(spark, sf), 20)
+    return _rounded(retrieval.bm25_topk(_chunks(spark, sf), _asked(spark, sf), 20), "score")
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Six places for comparing results; the operators rank by more."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
 @_query("""
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 x AS (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) AS r(i) GROUP BY ALL),
 c AS (SELECT label AS query_id, list(m ORDER BY i) AS m FROM x GROUP BY label),
-s AS (SELECT query_id, vec_id AS chunk_id, round((1 + list_cosine_similarity(e, m)) / 2, 6) AS score FROM v, c)
-SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
+s AS (SELECT query_id, vec_id AS chunk_id, round((1 + list_cosine_similarity(e, m)) / 2, 9) AS score FROM v, c)
+SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
 def knn_of_centroids(spark: SparkSession, sf: str) -> DataFrame:
     """The vectors nearest to the mean of each label."""
     v = _t(spark, sf, "embeddings")
     mean = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     asked = mean.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda r: r["m"]).alias("vector"))
-    return retrieval.knn_topk(v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), asked, 10)
+    return _rounded(retrieval.knn_topk(v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), asked, 10), "score")
 
 
 _LEGS = (
     _BM25
     + """, sv AS (SELECT doc_id AS chunk_id, list_transform(range(0, 8), lambda i: ((length(text) + i) % 7) / 7.0::DOUBLE) AS v FROM documents),
 qv AS (SELECT item_id AS query_id, list_transform(range(0, 8), lambda i: ((length(text) + i) % 7) / 7.0::DOUBLE) AS v FROM benchmark),
-vs AS (SELECT query_id, chunk_id, round((1 + list_cosine_similarity(sv.v, qv.v)) / 2, 6) AS score FROM sv, qv),
+vs AS (SELECT query_id, chunk_id, round((1 + list_cosine_similarity(sv.v, qv.v)) / 2, 9) AS score FROM sv, qv),
 ve AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM vs QUALIFY rank <= 20),
 u AS (SELECT coalesce(ve.query_id, kw.query_id) AS query_id, coalesce(ve.chunk_id, kw.chunk_id) AS chunk_id, ve.score AS vs, ve.rank AS vr, kw.score AS ks, kw.rank AS kr FROM ve FULL JOIN kw ON ve.query_id = kw.query_id AND ve.chunk_id = kw.chunk_id),
 mm AS (SELECT *, min(coalesce(vs, 0)) OVER q AS vl, max(coalesce(vs, 0)) OVER q AS vh, min(coalesce(ks, 0)) OVER q AS kl, max(coalesce(ks, 0)) OVER q AS kh FROM u WINDOW q AS (PARTITION BY query_id)),
 nn AS (SELECT *, CASE WHEN vh = vl THEN 1.0 ELSE (coalesce(vs, 0) - vl) / (vh - vl) END * 1.4 AS a, CASE WHEN kh = kl THEN 1.0 ELSE (coalesce(ks, 0) - kl) / (kh - kl) END * 0.6 AS b FROM mm)
 """
 )
-_FUSED = ", fz AS (SELECT *, round(CAST({how} AS DOUBLE), 6) AS fused FROM nn) SELECT query_id, chunk_id, vs AS vector_score, vr AS vector_rank, ks AS bm25_score, kr AS bm25_rank, fused, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vr NULLS LAST, kr NULLS LAST, chunk_id) AS INTEGER) AS fused_rank FROM fz"
+_FUSED = ", fz AS (SELECT *, round(CAST({how} AS DOUBLE), 9) AS fused FROM nn) SELECT query_id, chunk_id, round(vs, 6) AS vector_score, vr AS vector_rank, round(ks, 6) AS bm25_score, kr AS bm25_rank, round(fused, 6) AS fused, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fz.fused DESC, vr NULLS LAST, kr NULLS LAST, chunk_id) AS INTEGER) AS fused_rank FROM fz"
 _HOW = {
     "arithmetic_mean": "(a + b) / 2",
     "geometric_mean": "sqrt(greatest(a * b, 0))",
@@ -373,7 +468,7 @@ _HOW = {
 def _fusion(technique: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         chunks, asked = _chunks(spark, sf), _asked(spark, sf)
-        return retrieval.fuse(retrieval.knn_topk(chunks, asked), retrieval.bm25_topk(chunks, asked), technique)
+        return _rounded(retrieval.fuse(retrieval.knn_topk(chunks, asked), retrieval.bm25_topk(chunks, asked), technique), "vector_score", "bm25_score", "fused")
 
     return run
 
@@ -385,13 +480,56 @@ for _technique, _how in _HOW.items():
 
 @_query(_LEGS + _FUSED.format(how="(a + b) / 2").replace("AS fused_rank FROM fz", "AS final_rank FROM fz"))
 def retrieve_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    found = retrieval.retrieve(_chunks(spark, sf), _asked(spark, sf), near_duplicates=False)
+    found = _rounded(retrieval.retrieve(_chunks(spark, sf), _asked(spark, sf), near_duplicates=False), "vector_score", "bm25_score", "fused")
     return found.select("query_id", "chunk_id", "vector_score", "vector_rank", "bm25_score", "bm25_rank", "fused", "final_rank")
 
 
-@_query()
+_GREEDY = (
+    "WITH RECURSIVE" + _LEGS.lstrip().removeprefix("WITH") + ", " + _HASH.lstrip().removeprefix("WITH").replace("p AS (SELECT doc_id, bit_or", "hp AS (SELECT doc_id, bit_or").replace("LEFT JOIN p ", "LEFT JOIN hp ").replace("p.h", "hp.h") + """,
+fz AS (SELECT *, round(CAST((a + b) / 2 AS DOUBLE), 9) AS fused FROM nn),
+rk AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vr NULLS LAST, kr NULLS LAST, chunk_id) AS k, h, coalesce(text, '') <> '' AS full_ FROM fz JOIN documents d ON d.doc_id = chunk_id LEFT JOIN prints p ON p.doc_id = chunk_id),
+go AS (SELECT query_id, 0::BIGINT AS k, []::UBIGINT[] AS kept, NULL::BIGINT AS chunk_id, false AS stays FROM (SELECT DISTINCT query_id FROM rk)
+UNION ALL SELECT g.query_id, r.k, CASE WHEN r.full_ AND len(list_filter(g.kept, lambda x: bit_count(xor(x, r.h)) <= 3)) = 0 THEN list_append(g.kept, r.h) ELSE g.kept END, r.chunk_id, NOT r.full_ OR len(list_filter(g.kept, lambda x: bit_count(xor(x, r.h)) <= 3)) = 0
+FROM go g JOIN rk r ON r.query_id = g.query_id AND r.k = g.k + 1)
+"""
+)
+
+
+@_query(_GREEDY + "SELECT query_id, chunk_id, CAST(k AS INTEGER) AS fused_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k) AS INTEGER) AS final_rank FROM go WHERE stays")
 def retrieve_without_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.retrieve(_chunks(spark, sf), _asked(spark, sf)).drop("chunk_text")
+    return retrieval.retrieve(_chunks(spark, sf), _asked(spark, sf)).select("query_id", "chunk_id", "fused_rank", "final_rank")
+
+
+@_query(_LEGS + """, fz AS (SELECT *, round(CAST((a + b) / 2 AS DOUBLE), 9) AS fused FROM nn), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vr NULLS LAST, kr NULLS LAST, chunk_id) AS k FROM fz)
+SELECT query_id, chunk_id, 'd' || chunk_id AS document_id, '' AS document_name, CAST(length(text) % 7 AS DOUBLE) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY length(text) % 7 DESC NULLS LAST, k) AS INTEGER) AS final_rank, false AS assembled FROM fr JOIN documents ON doc_id = chunk_id""")
+def reranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every column a candidate has besides its legs, ranked by a stand-in for a reranking model."""
+    chunks = _chunks(spark, sf).withColumn("document_id", F.concat(F.lit("d"), F.col("chunk_id").cast("string")))
+    asked = _asked(spark, sf).drop("vector")
+    found = retrieval.retrieve(chunks, asked, near_duplicates=False, embed=T.stub_embedding, reranker=(F.length("chunk_text") % 7).cast("double"))
+    return found.select("query_id", "chunk_id", "document_id", "document_name", "rerank_score", "final_rank", "assembled")
+
+
+@_query(_LEGS + """, ks AS (SELECT *, min(score) OVER q AS lo, max(score) OVER q AS hi FROM kw WINDOW q AS (PARTITION BY query_id)), vz AS (SELECT *, min(score) OVER q AS lo, max(score) OVER q AS hi FROM ve WINDOW q AS (PARTITION BY query_id)),
+l AS (SELECT query_id, chunk_id, 0.3 AS w, greatest(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 0.001) AS x FROM ks UNION ALL SELECT query_id, chunk_id, 0.7, greatest(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 0.001) FROM vz)
+SELECT query_id, chunk_id, round(sum(CAST(w AS DOUBLE) * x), 6) AS score FROM l GROUP BY ALL""")
+def store_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, asked = _chunks(spark, sf), _asked(spark, sf)
+    return _rounded(retrieval.hybrid_scores(retrieval.bm25_topk(chunks, asked), retrieval.knn_topk(chunks, asked), (0.3, 0.7)), "score").select("query_id", "chunk_id", "score")
+
+
+@_query(_BM25 + "SELECT b.item_id AS query_id, w.chunk_id, round(kw.score, 6) AS score, kw.rank FROM benchmark b JOIN (SELECT min(doc_id) AS chunk_id FROM documents UNION ALL SELECT max(doc_id) FROM documents) w ON true LEFT JOIN kw ON kw.query_id = b.item_id AND kw.chunk_id = w.chunk_id")
+def bm25_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of the first and of the last document among the hits of each query, null where it isn't one."""
+    ends = _t(spark, sf, "documents").agg(F.array(F.min("doc_id"), F.max("doc_id")).alias("e")).select(F.explode("e").alias("chunk_id"))
+    return retrieval.bm25_rank(bm25_topk(spark, sf), _asked(spark, sf).select("query_id").crossJoin(F.broadcast(ends)))
+
+
+@_query(_BM25 + ", h AS (SELECT query_id, chunk_id % 40 AS chunk_id, CASE WHEN rank % 5 <> 0 THEN score END AS score, rank FROM kw), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank) AS k FROM h) SELECT query_id, chunk_id, round(coalesce(score, 0), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank FROM f WHERE k = 1")
+def deduped_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits whose ids repeat, some without a score."""
+    hits = bm25_topk(spark, sf).select("query_id", (F.col("chunk_id") % 40).alias("chunk_id"), F.when(F.col("rank") % 5 != 0, F.col("score")).alias("score"), "rank")
+    return retrieval.dedupe_hits(hits)
 
 
 _MIDDLE = "CASE WHEN (rank - 1) % 2 = 0 THEN (rank - 1) // 2 ELSE count(*) OVER (PARTITION BY query_id) - 1 - (rank - 2) // 2 END"
@@ -406,16 +544,24 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return bm25_topk(spark, sf).join(_chunks(spark, sf), "chunk_id")
 
 
-@_query()
+@_query("WITH RECURSIVE" + _BM25.lstrip().removeprefix("WITH") + """,
+it AS (SELECT query_id, chunk_id, rank, round(score, 6) AS score, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS ws FROM kw JOIN documents ON doc_id = chunk_id),
+ls AS (SELECT query_id, list(chunk_id ORDER BY rank) AS ids, list(score ORDER BY rank) AS sc, count(*) AS n FROM it GROUP BY query_id),
+pj AS (SELECT a.query_id, a.rank AS i, b.rank AS j, CASE WHEN len(a.ws) = 0 AND len(b.ws) = 0 THEN 1.0 ELSE len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) END::DOUBLE AS s FROM it a JOIN it b USING (query_id)),
+mm AS (SELECT query_id, list(rw ORDER BY i) AS m FROM (SELECT query_id, i, list(s ORDER BY j) AS rw FROM pj GROUP BY ALL) GROUP BY query_id),
+go AS (SELECT query_id, 0 AS k, []::BIGINT[] AS picked, list_transform(range(0, n), lambda x: 0.0::DOUBLE) AS worst, NULL::BIGINT AS best FROM ls
+UNION ALL SELECT query_id, k + 1, list_append(picked, b), list_transform(range(1, n + 1), lambda i: greatest(worst[i], m[b][i])), b
+FROM (SELECT g.query_id, g.k, g.picked, g.worst, l.n, mm.m, list_transform(range(1, l.n + 1), lambda i: CASE WHEN list_contains(g.picked, i) THEN NULL ELSE 0.5::DOUBLE * l.sc[i] - 0.5::DOUBLE * g.worst[i] END) AS v, CAST(list_position(v, list_max(v)) AS BIGINT) AS b FROM go g JOIN ls l USING (query_id) JOIN mm USING (query_id) WHERE g.k < least(10, l.n)))
+SELECT query_id, ids[best] AS chunk_id, CAST(k AS INTEGER) AS mmr_rank FROM go JOIN ls USING (query_id) WHERE k > 0""")
 def diversified(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.maximal_marginal_relevance(_hits(spark, sf).select("query_id", "chunk_id", F.col("rank").alias("ord"), "score", "text")).select("query_id", "chunk_id", "mmr_rank")
 
 
 @_query(_BM25 + """, c AS (SELECT query_id, chunk_id, chunk_id % 50 AS parent_id, score FROM kw), g AS (SELECT *, count(*) OVER (PARTITION BY query_id, parent_id) / 4 >= 0.5 AS m FROM c)
-SELECT query_id, chunk_id, score, 0 AS merged FROM g WHERE NOT m UNION ALL SELECT query_id, parent_id, max(score), CAST(count(*) AS INTEGER) FROM g WHERE m GROUP BY query_id, parent_id""")
+SELECT query_id, chunk_id, round(score, 6) AS score, 0 AS merged FROM g WHERE NOT m UNION ALL SELECT query_id, parent_id, round(max(score), 6), CAST(count(*) AS INTEGER) FROM g WHERE m GROUP BY query_id, parent_id""")
 def auto_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Parents of the documents of equal remainder, each said to have four children."""
-    children = _hits(spark, sf).select("query_id", "chunk_id", (F.col("chunk_id") % 50).alias("parent_id"), "score", "text")
+    children = _hits(spark, sf).select("query_id", "chunk_id", (F.col("chunk_id") % 50).alias("parent_id"), "score", "text", F.col("rank").alias("ord"))
     parents = _t(spark, sf, "documents").select((F.col("doc_id") % 50).alias("chunk_id")).distinct().select("chunk_id", F.lit(4).alias("child_count"), F.lit("p").alias("text"))
     return retrieval.auto_merge(children, parents).select("query_id", "chunk_id", "score", "merged")
 
@@ -482,23 +628,69 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     return graph.dedupe_entities(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("name"), F.lit("priority").alias("type")))
 
 
-_CHAINS = "WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 10 <> 0), m AS (SELECT k AS member FROM p UNION SELECT k + 1 FROM p), c AS (SELECT member, ((member - 1) // 10) * 10 + 1 AS low FROM m)"
+_TREES = """WITH k AS (SELECT 'c' || c_custkey AS member, 'n' || c_nationkey AS g FROM customer UNION SELECT 'n' || c_nationkey, 'n' || c_nationkey FROM customer
+UNION SELECT 'o' || o_orderkey, coalesce('n' || c_nationkey, 'c' || o_custkey) FROM orders LEFT JOIN customer ON c_custkey = o_custkey UNION SELECT 'c' || o_custkey, 'c' || o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)),
+f AS (SELECT member, min(member) OVER (PARTITION BY g) AS community FROM k)"""
 
 
-@_query(_CHAINS + " SELECT member, CAST(greatest(low, (SELECT min(member) FROM c)) AS BIGINT) AS community FROM c")
+@_query(_TREES + " SELECT member, community FROM f")
 def communities(spark: SparkSession, sf: str) -> DataFrame:
-    """Chains of ten consecutive parts."""
-    return graph.communities(_t(spark, sf, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("source"), (F.col("p_partkey") + 1).alias("target")))
+    """Nations with their customers and those customers' orders: a few trees of very uneven size."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    edges = _t(spark, sf, "customer").select(name("c", "c_custkey").alias("source"), name("n", "c_nationkey").alias("target"))
+    return graph.communities(edges.unionByName(_t(spark, sf, "orders").select(name("o", "o_orderkey").alias("source"), name("c", "o_custkey").alias("target"))))
 
 
-@_query(_CHAINS + ", g AS (SELECT member, greatest(low, (SELECT min(member) FROM c)) AS community FROM c) SELECT CAST(community AS BIGINT) AS community, count(*) AS size, string_agg(member::VARCHAR, ', ' ORDER BY member::VARCHAR) AS members FROM g GROUP BY 1")
+@_query(_TREES + " SELECT community, count(*) AS size, array_to_string(list(member ORDER BY member)[1:24], ', ') AS members FROM f GROUP BY 1")
 def community_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return graph.community_sizes(communities(spark, sf))
 
 
-@_query("SELECT false AS degenerate")
+@_query(_TREES + """, a AS (SELECT max(n) / sum(n) > 0.5 AS d FROM (SELECT count(*) AS n FROM f GROUP BY community)),
+b AS (SELECT max(n) / sum(n) > 0.5 AS d FROM (SELECT count(*) + 1 AS n FROM part GROUP BY p_size <= 40))
+SELECT 'nations' AS graph, d AS degenerate FROM a UNION ALL SELECT 'sizes', d FROM b UNION ALL SELECT 'none', true""")
 def communities_degenerate(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.is_degenerate(communities(spark, sf))
+    """Of the nations' trees, of parts by whether they are small, most of which are, and of a graph without edges."""
+    parts = _t(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("source"), F.when(F.col("p_size") <= 40, "small").otherwise("large").alias("target"))
+    named = lambda name, edges: graph.is_degenerate(graph.communities(edges)).select(F.lit(name).alias("graph"), "degenerate")
+    nations = graph.is_degenerate(communities(spark, sf)).select(F.lit("nations").alias("graph"), "degenerate")
+    return nations.unionByName(named("sizes", parts)).unionByName(named("none", parts.where("false")))
+
+
+@_query("""WITH q AS (SELECT list(avg_ ORDER BY i) AS q FROM (SELECT i, avg(embedding[i]::DOUBLE) AS avg_ FROM embeddings, range(1, 65) AS r(i) WHERE label = 0 GROUP BY i)),
+s AS (SELECT vec_id AS name, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS score FROM embeddings, q)
+SELECT name, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, name) AS INTEGER) AS rank FROM s WHERE score >= 0.1 QUALIFY rank <= 25""")
+def similar_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors nearest to the mean of a label, a top-k report."""
+    v = _t(spark, sf, "embeddings")
+    mean = [r["m"] for r in v.where("label = 0").select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("i").collect()]  # one vector
+    return _rounded(graph.rank_by_similarity(v.select(F.col("vec_id").alias("name"), F.col("embedding").alias("vec")), mean, 25, 0.1), "score")
+
+
+@_query("SELECT s_suppkey AS id, s_name || ' (supplier)' AS entity, s_name || ' — ' || n_name AS relationship, CASE WHEN s_suppkey % 2 = 0 THEN 'about ' || s_name ELSE s_name || ', ' || n_name END AS community FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def graph_texts(spark: SparkSession, sf: str) -> DataFrame:
+    both = _t(spark, sf, "supplier").join(F.broadcast(_t(spark, sf, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))
+    summary = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("about "), "s_name"))
+    return both.select(F.col("s_suppkey").alias("id"), graph.entity_text(F.col("s_name"), F.lit("supplier")).alias("entity"), graph.relationship_text(F.col("s_name"), F.col("n_name")).alias("relationship"), graph.community_text(summary, F.array("s_name", "n_name")).alias("community"))
+
+
+@_query("SELECT o_orderkey AS query_id, n_name AS name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
+def matched_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions about an order's nation against the names of all nations."""
+    asked = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(_t(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    questions = asked.select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("What about  "), "n_name", F.lit(", then?")).alias("text"))
+    return graph.match_entity_names(questions, _t(spark, sf, "nation").select(F.col("n_name").alias("name")))
+
+
+@_query("SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Order ' || o_orderkey END AS entities, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS relationships FROM orders")
+def extractions(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies of a model about orders: a third broken, the others with names to drop, a repeated and a self-made edge."""
+    k = F.col("o_orderkey").cast("string")
+    reply = F.concat(F.lit('```json\n{"entities":[{"name":"Order '), k, F.lit('","type":"order"},{"name":"x"},{"name":"15.000"},{"name":"Nowhere"}],"relationships":[{"source":"Order '), k, F.lit('","target":"Priority"},{"source":"Order '), k, F.lit('","target":"Order '), k, F.lit('"}]}\n```'))
+    passage = F.concat(F.lit("Order "), k, F.lit(" has a priority."))
+    replies = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("{broken")).otherwise(reply).alias("raw"), passage.alias("passage"))
+    found = graph.parse_extraction(replies)
+    return found.select("chunk_id", F.array_join(F.transform("entities", lambda e: e["name"]), ",").alias("entities"), (F.size("relationships") + F.when(F.col("chunk_id") % 3 == 0, 0).otherwise(1)).alias("relationships"))
 
 
 @_query("""WITH h AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
@@ -514,10 +706,35 @@ def stage_costs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.cost_of(m, prices).groupBy("model").agg(F.round(F.sum("cost"), 4).alias("cost"))
 
 
-@_query("SELECT avg(CASE WHEN contains(d.text, b.text) THEN 1.0 ELSE 0.0 END) AS grounded, count(*) AS answers FROM documents d, benchmark b")
+@_query(_BM25 + "SELECT item_id AS query_id, contains(d.text, b.text) AND NOT (item_id % 2 = 1 AND contains(d.text, left(b.text, 20))) AS grounded FROM kw JOIN benchmark b ON b.item_id = kw.query_id JOIN documents d ON d.doc_id = kw.chunk_id WHERE rank = 1")
 def graded_answers(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _t(spark, sf, "documents").select(F.col("text").alias("answer")).crossJoin(_t(spark, sf, "benchmark").select(F.col("text").alias("expect"), F.lit("").alias("reject")))
-    return runs.grade(pairs).agg(F.avg(F.col("grounded").cast("double")).alias("grounded"), F.count("*").alias("answers"))
+    """The best hit of each query as the answer; of odd queries the beginning of what is expected is a distractor."""
+    gold = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("expect"), F.when(F.col("item_id") % 2 == 1, F.substring("text", 1, 20)).alias("reject"))
+    answers = _hits(spark, sf).where("rank = 1").select("query_id", F.col("text").alias("answer")).join(gold, "query_id")
+    return runs.grade(answers).select("query_id", "grounded")
+
+
+@_query("SELECT event_type AS model, round(sum(CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 100 * 0.5 END), 4) AS estimate FROM events GROUP BY 1")
+def stage_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    m = _t(spark, sf, "events").select(F.col("event_type").alias("model"), F.when(F.col("event_id") % 4 == 0, "free").otherwise("metered").alias("billing_mode"), (F.col("event_id") % 100).alias("input_tokens"))
+    prices = m.select("model").distinct().select("model", F.lit(0.5).alias("input_price"), F.lit(2.0).alias("output_price"))
+    return runs.estimate_of(m, prices).groupBy("model").agg(F.round(F.sum("estimate"), 4).alias("estimate"))
+
+
+@_query("SELECT item_id, 'emb:' || sha256('embed-1 m ' || text) AS emb, 'ctx:' || sha256('ctx-1 m ' || sha256(text) || ' ' || text) AS ctx FROM benchmark")
+def cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    text, model = F.col("text"), F.lit("m")
+    return _t(spark, sf, "benchmark").select("item_id", store.cache_key("emb", model, text).alias("emb"), store.cache_key("ctx", model, F.sha2(text, 256), text).alias("ctx"))
+
+
+@_query("SELECT md5(text) AS digest, list_transform(range(0, 8), lambda i: ((length(text) + i) % 7) / 7.0::DOUBLE)[1] AS first_ FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)")
+def embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the texts come from the cache, to which they were written before."""
+    d = _t(spark, sf, "documents")
+    empty = spark.createDataFrame([], "key string, vector array<double>, cached_at timestamp")
+    known = store.embed_texts(d.where("length(text) % 2 = 0"), empty, "m", T.stub_embedding)
+    found = store.embed_texts(d, store.remember(empty, known), "m", T.stub_embedding)
+    return found.select(F.md5("text").alias("digest"), F.get("vector", F.lit(0)).alias("first_"))
 
 
 @_query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -526,9 +743,11 @@ def event_counts(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.event_counts(_t(spark, sf, "events"))
 
 
-@_query("SELECT p_partkey AS id, CASE WHEN p_size BETWEEN 1 AND 20 THEN 'low' ELSE NULL END AS label FROM part")
+@_query("""WITH l(label, r, g, b) AS (VALUES ('low', 50, 0, 0), ('middle', 120, 20, 0), ('high', 200, 0, 10), ('alike', 50, 0, 0)), c AS (SELECT p_partkey AS id, p_size * 5 AS r, p_partkey % 30 AS g FROM part),
+d AS (SELECT id, label, (c.r - l.r) * (c.r - l.r) + (c.g - l.g) * (c.g - l.g) + l.b * l.b AS d FROM c, l), n AS (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY d, label) AS k FROM d WHERE d <= 3000)
+SELECT c.id, n.label FROM c LEFT JOIN n ON n.id = c.id AND k = 1""")
 def legend_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts coloured by size, against a legend of one entry that reaches ten steps either way."""
-    colors = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 5).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
-    legend = spark.range(1).select(F.lit("low").alias("label"), F.lit(50).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+    """Parts coloured by size and key, against a legend in which two entries are alike; some colours are far from all."""
+    colors = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 5).alias("r"), (F.col("p_partkey") % 30).alias("g"), F.lit(0).alias("b"))
+    legend = spark.createDataFrame([("low", 50, 0, 0), ("middle", 120, 20, 0), ("high", 200, 0, 10), ("alike", 50, 0, 0)], "label string, r int, g int, b int")
     return pixels.nearest_label(colors, legend).select("id", "label")

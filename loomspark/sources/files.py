@@ -1,4 +1,4 @@
-"""Files as blocks: plain text, CSV and XLSX sheets. Other formats go to a parser that the caller registers."""
+"""Files as blocks: plain text, CSV and XLSX sheets, HTML pages. Other formats go to a parser that the caller registers."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import route_format
 
+from .html import page_blocks
+
 BLOCK = "path string, ord int, text string, kind string, page int, row int, engine string, error string"
 Parsed = list[tuple[str, str | None, int, int | None]]
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -55,6 +57,10 @@ def parse_xlsx(data: bytes) -> Parsed:
         return out
 
 
+def parse_html(data: bytes) -> Parsed:
+    return [(text, kind, 1, None) for text, kind, _, _ in page_blocks(data.decode("utf-8", "replace"))]
+
+
 def read_blocks(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], Parsed]] | None = None) -> DataFrame:
     """Blocks of every file below path. parsers: of formats ('pdf', 'image', 'office', 'soffice', 'legacy_sheet') whose
     engines aren't part of the library. A file that can't be parsed gives one row with its error."""
@@ -65,7 +71,8 @@ def read_blocks(spark: SparkSession, path: str, parsers: dict[str, Callable[[byt
         for b in batches:
             rows: list[tuple] = []
             for p, data, form in zip(b["path"], b["content"], b["format"]):
-                parse = (parse_csv if p.lower().endswith(".csv") else parse_xlsx) if form == "sheet" and own["sheet"] is None else own.get(form)
+                page = form == "office" and p.lower().endswith((".html", ".htm")) and "office" not in own
+                parse = parse_html if page else (parse_csv if p.lower().endswith(".csv") else parse_xlsx) if form == "sheet" and own["sheet"] is None else own.get(form)
                 engine = "sheet" if form == "sheet" else form
                 try:
                     if parse is None:

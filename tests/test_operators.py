@@ -178,18 +178,136 @@ def test_graph(spark):
 
 def test_store(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one two"), (2, "one two"), (3, "else"), (4, None)], "doc_id int, text string")
-    assert [tuple(r) for r in store.near_pairs(docs).collect()] == [(1, 2, 0)]
+    classes = store.print_classes(docs)
+    assert sorted((r["doc_id"], r["class_id"]) for r in classes.collect()) == [(1, 1), (2, 1), (3, 3)] and store.near_pairs(classes).count() == 0
     assert store.open_index(spark, str(tmp_path / "none"), "chunk_id string").count() == 0
     cache = spark.createDataFrame([], "key string, vector array<double>, cached_at timestamp")
     assert store.embed_texts(docs, cache, "m", T.stub_embedding).count() == 2
 
 
+def test_near_pairs_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    prints = [int(x) for x in rng.integers(-(2**63), 2**63, 60)]
+    prints += [p ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for p in prints[:40] for k in (1, 2, 3, 4)]
+    prints = list(dict.fromkeys(prints))
+    classes = spark.createDataFrame(list(enumerate(prints)), "class_id int, h bigint")
+    for radius in (0, 1, 3, 4):
+        want = {(a, b) for a in range(len(prints)) for b in range(a + 1, len(prints)) if ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= radius}
+        assert {(r["a"], r["b"]) for r in store.near_pairs(classes, radius).collect()} == want
+
+
+def test_searches_in_blocks_of_queries(spark):
+    """Many blocks find what one does, and what a scan written out finds; ids may be strings, vectors of any length."""
+    words = "red blue green grey dark light deep pale".split()
+    rng = np.random.default_rng(9)
+    docs = [(f"c{i}", " ".join(rng.choice(words, 6)), [float(x) for x in rng.normal(size=3)] if i % 9 else None) for i in range(60)]
+    chunks = spark.createDataFrame(docs + [("z", None, [0.0, 0.0, 0.0]), ("y", "", [1.0])], "chunk_id string, text string, vector array<double>")
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, 2)), [float(x) for x in rng.normal(size=3)]) for i in range(12)] + [(99, None, None)], "query_id int, text string, vector array<double>")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    one, many = retrieval.bm25_topk(chunks, asked, 5), retrieval.bm25_topk(chunks, asked, 5, block_bytes=20)
+    assert rows(one) == rows(many) and len(rows(one)) >= 50
+    near, parts = retrieval.knn_topk(chunks, asked, 5), retrieval.knn_topk(chunks, asked, 5, block_bytes=50)
+    assert rows(near) == rows(parts)
+    for q, _, v in asked.collect():
+        cosine = lambda x: 0.0 if not v or not x or len(x) != len(v) or not any(x) else float(np.dot(x, v) / np.linalg.norm(x) / np.linalg.norm(v))  # noqa: B023, E731
+        want = sorted(((-round((1 + cosine(r["vector"])) / 2, 9), r["chunk_id"]) for r in chunks.collect()))[:5]
+        found = near.where(F.col("query_id") == q).orderBy("rank").collect()
+        assert [r["chunk_id"] for r in found] == [c for _, c in want] and [-r["score"] for r in found] == pytest.approx([s for s, _ in want])
+    got = retrieval.retrieve(chunks, asked.drop("vector"), embed=lambda c: F.array(F.length(c).cast("double"), F.lit(1.0), F.lit(0.0)), keyword=False)
+    assert got.where("bm25_rank IS NOT NULL").count() == 0 and got.where("rerank_score IS NULL").count() == got.count() > 0
+    with pytest.raises(ValueError):
+        retrieval.retrieve(chunks, asked.drop("vector"))
+
+
+def test_scores_are_not_told_apart_by_six_places(spark):
+    legs = [spark.createDataFrame([(1, c, s, k) for k, (c, s) in enumerate(rows, 1)], LEG) for rows in ([("a", 0.5), ("b", 0.50000004), ("c", 0.1)], [("a", 1.0), ("b", 1.0), ("c", 1.0)])]
+    assert [r["chunk_id"] for r in retrieval.fuse(*legs).orderBy("fused_rank").collect()] == ["b", "a", "c"]
+
+
+def test_auto_merge_keeps_the_first_and_orders(spark):
+    kids = spark.createDataFrame([(1, 0, "x", "p", 0.1, "t"), (1, 1, "x", "p", 0.9, "t"), (1, 2, "y", "q", 0.1, "t"), (1, 3, "s", None, 0.1, "t"), (1, 4, "u", "none", 0.1, "t")], "query_id int, ord int, chunk_id string, parent_id string, score double, text string")
+    parents = spark.createDataFrame([("p", 9, "whole"), ("q", 1, "other"), ("r", 0, "empty")], "chunk_id string, child_count int, text string")
+    got = retrieval.auto_merge(kids, parents).orderBy("position").collect()
+    assert [(r["chunk_id"], r["score"], r["merged"]) for r in got] == [("s", 0.1, 0), ("u", 0.1, 0), ("x", 0.1, 0), ("q", 0.1, 1)]
+
+
+def test_line_height_is_a_quarter_up(spark):
+    rows = [(1, k, (0.0, float(h), 9.0, 0.0)) for k, h in enumerate((10, 10, 11, 12, 12, 12, 13, 13))] + [(2, k, (0.0, float(h), 9.0, 0.0)) for k, h in enumerate((10, 12, 60, 61))] + [(3, 0, None)]
+    df = spark.createDataFrame(rows, "doc_id int, ord int, bbox struct<l:double,t:double,r:double,b:double>")
+    assert {r["doc_id"]: r["line_height"] for r in layout.line_height(df).collect()} == {1: 11.0, 2: 10.0}
+
+
+def test_query_lists_as_json(spark):
+    parse = lambda s: _one(spark, T.parse_query_list(F.lit(s), F.lit("q")))
+    assert parse('[1,"a",{"x":2}]') == ["a"] and parse("[1, 2]") == ["q"] and parse("```alpha beta\n```") == ["alpha beta"] and parse('{"a": 1}') == ['{"a": 1}'] and parse("[broken") == ["[broken"]
+
+
+def test_canonical_json():
+    assert runs.canonical({"b": [1, 2.0, None, "é"], "a": {"z": True, "y": 0.5}, "ﬁ": float("nan"), "𐀀": 1}) == '{"a":{"y":0.5,"z":true},"b":[1,2,null,"é"],"𐀀":1,"ﬁ":null}'
+
+
+def test_tools_have_bounds(spark):
+    items = spark.createDataFrame([(1, i, 0.5, "t") for i in range(201)], "query_id int, ord int, score double, text string")
+    with pytest.raises(ValueError):
+        runs.TOOLS["diversify-candidates"](items)
+    with pytest.raises(ValueError):
+        runs.TOOLS["assemble-context"](items.where("ord < 3").withColumn("chunk_id", F.col("ord")), -1)
+    replies = spark.createDataFrame([(1, '["a"]')], "query_id int, text string")
+    assert runs.TOOLS["parse-query-list"](replies).first()["queries"] == ["a"]
+
+
+def test_pages_without_a_route_and_forced_ones(spark):
+    from loomspark.operators import pages
+
+    block = "doc_id int, page int, ord int, text string"
+    base = spark.createDataFrame([(1, 1, 0, "a"), (1, 2, 0, "b")], block)
+    routes = spark.createDataFrame([(1, 2, "mineru")], "doc_id int, page int, route string")
+    vlm = spark.createDataFrame([(1, 1, 0, "v1"), (1, 2, 0, "v2")], block)
+    way = lambda **k: sorted((r["text"], r["engine"]) for r in pages.routed_blocks(base, routes, base.where("false"), vlm, **k).collect())
+    assert way() == [("a", "fast"), ("v2", "vlm")] and way(pipeline="vlm") == [("v1", "vlm"), ("v2", "vlm")]
+
+
+def test_caches(spark):
+    from datetime import datetime
+
+    rows = spark.createDataFrame([("k", "old", datetime(2000, 1, 1)), ("j", "new", datetime.now())], "key string, value string, cached_at timestamp")
+    asked = spark.createDataFrame([("k",), ("j",), ("i",)], "key string")
+    found = {r["key"]: r["value"] for r in store.cached(asked, rows, value="value").collect()}
+    assert found == {"k": None, "j": "new", "i": None}
+    kept = store.remember(rows, spark.createDataFrame([("k", "fresh")], "key string, value string"), value="value")
+    assert {r["key"]: r["value"] for r in store.cached(asked, kept, value="value").collect()} == {"k": "fresh", "j": "new", "i": None}
+    assert _one(spark, store.normalized(F.lit("e\u0301"))) == "é"
+    docs = spark.createDataFrame([("e\u0301",), ("é",), ("bb",)], "text string")
+    empty = spark.createDataFrame([], "key string, vector array<double>, cached_at timestamp")
+    assert store.embed_texts(docs, empty, "m", T.stub_embedding).count() == 2
+    with pytest.raises(ValueError):
+        store.embed_texts(docs, empty, "m", lambda c: F.sequence(F.lit(1.0).cast("int"), F.length(c)).cast("array<double>")).count()
+
+
+def test_built_chunks(spark):
+    box = (0.0, 20.0, 100.0, 10.0)
+    rows = [(1, 0, "text", "Intro words here", 1, box), (1, 1, "caption", "Cap", 1, box), (1, 2, "table", "h|i", 1, box), (1, 3, "table", "1|2", 1, box), (1, 4, "Table", "upper", 2, None)]
+    blocks = spark.createDataFrame(rows, f"doc_id int, ord int, kind string, text string, page int, bbox {layout.BOX}").withColumn("self_labeled", F.lit(False))
+    for strategy in ("recursive", "sentence", "character", "token", "markdown", "semantic", "nonsense"):
+        got = chunking.build_chunks(blocks, strategy, 100, 10).orderBy("ord").collect()
+        assert [r["text"] for r in got] == ["Intro words here", "Cap\nh|i\n1|2", "Cap\nh|i\n1|2", "upper"]
+        assert [len(r["regions"]) for r in got] == [1, 2, 1, 0] and [r["rank"] for r in got] == sorted(r["rank"] for r in got)
+    assert [r["text"] for r in chunking.build_chunks(blocks, "structural").orderBy("ord").collect()] == [r[3] for r in rows]
+    embedded = chunking.with_context(spark.createDataFrame([(1, "t"), (2, "u")], "chunk_id int, text string"), spark.createDataFrame([(1, " about ")], "chunk_id int, context string"))
+    assert {r["chunk_id"]: r["embedded"] for r in embedded.collect()} == {1: "about\n\nt", 2: "u"}
+    assert "t" in chunking.chunk_prompt("t", "d") and "JSON" in runs.graph_prompt("p")
+
+
 def test_costs_and_grades(spark):
     prices = spark.createDataFrame([("m", 1.0, 2.0)], "model string, input_price double, output_price double")
     m = spark.createDataFrame([("m", "metered", 3, 4), ("x", "free", 5, 5)], "model string, billing_mode string, input_tokens int, output_tokens int")
     assert {r["model"]: r["cost"] for r in runs.cost_of(m, prices).collect()} == {"m": 11.0, "x": 0.0}
     with pytest.raises(Exception, match="no price"):
         runs.cost_of(m.withColumn("billing_mode", F.lit("metered")), prices).collect()
+    with pytest.raises(Exception, match="no price"):
+        runs.cost_of(m.where("model = 'm'"), prices.withColumn("input_price", F.lit(None).cast("double"))).collect()
+    done, took = runs.meter("s", lambda: m)
+    assert done.count() == 2 and took["error"] is None and runs.meter("s", lambda: m.select("nope"))[1]["error"]
     a = spark.createDataFrame([("q", "fee is 5", "5", "7"), ("q", "5 or 7", "5", "7"), ("q", None, "5", "")], "question string, answer string, expect string, reject string")
     assert [r["grounded"] for r in runs.grade(a).collect()] == [True, False, False]
 
@@ -207,6 +325,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("name,score\nAda,91\n\nGrace,8|8")
     (tmp_path / "b.txt").write_text("one\n\n\n two \nmore")
     (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    (tmp_path / "e.htm").write_text("<h1>Title</h1>")
     sheet = io.BytesIO()
     with zipfile.ZipFile(sheet, "w") as z:
         ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -218,6 +337,7 @@ def test_files(spark, tmp_path):
         rows.setdefault(r["path"][-5], []).append(r)
     assert [(r["text"], r["row"]) for r in rows["a"]] == [("name | score", 1), ("Ada | 91", 2), ("Grace | 8\\|8", 4)]
     assert [r["text"] for r in rows["b"]] == ["one", "two \nmore"] and "no parser" in rows["c"][0]["error"]
+    assert any(r["text"] == "Title" and r["engine"] == "office" for v in rows.values() for r in v)
     assert any(r["text"] == "head |  | 5" and r["row"] == 2 for v in rows.values() for r in v)
 
 
