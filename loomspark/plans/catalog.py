@@ -512,7 +512,7 @@ def reranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(_LEGS + """, ks AS (SELECT *, min(score) OVER q AS lo, max(score) OVER q AS hi FROM kw WINDOW q AS (PARTITION BY query_id)), vz AS (SELECT *, min(score) OVER q AS lo, max(score) OVER q AS hi FROM ve WINDOW q AS (PARTITION BY query_id)),
 l AS (SELECT query_id, chunk_id, 0.3 AS w, greatest(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 0.001) AS x FROM ks UNION ALL SELECT query_id, chunk_id, 0.7, greatest(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 0.001) FROM vz)
-SELECT query_id, chunk_id, round(sum(CAST(w AS DOUBLE) * x), 6) AS score FROM l GROUP BY ALL""")
+SELECT query_id, chunk_id, round(round(sum(CAST(w AS DOUBLE) * x), 9), 6) AS score FROM l GROUP BY ALL""")
 def store_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     chunks, asked = _chunks(spark, sf), _asked(spark, sf)
     return _rounded(retrieval.hybrid_scores(retrieval.bm25_topk(chunks, asked), retrieval.knn_topk(chunks, asked), (0.3, 0.7)), "score").select("query_id", "chunk_id", "score")
@@ -545,10 +545,10 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query("WITH RECURSIVE" + _BM25.lstrip().removeprefix("WITH") + """,
-it AS (SELECT query_id, chunk_id, rank, round(score, 6) AS score, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS ws FROM kw JOIN documents ON doc_id = chunk_id),
-ls AS (SELECT query_id, list(chunk_id ORDER BY rank) AS ids, list(score ORDER BY rank) AS sc, count(*) AS n FROM it GROUP BY query_id),
+it AS MATERIALIZED (SELECT query_id, chunk_id, rank, round(score, 6) AS score, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS ws FROM kw JOIN documents ON doc_id = chunk_id),
+ls AS MATERIALIZED (SELECT query_id, list(chunk_id ORDER BY rank) AS ids, list(score ORDER BY rank) AS sc, count(*) AS n FROM it GROUP BY query_id),
 pj AS (SELECT a.query_id, a.rank AS i, b.rank AS j, CASE WHEN len(a.ws) = 0 AND len(b.ws) = 0 THEN 1.0 ELSE len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) END::DOUBLE AS s FROM it a JOIN it b USING (query_id)),
-mm AS (SELECT query_id, list(rw ORDER BY i) AS m FROM (SELECT query_id, i, list(s ORDER BY j) AS rw FROM pj GROUP BY ALL) GROUP BY query_id),
+mm AS MATERIALIZED (SELECT query_id, list(rw ORDER BY i) AS m FROM (SELECT query_id, i, list(s ORDER BY j) AS rw FROM pj GROUP BY ALL) GROUP BY query_id),
 go AS (SELECT query_id, 0 AS k, []::BIGINT[] AS picked, list_transform(range(0, n), lambda x: 0.0::DOUBLE) AS worst, NULL::BIGINT AS best FROM ls
 UNION ALL SELECT query_id, k + 1, list_append(picked, b), list_transform(range(1, n + 1), lambda i: greatest(worst[i], m[b][i])), b
 FROM (SELECT g.query_id, g.k, g.picked, g.worst, l.n, mm.m, list_transform(range(1, l.n + 1), lambda i: CASE WHEN list_contains(g.picked, i) THEN NULL ELSE 0.5::DOUBLE * l.sc[i] - 0.5::DOUBLE * g.worst[i] END) AS v, CAST(list_position(v, list_max(v)) AS BIGINT) AS b FROM go g JOIN ls l USING (query_id) JOIN mm USING (query_id) WHERE g.k < least(10, l.n)))
