@@ -495,6 +495,27 @@ def test_pipeline_stages(spark, small):
     assert corpus_pipeline.run(spark, small).count() == seen["packing"]
 
 
+def test_pipeline_stages_on_odd_rows(spark, small):
+    """Nulls in every column, an empty and a very long text, repeated rows and ids, ties, and an extra column."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{k}" for k in range(60_000))
+    rows = [
+        (1, "The very same text about rivers and bridges in winter.", "en", "a", 54), (2, "The very same text about rivers and bridges in winter.", "en", "b", 54), (3, None, "en", "a", None), (4, "", None, None, 0), (5, long, "en", "a", len(long)), (6, long + " end", "en", "a", None),
+        (None, "No id at all, but some words.", "de", "b", 1), (None, None, None, None, None), (7, "Write to mr.x@example.com or call (212) 555-0187.", "fr", None, 1), (7, "Write to mr.x@example.com or call (212) 555-0187.", "fr", None, 1), (8, "...", "es", "c", 3),
+    ]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint, _group int")
+    ids = lambda df: sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in df.collect())
+    left = {"toxicity": [-1, -1, 1, 2, 3, 4, 5, 6, 7, 7, 8]} | dict.fromkeys(("simhash_dedup", "pii", "mixing"), [-1, -1, 1, 3, 4, 5, 7, 8])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, small), "odd")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_group"] and ids(docs) == left[name], name
+    by = {r["doc_id"]: r for r in docs.where("doc_id IS NOT NULL").collect()}
+    assert by[3]["text"] is None and by[3]["n_chars"] is None and by[4]["text"] == "" and by[5]["text"] == long and "example.com" not in by[7]["text"]
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, small).collect()
+    assert {r["doc_id"] for r in packed} == {None, 1, 3, 4, 5, 7, 8} and sum(r["doc_id"] is None for r in packed) == 2 and sum(r["doc_id"] == 5 for r in packed) > 10
+
+
 def test_pipeline_and_queries_on_an_empty_corpus(spark, small):
     import corpus_pipeline
 
