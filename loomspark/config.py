@@ -101,6 +101,49 @@ def resolve_ref(providers: dict[str, Provider], ref: str, role: str) -> tuple[Pr
     return provider, model
 
 
+_NOT_CHAT = re.compile("embed|rerank|ranker|imagen|image|veo|video|lyria|tts|audio|aqa|robotics|computer-use|live|realtime", re.IGNORECASE)
+
+
+def role_allows_model(role: str, model: str) -> bool:
+    """By its name alone: whether a model that a provider lists can be meant for a role."""
+    if role == "embed":
+        return "embed" in model.lower()
+    return "rank" in model.lower() and re.search("rerank|ranker", model, re.IGNORECASE) is not None if role == "rerank" else not _NOT_CHAT.search(model)
+
+
+def providers_for_role(providers: dict[str, Provider], role: str) -> list[Provider]:
+    return [p for p in providers.values() if role in p.models]
+
+
+def list_models_by_role(providers: dict[str, Provider], role: str, ask: Callable[[Provider], Sequence[str]] | None = None) -> list[str]:
+    """References 'provider:model' for a role: those configured, and of a provider that names none those that it tells; one
+    that can't be asked is left out."""
+    out: list[str] = []
+    for p in providers_for_role(providers, role):
+        names = list(p.models[role])
+        if not names and ask is not None:
+            try:
+                names = [m for m in ask(p) if role_allows_model(role, m)]
+            except Exception:  # noqa: BLE001 - a provider that is down must not hide the others
+                names = []
+        out += [f"{p.id}:{m}" for m in names]
+    return out
+
+
+def assert_served(providers: dict[str, Provider], refs: dict[str, str], ask: Callable[[Provider], Sequence[str]] | None = None) -> str | None:
+    """What is wrong with the first reference (by role) that no provider serves; None if all are served."""
+    bad = next(((role, ref) for role, ref in refs.items() if ref not in list_models_by_role(providers, role, ask)), None)
+    return None if bad is None else f"no {bad[0]} model {bad[1]}"
+
+
+def model_identity(providers: dict[str, Provider], ref: str) -> tuple[str, str | None]:
+    """(provider, base URL) of a reference, for keys under which its results are kept."""
+    name, _, model = ref.partition(":")
+    if name not in providers or not model:
+        raise LookupError(f"no provider for {ref}")
+    return name, providers[name].base_url
+
+
 def default_ref(providers: dict[str, Provider], role: str) -> str | None:
     return next((f"{p.id}:{m}" for p in providers.values() for m in p.models.get(role, ())), None)
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import color_name
+
 FUSED = 6
 INK_CONTRAST = 40
 
@@ -58,6 +60,12 @@ def fill_color(pixels: Column, comps: Column) -> Column:
     return fill(pixels, comps)
 
 
+def cell_color_name(pixels: Column, comps: Column) -> Column:
+    """The name of a cell's fill colour, null where it has none or a grey one."""
+    c = fill_color(pixels, comps)
+    return color_name(c["r"], c["g"], c["b"])
+
+
 def nearest_label(colors: DataFrame, legend: DataFrame, most: int = 3000) -> DataFrame:
     """colors (id, r, g, b) with the label of the nearest legend entry (label, r, g, b) within the squared distance."""
     d = sum((F.col(f"c.{x}") - F.col(f"l.{x}")) * (F.col(f"c.{x}") - F.col(f"l.{x}")) for x in "rgb")

@@ -27,6 +27,25 @@ def open_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def append(fresh: DataFrame, path: str, key: str = "chunk_id") -> int:
+    """Write new rows to the index at path, which is how many; a key that repeats among them is an error, and then none is
+    written."""
+    kept = written(fresh, "fresh")
+    again = kept.groupBy(key).count().where("count > 1").select(key).first()
+    if again is not None:
+        raise ValueError(f"{key} {again[0]} comes twice")
+    kept.write.mode("append").parquet(path)
+    return kept.count()
+
+
+def ensure_vector_field(index: DataFrame, model: str) -> DataFrame:
+    """The index with the column that holds a model's vectors, null where it hadn't one."""
+    import hashlib
+
+    name = f"vec_{hashlib.sha256(model.encode()).hexdigest()[:16]}"
+    return index if name in index.columns else index.withColumn(name, F.lit(None).cast("array<float>"))
+
+
 def upsert(index: DataFrame, fresh: DataFrame, key: str = "chunk_id") -> DataFrame:
     """index with the rows of fresh in place of those of the same key."""
     return index.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
