@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -54,13 +55,17 @@ def term_list(text: str | None) -> list[str]:
     return _TERM.findall(text.lower()) if text else []
 
 
+def _members(c: Column, others: str) -> Column:
+    """How many characters stay when runs of others are taken out: no match, and no string, for each of them."""
+    return F.length(F.regexp_replace(c, others, ""))
+
+
 def ctrl_ratio(c: Column) -> Column:
-    return F.coalesce(F.try_divide(F.regexp_count(c, F.lit(CONTROL)), F.length(c)), F.lit(0.0))
+    return F.coalesce(F.try_divide(_members(c, f"[^{CONTROL[1:]}+"), F.length(c)), F.lit(0.0))
 
 
 def valid_frac(c: Column, readable: str = READABLE) -> Column:
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    return F.coalesce(F.try_divide(F.regexp_count(c, F.lit(readable)), letters), F.lit(1.0))
+    return F.coalesce(F.try_divide(_members(c, f"[^{readable[1:]}+"), _members(c, r"\P{L}+")), F.lit(1.0))
 
 
 def route_page(text: Column, graphics: Column, mojibake: Column, *, least: int = 200, ctrl: float = 0.002, valid: float = 0.6, moji: float = 0.001) -> Column:
@@ -115,6 +120,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+#: Digests of words that a worker has met, of so many at most that they fit.
+_DIGESTS: dict[str, bytes] = {}
+
+
 def simhash_value(text: str | None) -> int | None:
     """64 votes of md5 prefixes, one for each occurrence of a word; signed. 0 for a text without words."""
     if text is None:
@@ -122,11 +131,16 @@ def simhash_value(text: str | None) -> int | None:
     tokens = text.lower().split()
     if not tokens:
         return 0
-    known: dict[str, int] = {}
-    for t in tokens:
-        known[t] = known.get(t, 0) + 1
-    hashes = np.frombuffer(b"".join(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[:8] for t in known), np.uint8).reshape(-1, 8)
-    votes = np.array(list(known.values())) @ (np.unpackbits(hashes, axis=1).astype(np.int64) * 2 - 1)
+    known = Counter(tokens)
+    if len(_DIGESTS) > 1 << 18:
+        _DIGESTS.clear()
+    found = []
+    for t in known:
+        if (h := _DIGESTS.get(t)) is None:
+            h = _DIGESTS[t] = hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[:8]
+        found.append(h)
+    bits = np.unpackbits(np.frombuffer(b"".join(found), np.uint8).reshape(-1, 8), axis=1)
+    votes = 2 * (np.array(list(known.values()), np.float64) @ bits.astype(np.float64)) - len(tokens)
     return int.from_bytes(np.packbits(votes > 0).tobytes(), "big", signed=True)
 
 
