@@ -163,7 +163,7 @@ class Rows:
 
     def __init__(self, features: list[np.ndarray], columns: int, min_df: int = 1):
         length = np.array([len(f) for f in features], np.int64)
-        flat = np.concatenate(features) if features else np.zeros(0, np.int64)
+        flat = np.concatenate(features) if features else np.zeros(0, np.int32)
         df = np.bincount(flat, minlength=columns) if len(flat) else np.zeros(columns, np.int64)
         self.used = np.flatnonzero(df >= min_df)
         to = np.full(columns, -1, np.int32)

@@ -56,7 +56,7 @@ def fit(texts: list[str], toxic: np.ndarray, params: ToxicityParams = ToxicityPa
     y = np.asarray(toxic, float)
     if len(y) < 4 or y.min() == y.max():
         return ToxicityModel(np.zeros(1 << params.bits, np.float32), 0.0, float("inf"), grams, 0.0, 0.0)
-    features = [grams.distinct(t) for t in texts]
+    features = [grams.distinct(t).astype(np.int32) for t in texts]
     rng = np.random.default_rng(params.seed)
     fold = np.zeros(len(y), np.int64)
     for value in (0.0, 1.0):  # each part has its share of each class

@@ -294,8 +294,14 @@ def predict(mode: int, left: int, top: int, corner: int, right: int) -> int:
     return _BLACK
 
 
+#: Rows from which on predictions are made front by front, which smaller images don't repay.
+FRONTS = 400
+
+
 def _undo_predictor(pixels: list[int], width: int, height: int, bits: int, modes: list[int]) -> list[int]:
     """The pixel above and to the right of a row's last one is the row's own first."""
+    if height >= FRONTS and width >= FRONTS:
+        return _undo_by_fronts(pixels, width, height, bits, modes)
     across = _down(width, bits)
     out: list[int] = []
     put = out.append
@@ -318,6 +324,62 @@ def _undo_predictor(pixels: list[int], width: int, height: int, bits: int, modes
     return out
 
 
+def _undo_by_fronts(pixels: list[int], width: int, height: int, bits: int, modes: list[int]) -> list[int]:
+    """The same for larger images: pixels of equal x + 2 y don't need each other, so each such front is predicted at once."""
+    across = _down(width, bits)
+    v = np.array(pixels, np.uint32).view(np.uint8).reshape(-1, 4).astype(np.int16)
+    y, x = np.divmod(np.arange(width * height), width)
+    mode = (np.array(modes, np.uint32) >> 8 & 15)[(y >> bits) * across + (x >> bits)]
+    mode[::width] = 2
+    out = np.zeros_like(v)
+    black = np.array([0, 0, 0, 255], np.int16)
+    first = np.cumsum(v[:width].astype(np.int64), axis=0)
+    out[:width] = (first + black) & 255
+    for t in range(2, width + 2 * height - 2):
+        rows = np.arange(max(1, -(-(t - width + 1) // 2)), min(height - 1, t // 2) + 1)
+        if not len(rows):
+            continue
+        i = rows * width + t - 2 * rows
+        m, left, top, corner, right = mode[i], out[i - 1], out[i - width], out[np.maximum(i - width - 1, 0)], out[i - width + 1]
+        p = np.empty_like(left)
+        for k in np.flatnonzero(np.bincount(m)):
+            on = m == k
+            a, b, c, d = left[on], top[on], corner[on], right[on]
+            if k == 1:
+                q = a
+            elif k == 2:
+                q = b
+            elif k == 3:
+                q = d
+            elif k == 4:
+                q = c
+            elif k == 5:
+                q = (((a + d) >> 1) + b) >> 1
+            elif k == 6:
+                q = (a + c) >> 1
+            elif k == 7:
+                q = (a + b) >> 1
+            elif k == 8:
+                q = (c + b) >> 1
+            elif k == 9:
+                q = (b + d) >> 1
+            elif k == 10:
+                q = (((a + c) >> 1) + ((b + d) >> 1)) >> 1
+            elif k == 11:
+                q = np.where((np.abs(b - c).sum(1) < np.abs(a - c).sum(1))[:, None], a, b)
+            elif k == 12:
+                q = np.clip(a + b - c, 0, 255)
+            elif k == 13:
+                mean = (a + b) >> 1
+                away = mean - c
+                q = np.clip(mean + ((away + (away < 0)) >> 1), 0, 255)
+            else:
+                q = black
+            p[on] = q
+        out[i] = (p + v[i]) & 255
+    return out.astype(np.uint8).reshape(-1).view(np.uint32).tolist()
+
+
 def _cross(pixels: np.ndarray, width: int, height: int, bits: int, blocks: Sequence[int], back: bool) -> np.ndarray:
     """Add (or, for the encoder, take away) what green and red tell of the other colours, block by block."""
     across = _down(width, bits)

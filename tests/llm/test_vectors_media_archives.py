@@ -111,6 +111,15 @@ def test_webp_known_file():
     assert (width, height, len(pixels)) == (1, 1, 1)
 
 
+def test_webp_predictions_by_fronts():
+    """All modes, random residues: fronts against the rule pixel by pixel."""
+    rng = np.random.default_rng(8)
+    for width, height, bits in ((50, 24, 2), (64, 40, 3), (131, 33, 4), (48, 60, 2)):
+        pixels = rng.integers(0, 2**32, width * height, dtype=np.uint32).tolist()
+        modes = [int(m) << 8 for m in rng.integers(0, 16, webp._down(width, bits) * webp._down(height, bits))]
+        assert webp._undo_by_fronts(pixels, width, height, bits, modes) == webp._undo_predictor(pixels, width, height, bits, modes)
+
+
 def _image(rng, w, h, kind):
     if kind == 0:
         colours = [rng.getrandbits(32) for _ in range(rng.choice([1, 2, 4, 5, 17, 200]))]
