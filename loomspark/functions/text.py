@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,43 @@ def valid_frac(c: Column, readable: str = READABLE) -> Column:
     return F.coalesce(F.try_divide(_members(c, f"[^{readable[1:]}+"), _members(c, r"\P{L}+")), F.lit(1.0))
 
 
+_CONTROL, _LETTER, _READABLE = 1, 2, 4
+_SPANS = ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF), (0x370, 0x3FF), (0x400, 0x4FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))
+_KINDS: list[np.ndarray] = []
+
+
+def _kinds() -> np.ndarray:
+    """What each code point counts as, made once a worker."""
+    if not _KINDS:
+        table = np.zeros(0x110000, np.uint8)
+        for i in (*range(0x33000), *range(0xE0000, 0xE1000)):
+            kind = unicodedata.category(chr(i))
+            table[i] = _LETTER if kind[0] == "L" else _CONTROL if kind in ("Cf", "Co") else 0
+        table[0xE000:0xF900] = table[0xF0000:0xFFFFE] = table[0x100000:0x10FFFE] = _CONTROL
+        for a, b in ((0, 8), (0x0E, 0x1F), (0x7F, 0x9F), (0xFFFD, 0xFFFD)):
+            table[a : b + 1] |= _CONTROL
+        for a, b in _SPANS:
+            table[a : b + 1] |= _READABLE
+        _KINDS.append(table)
+    return _KINDS[0]
+
+
+def page_counts(c: Column) -> Column:
+    """(size, control, letters, readable) of the trimmed text, all of a batch by one table of the code points: what
+    ctrl_ratio and valid_frac come from, many times faster than by patterns of that many ranges."""
+
+    @F.pandas_udf("size int, control int, letters int, readable int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        kept = [t.strip(BLANKS) if t else "" for t in texts]
+        kinds = _kinds()[np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        size = np.array([len(t) for t in kept], np.int64)
+        end = np.cumsum(size)
+        count = lambda bit: (total := np.concatenate([[0], np.cumsum(kinds & bit > 0)]))[end] - total[end - size]
+        return pd.DataFrame({"size": size, "control": count(_CONTROL), "letters": count(_LETTER), "readable": count(_READABLE)})
+
+    return run(c)
+
+
 def route_page(text: Column, graphics: Column, mojibake: Column, *, least: int = 200, ctrl: float = 0.002, valid: float = 0.6, moji: float = 0.001) -> Column:
     """'fast' for a readable page, else 'mineru' where it has graphics, else 'vlm'. A null text counts as empty."""
     t = js_trim(F.coalesce(text, F.lit("")))

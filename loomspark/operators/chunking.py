@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import layout
+from .shared import spread
 
 MOST_CHUNKS = 50_000
 
@@ -129,7 +130,7 @@ def split_texts(texts: DataFrame, strategy: str = "recursive", size: int = 800,
                     rows.append((*own, k, s, e, c if s < 0 else t[s:e]))
             yield pd.DataFrame(rows, columns=[*keys, "ord", "span_start", "span_end", "text"])
 
-    return texts.select(*keys, "text").mapInPandas(run, f"{kinds}, ord int, span_start bigint, span_end bigint, text string")
+    return spread(texts.select(*keys, "text")).mapInPandas(run, f"{kinds}, ord int, span_start bigint, span_end bigint, text string")
 
 
 #: Changes where chunks would come out differently: part of the key under which they are kept.

@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from loomspark.functions import text as T
 
-from .shared import Holders, TopK, id_array, in_blocks, written
+from .shared import Holders, TopK, id_array, in_blocks, spread, written
 
 #: Places that scores carry: enough to tell any two apart but for the noise of sums taken in another order, so that equal
 #: texts tie, and ties go by id.
@@ -80,7 +80,7 @@ def _bm25_block(chunks: DataFrame, asked: DataFrame, k: int, k1: float, b: float
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(term, pa.list_(pa.int32())), pa.array(many, pa.list_(pa.int32()))], ["chunk_id", "size", "terms", "counts"])
 
     kind = chunks.schema["chunk_id"].dataType.simpleString()
-    postings = written(chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(counted, f"chunk_id {kind}, size bigint, terms array<int>, counts array<int>"), "postings")
+    postings = written(spread(chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(counted, f"chunk_id {kind}, size bigint, terms array<int>, counts array<int>"), "postings")
     n, mean = postings.agg(F.count("*"), F.avg("size")).first()
     df = np.zeros(max(len(holders.place), 1))
     for r in postings.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each term of the block
@@ -221,6 +221,12 @@ def fuse(vector_leg: DataFrame, keyword_leg: DataFrame, technique: str = "arithm
     return both.withColumn("fused", F.round(fused, PLACES)).withColumn("fused_rank", F.row_number().over(order))
 
 
+def _by_query(rows: DataFrame) -> DataFrame:
+    """Rows dealt by query to as many tasks as shuffles have: what is done with a query costs far more than its bytes, by
+    which small shuffles would be drawn together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
+
+
 def drop_near_duplicates(candidates: DataFrame, radius: int = 3, contained: float | None = None) -> DataFrame:
     """Candidates (query_id, fused_rank, chunk_text, ...) without those whose SimHash is within radius of a better one
     that stays, or (if contained is given) whose words are in one by that share; final_rank counts what stays. An empty
@@ -235,7 +241,7 @@ def drop_near_duplicates(candidates: DataFrame, radius: int = 3, contained: floa
             if not text:
                 stay.append(True)
                 continue
-            h, own = T.simhash_value(text) or 0, set(text.lower().split())
+            h, own = T.simhash_value(text) or 0, set(text.lower().split()) if contained is not None else set()
             near = any((((h ^ o) & (2**64 - 1)).bit_count()) <= radius for o in hashes)
             inside = contained is not None and bool(own) and any(len(own & s) / len(own) >= contained for s in sets)
             stay.append(not (near or inside))
@@ -246,7 +252,7 @@ def drop_near_duplicates(candidates: DataFrame, radius: int = 3, contained: floa
         out["final_rank"] = range(1, len(out) + 1)
         return out
 
-    return candidates.groupBy("query_id").applyInPandas(keep, candidates.withColumn("final_rank", F.lit(0)).schema)
+    return _by_query(candidates).groupBy("query_id").applyInPandas(keep, candidates.withColumn("final_rank", F.lit(0)).schema)
 
 
 def retrieve(
@@ -316,7 +322,7 @@ def maximal_marginal_relevance(items: DataFrame, k: int = 10, weight: float = 0.
         out["mmr_rank"] = range(1, len(out) + 1)
         return out
 
-    return items.groupBy("query_id").applyInPandas(choose, items.withColumn("mmr_rank", F.lit(0)).schema)
+    return _by_query(items).groupBy("query_id").applyInPandas(choose, items.withColumn("mmr_rank", F.lit(0)).schema)
 
 
 def auto_merge(children: DataFrame, parents: DataFrame, ratio: float = 0.5) -> DataFrame:

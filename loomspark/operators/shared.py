@@ -27,6 +27,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are cores, where its scan has fewer: a file of one row group is one part, however much
+    is then done with each row. A scan of many parts, and whatever isn't a plain scan, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if any(x in plan for x in ("Exchange", "Python", "Pandas", "InArrow")) or df.isStreaming:
+        return df
+    return df.repartition(cores) if df._jdf.toJavaRDD().getNumPartitions() < cores else df
+
+
 def in_blocks(queries: DataFrame, size: Column, limit: int, key: str = "query_id") -> list[DataFrame]:
     """queries in as many parts as keep the sum of size of each about within limit; one part for a usual batch."""
     n = max(1, -(-int(queries.agg(F.sum(size)).first()[0] or 0) // limit))

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 
 from loomspark.functions import text as T
 
-from .shared import Holders, in_blocks, written
+from .shared import Holders, in_blocks, spread, written
 
 
 def open_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -121,7 +121,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def print_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, h): documents of equal SimHash are a class, named by the smallest id."""
-    prints = written(docs.select("doc_id", T.simhash(F.col("text")).alias("h")).where("h IS NOT NULL"), "prints")
+    prints = written(spread(docs.where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", T.simhash(F.col("text")).alias("h")), "prints")
     return prints.join(prints.groupBy("h").agg(F.min("doc_id").alias("class_id")), "h").select("doc_id", "class_id", "h")
 
 
@@ -166,4 +166,4 @@ def _containment_block(items: DataFrame, docs: DataFrame, share: float) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array(r)), pa.array(np.round(many[q, r] / size[q], 6))], ["item_id", "doc_id", "share"])
 
     kinds = [f"item_id {dict(items.dtypes)['item_id']}", f"doc_id {dict(docs.dtypes)['doc_id']}"]
-    return docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(run, ", ".join([*kinds, "share double"]))
+    return spread(docs.where("text IS NOT NULL").select("doc_id", "text")).mapInArrow(run, ", ".join([*kinds, "share double"]))

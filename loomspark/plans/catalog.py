@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import chunking, graph, layout, pages, pixels, retrieval, runs, store
+from loomspark.operators.shared import spread
 from loomspark.sources import html
 from loomspark.streaming import ingest
 
@@ -81,10 +82,9 @@ r AS (SELECT *, CASE WHEN n < 200 OR ctrl > 0.002 OR valid < 0.6 OR doc_id % 7 =
 
 def _routes(spark: SparkSession, sf: str) -> DataFrame:
     """Every third document is said to have graphics, every seventh to be garbled."""
-    d = _t(spark, sf, "documents")
-    t = T.js_trim(F.coalesce("text", F.lit("")))
-    trimmed = d.select("doc_id", "lang", t.alias("_t"))  # kept as a step of its own, as it is read more than once
-    signals = trimmed.select("doc_id", "lang", F.length("_t").alias("_n"), T.ctrl_ratio(F.col("_t")).alias("ctrl"), T.valid_frac(F.col("_t")).alias("valid"))
+    d = spread(_t(spark, sf, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", T.page_counts(F.col("text")).alias("c"))
+    share = lambda a, b, none: F.coalesce(F.try_divide(F.col(f"c.{a}"), F.col(f"c.{b}")), F.lit(none))
+    signals = d.select("doc_id", "lang", F.col("c.size").alias("_n"), share("control", "size", 0.0).alias("ctrl"), share("readable", "letters", 1.0).alias("valid"))
     return signals.withColumn("route", T.route_of(F.col("_n"), F.col("ctrl"), F.col("valid"), F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 7 == 0, 0.01))).drop("_n")
 
 
@@ -130,7 +130,7 @@ prints AS (SELECT d.doc_id, coalesce(p.h, 0::UBIGINT) AS h FROM documents d LEFT
 
 @_query(_HASH + "SELECT doc_id, lpad(lower(to_hex(h)), 16, '0') AS h FROM prints")
 def simhash_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.lower(F.lpad(F.hex(T.simhash(F.col("text"))), 16, "0")).alias("h"))
+    return spread(_t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.lower(F.lpad(F.hex(T.simhash(F.col("text"))), 16, "0")).alias("h"))
 
 
 @_query(_HASH + ", heads AS (SELECT min(doc_id) AS c, h FROM prints GROUP BY h) SELECT a.c AS a, b.c AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM heads a JOIN heads b ON a.c < b.c AND bit_count(xor(a.h, b.h)) <= 3")

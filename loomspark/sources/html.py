@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.shared import spread
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BREAKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 section article header footer nav ul ol table main aside".split())
 
@@ -148,4 +150,4 @@ def html_blocks(pages: DataFrame) -> DataFrame:
             rows = [(i, k, kind, own, text, dict(zip("ltrb", box)) if box else None) for i, h in zip(b["page_id"], b["html"]) for k, (text, kind, box, own) in enumerate(page_blocks(h))]
             yield pd.DataFrame(rows, columns=["page_id", "ord", "kind", "self_labeled", "text", "bbox"])
 
-    return pages.select("page_id", F.col("html")).mapInPandas(run, f"page_id {kind}, ord int, kind string, self_labeled boolean, text string, bbox struct<l:double,t:double,r:double,b:double>")
+    return spread(pages.select("page_id", F.col("html"))).mapInPandas(run, f"page_id {kind}, ord int, kind string, self_labeled boolean, text string, bbox struct<l:double,t:double,r:double,b:double>")

@@ -242,6 +242,15 @@ def test_query_lists_as_json(spark):
     assert parse('[1,"a",{"x":2}]') == ["a"] and parse("[1, 2]") == ["q"] and parse("```alpha beta\n```") == ["alpha beta"] and parse('{"a": 1}') == ['{"a": 1}'] and parse("[broken") == ["[broken"]
 
 
+def test_page_counts_are_those_of_the_patterns(spark):
+    texts = ["plain text", "\ufeff  edges \u3000", "ctrl\x01\x9f\u200b\ue000\ufffd", "日本語 Ελ кир ñ × עברית", "", None, "𐐀𐐁 \U000e0041 ok", "a\tb\nc\x0b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    trimmed = T.js_trim(F.coalesce("t", F.lit("")))
+    share = lambda a, b, none: F.coalesce(F.try_divide(F.col(f"c.{a}"), F.col(f"c.{b}")), F.lit(none))
+    rows = df.withColumn("c", T.page_counts(F.col("t"))).select(F.length(trimmed) == F.col("c.size"), T.ctrl_ratio(trimmed) == share("control", "size", 0.0), T.valid_frac(trimmed) == share("readable", "letters", 1.0)).collect()
+    assert all(all(r) for r in rows)
+
+
 def test_canonical_json():
     assert runs.canonical({"b": [1, 2.0, None, "é"], "a": {"z": True, "y": 0.5}, "ﬁ": float("nan"), "𐀀": 1}) == '{"a":{"y":0.5,"z":true},"b":[1,2,null,"é"],"𐀀":1,"ﬁ":null}'
 
