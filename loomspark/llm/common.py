@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.operators.shared import spread  # noqa: F401 - the operators take it from here
+
 _CODE_SPACE = 0x110000
 _GOLDEN = np.uint32(2654435769)
 _PRIME = np.uint32(16777619)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, spread, table
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,7 @@ def pack(examples: DataFrame, params: PackingParams = PackingParams()) -> DataFr
 def conversation_examples(conversations: DataFrame, params: PackingParams = PackingParams()) -> DataFrame:
     """(id, tokens, segments, loss_tokens, layout) of each conversation: a segment for each turn, in order, loss on the
     assistant's. A null text has no tokens but is a segment; null ids are one conversation."""
-    turns = conversations.select("conv_id", "turn", "role", count_column(conversations.sparkSession, F.col("text"), params.vocabulary).alias("_n"))
+    turns = spread(conversations.select("conv_id", "turn", "role", "text")).select("conv_id", "turn", "role", count_column(conversations.sparkSession, F.col("text"), params.vocabulary).alias("_n"))
     loss = F.when(F.col("role") == "assistant", F.col("_n")).otherwise(0).cast("bigint")
     ordered = F.array_sort(F.collect_list(F.struct(F.col("turn"), F.col("role"), F.col("_n").alias("tokens"), loss.alias("loss_tokens"))))
     layout = F.transform(ordered, lambda x: F.struct(x["tokens"].alias("tokens"), x["loss_tokens"].alias("loss_tokens")))
@@ -181,7 +181,7 @@ def conversation_examples(conversations: DataFrame, params: PackingParams = Pack
 
 def document_examples(docs: DataFrame, params: PackingParams = PackingParams()) -> DataFrame:
     """(id, tokens, segments, loss_tokens, layout) of each row of docs: one segment, loss on every token but the first."""
-    n = docs.select(F.col("doc_id").alias("id"), count_column(docs.sparkSession, F.col("text"), params.vocabulary).alias("tokens"))
+    n = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), count_column(docs.sparkSession, F.col("text"), params.vocabulary).alias("tokens"))
     loss = F.greatest(F.lit(0).cast("bigint"), F.col("tokens") - 1)
     return n.select("id", "tokens", F.lit(1).cast("bigint").alias("segments"), loss.alias("loss_tokens"), F.array(F.struct(F.col("tokens"), loss.alias("loss_tokens"))).alias("layout"))
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, short_batches, table
+from .common import discard, materialize, short_batches, spread, table
 from .names import ENDINGS, GIVEN, LETTERS, OPENERS, TITLES, VOWELS
 
 TYPES = ("email", "phone", "ip", "ip6", "card", "ssn", "iban", "birth", "secret", "name")
@@ -477,7 +477,7 @@ def _entities(docs: DataFrame, key: str) -> DataFrame:
             seen = {a for t in b["text"] for s, e, k in find_entities(t) for a in atoms(t[s:e], k)}
             yield pd.DataFrame([(k, v, surrogate(k, v, key)) for k, v in sorted(seen) if k != "birth"], columns=["kind", "value", "new"])
 
-    return docs.select("text").where("text IS NOT NULL").mapInPandas(run, "kind string, value string, new string").distinct()
+    return spread(docs.select("text").where("text IS NOT NULL")).mapInPandas(run, "kind string, value string, new string").distinct()
 
 
 def retried_entities(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
@@ -536,7 +536,7 @@ def pseudonymize(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
         def plain(texts: pd.Series) -> pd.Series:
             return pd.Series([replace_entities(t, key)[0] for t in texts], dtype="object")
 
-        return docs.withColumn("text", plain("text"))
+        return spread(docs).withColumn("text", plain("text"))
 
     @F.pandas_udf("array<string>")
     def mentions(texts: pd.Series) -> pd.Series:
@@ -555,6 +555,7 @@ def pseudonymize(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     coded = retried.select(F.concat_ws("\x00", "kind", "value").alias(mention), F.concat_ws("\x00", "kind", "value", F.col("attempt").cast("string")).alias(attempt))
     # texts are told apart by a hash of 128 bits: rows with the same text get the same attempts, whatever their ids
     hashed = F.struct(F.xxhash64("text").alias("a"), F.hash("text", F.lit(7)).alias("b"), F.length("text").alias("n"))
+    docs = spread(docs)
     tagged = docs.select(hashed.alias(tag), mentions("text").alias(some)).where(F.size(some) > 0)
     per_text = tagged.select(tag, F.explode(some).alias(mention)).join(coded, mention).groupBy(tag).agg(F.collect_set(attempt).alias(given))
     per_text = materialize(per_text, "attempts")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, codepoints, descend, materialize, sigmoid, table, word_hashes
+from .common import bounded_sample, codepoints, descend, materialize, sigmoid, spread, table, word_hashes
 
 STATISTICS = ("trigrams", "capitals", "signs", "digits", "breaks", "distinct", "letters")
 #: Shares of the positives by which a statistic is cut into bins: what hardly any positive shows has a bin of its own.
@@ -195,7 +195,7 @@ def _cells(docs: DataFrame, of: Statistics) -> DataFrame:
     def cell(texts: pd.Series) -> pd.Series:
         return pd.Series([held.value.cell(t) for t in texts], dtype="Int64")
 
-    return materialize(docs.select("doc_id", cell("text").alias("cell")), "quality-cells")
+    return materialize(spread(docs.select("doc_id", "text")).select("doc_id", cell("text").alias("cell")), "quality-cells")
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, params: QualityParams) -> tuple[QualityModel, DataFrame | None]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NGrams, Rows, bounded_sample, descend, sigmoid, table
+from .common import NGrams, Rows, bounded_sample, descend, sigmoid, spread, table
 
 
 @dataclass(frozen=True)
@@ -140,13 +140,14 @@ def classify(docs: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
     A null text has score null and toxic false; an empty one is scored by the bias alone. Ties at the threshold are
     clean. Other columns of docs are ignored. Empty tables give an empty result."""
     model = train(docs, labels, params)
-    scored = docs.select("doc_id", score_column(docs.sparkSession, model, F.col("text")).alias("score"))
+    scored = spread(docs.select("doc_id", "text")).select("doc_id", score_column(docs.sparkSession, model, F.col("text")).alias("score"))
     return scored.select("doc_id", "score", F.coalesce(F.col("score") > 0, F.lit(False)).alias("toxic"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """The rows of docs, all columns as they are, whose text isn't toxic; null texts stay."""
     model = train(docs, labels, params)
+    docs = spread(docs)
     score = score_column(docs.sparkSession, model, docs["text"])
     return docs.where(~F.coalesce(score > 0, F.lit(False)))
 
