@@ -2,8 +2,9 @@
 are searched by an in-memory graph, and a distance-ratio rule selects the lists to scan, however many they are.
 
 Vectors are dealt to cells by coarse centroids; a cell is cut, by bisection with bounded imbalance and a few rounds of
-k-means, into lists of at most list_size. A vector then lies in the list of the nearest centroid of all cells, and, near
-a boundary, in the next ones too. The ratio up to which lists are scanned is fitted on a bounded sample of the vectors,
+k-means, into lists of at most list_size. Two more rounds move the centroids to the means of
+the vectors nearest to them among all cells. A vector then lies in the list of the nearest centroid, and, near a
+boundary, in the next ones too. The ratio up to which lists are scanned is fitted on a bounded sample of the vectors,
 whose exact neighbours among all rows are found by brute force: the least one that finds the wanted share of them.
 
 The centroids of all lists and a neighbour graph over them are what a task holds in memory: their size is checked against
@@ -33,14 +34,15 @@ class AnnParams:
     list_size: int = 64
     #: Lists that hold a vector besides the nearest, if their centroid is within closure times the nearest's distance.
     replicas: int = 2
-    closure: float = 1.02
+    closure: float = 1.005
     #: Lists scanned: those whose centroid is within prune times the distance of the nearest. None: fitted to recall.
     prune: float | None = None
     #: The share of neighbours that the ratio has to find on the sample of `calibration` vectors.
-    recall: float = 0.94
+    recall: float = 0.925
     calibration: int = 400
-    #: Rounds of k-means within a cell.
+    #: Rounds of k-means within a cell, and over all cells.
     rounds: int = 6
+    refine: int = 2
     #: Width at which a search of centroids begins; it grows until its last list lies outside prune.
     beam: int = 64
     degree: int = 16
@@ -48,7 +50,7 @@ class AnnParams:
     cell_rows: int = 4096
     #: Bound of the sample from which coarse centroids come, for each cell.
     sample_per_cell: int = 16
-    graph_bytes: int = 256 << 20
+    graph_bytes: int = 64 << 20
     seed: int = 41
 
 
@@ -326,12 +328,43 @@ class Index:
         return self.postings.groupBy("cell").cogroup(self.routes(queries, params).groupBy("cell")).applyInPandas(_scan(self.dim, params.k), "q bigint, ids array<bigint>, ds array<double>")
 
 
+def _centred(index: DataFrame, held: Broadcast, dim: int) -> DataFrame:
+    """(cell, list, v): each list's new centroid, the mean of the vectors nearest to the old one. A task passes on a sum for
+    each list that it met."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, cells, names = held.value
+        total, many = np.zeros((len(cells), dim)), np.zeros(len(cells), np.int64)
+        for b in batches:
+            x = _floats(b.column(1), dim)
+            for at in range(0, len(x), 1024):
+                near = graph.search(x[at : at + 1024], 8)[0][:, 0]
+                np.add.at(total, near, x[at : at + 1024])
+                many += np.bincount(near, minlength=len(cells))
+        met = np.flatnonzero(many)
+        yield pa.RecordBatch.from_arrays([pa.array(cells[met]), pa.array(names[met].astype(np.int64)), pa.array(many[met]), pa.array([r.tobytes() for r in total[met]], pa.binary())], ["cell", "list", "n", "s"])
+
+    def mean(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(frame["s"]), np.float64).reshape(-1, dim)
+        order = np.argsort(frame["list"].to_numpy(), kind="stable")
+        kept, start = np.unique(frame["list"].to_numpy()[order], return_index=True)
+        c = np.add.reduceat(x[order], start) / np.add.reduceat(frame["n"].to_numpy()[order], start)[:, None]
+        return pd.DataFrame({"cell": frame["cell"].iloc[0], "list": kept, "v": [r.tobytes() for r in c.astype(np.float32)]})
+
+    part = index.select("id", "v").mapInArrow(sums, "cell bigint, list bigint, n bigint, s binary")
+    return part.groupBy("cell").applyInPandas(mean, "cell bigint, list bigint, v binary")
+
+
 def _build(index: DataFrame, n: int, dim: int, params: AnnParams) -> Index:
     spark = index.sparkSession
-    heads = sorted(_lists(_cells(index, n, dim, params), dim, params).collect(), key=lambda r: (r["cell"], r["list"]))  # within graph_bytes
-    graph = _graph(spark, np.stack([np.frombuffer(r["v"], np.float32) for r in heads]), params)
-    cells, names = np.array([r["cell"] for r in heads]), np.array([r["list"] for r in heads], np.int32)
-    held = spark.sparkContext.broadcast((graph, cells, names))  # within graph_bytes and the edges
+    lists = _lists(_cells(index, n, dim, params), dim, params)
+    for k in range(params.refine + 1):
+        heads = sorted(lists.collect(), key=lambda r: (r["cell"], r["list"]))  # within graph_bytes
+        graph = _graph(spark, np.stack([np.frombuffer(r["v"], np.float32) for r in heads]), params)
+        cells, names = np.array([r["cell"] for r in heads]), np.array([r["list"] for r in heads], np.int32)
+        held = spark.sparkContext.broadcast((graph, cells, names))  # within graph_bytes and the edges
+        if k < params.refine:
+            lists = _centred(index, held, dim)
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, cells, names = held.value
