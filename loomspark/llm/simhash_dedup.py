@@ -1,14 +1,17 @@
-"""Near-duplicate documents by SimHash: BK-trees over shards of the fingerprints, then connected components.
+"""Near-duplicate documents by SimHash: all pairs of fingerprints within the radius, then connected components.
 
 A fingerprint has 128 bits, over the set of lower-cased words of the whole text, so that most copies with one
-word in twelve changed stay within the radius and unrelated texts far outside it. A shard holds the fingerprints that agree
-in some sampled positions; every fingerprint lies in as many shards as the recall wanted of a pair at the radius itself
-takes, by one formula at every size; nearer pairs are found more often. How many positions a key has follows from the
-number of fingerprints: more of them need more shards and hold fewer fingerprints each. A shard that would still be hot is
-divided by further sampled positions in the same way. The trees are exact, these filters before them aren't. Trees grow
-with the corpus, so they aren't broadcast: the shuffle brings together the tree of a shard and the rows that query it. Each
-shard gives a spanning forest of its matches instead of all pairs, so that a group of n copies costs n rows a shard and
-not n squared; equal fingerprints are linked before and stand in the shards once."""
+word in twelve changed stay within the radius and unrelated texts far outside it. Equal fingerprints are linked first and
+compared once. The others are dealt to blocks by hash, and every pair of blocks is compared by one task, so that no pair of
+fingerprints is left out at any size of the table. Inside a task fingerprints are found by pigeonholes: if d bits of 128
+differ, then some chunk of them differs in few, so only those are compared whose chunk is that near. This is exact: chunks
+and blocks decide what the search costs, never what it finds. Each task gives a spanning forest of its matches instead of
+all pairs, so that a group of n copies costs n rows a task and not n squared.
+
+With SimHashParams(sampled=True), for corpora whose pairs of blocks are too many to compare, fingerprints only meet in
+BK-trees over shards that agree in sampled bits, each in as many shards as the recall wanted of a pair at the radius itself
+takes. A shard that would be hot is divided by further sampled bits. Then which pairs are found does depend on the number
+of fingerprints; no query does this."""
 
 from __future__ import annotations
 
@@ -16,6 +19,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,10 @@ BITS = 128
 @dataclass(frozen=True)
 class SimHashParams:
     radius: int = 22
+    #: Fingerprints of a block at most, on average; a task holds two blocks.
+    block_rows: int = 1_000_000
+    #: Find most pairs within the radius instead of all. What follows, but for the seed, is for this alone.
+    sampled: bool = False
     #: Bits of a shard's key. None: those that cost least for the number of fingerprints.
     key_bits: int | None = None
     #: The recall of a pair at the radius; nearer pairs have a higher one.
@@ -41,6 +49,10 @@ class SimHashParams:
     hot_sample: int = 20_000
     seed: int = 5
 
+    def blocks(self, n: int) -> int:
+        """Blocks for n fingerprints: up to 8 so that there are tasks enough for the cores, more where they would be too large."""
+        return max(1, min(8, -(-n // 20_000)), -(-n // self.block_rows))
+
     def fitted(self, n: int) -> SimHashParams:
         """With the key bits for n fingerprints: the least of tables * (row_cost + fingerprints in a shard)."""
         if self.key_bits is not None:
@@ -246,6 +258,212 @@ def _search(params: SimHashParams):
     return run
 
 
+def chunks(k: int, radius: int) -> list[tuple[int, int, int]]:
+    """(bits below, bits, radius) of k chunks of 64 bits: two halves within the radius have a chunk within its own."""
+    (width, wider), (share, more), out, end = divmod(64, k), divmod(radius + 1, k), [], 64
+    for i in range(k):
+        end -= width + (i < wider)
+        if share + (i < more):
+            out.append((end, width + (i < wider), share + (i < more) - 1))
+    return out
+
+
+def _best(a: int, b: int, radius: int) -> int:
+    """The number of chunks that costs least for a x b halves: in seconds, a call for each value, a step for each value near it, a comparison."""
+
+    def cost(k: int) -> float:
+        total = 0.0
+        for _, width, r in chunks(k, radius):
+            ball, cells = sum(math.comb(width, j) for j in range(r + 1)), 2.0**width
+            total += min(cells, a) * (1e-5 + ball * (2e-8 + 6e-9 * b / cells)) + a * b * ball / cells * 2.5e-9 + cells * 1e-8
+        return total
+
+    return min(range(3, 17), key=cost)
+
+
+class Links:
+    """Connected components of the rows 0..n-1 as their links come in."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self._held: list[tuple[np.ndarray, np.ndarray]] = []
+        self._rows = 0
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        self._held.append((u, v))
+        self._rows += len(u)
+        if self._rows > 500_000:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        """The smallest row of each row's component."""
+        if self._held:
+            q, n = (np.concatenate(x) for x in zip(*self._held))
+            self._held, self._rows = [], 0
+            while True:  # hooking to the smaller root, and shortening of paths
+                u, v = self.label[q], self.label[n]
+                open_ = u != v
+                if not open_.any():
+                    break
+                q, n, u, v = q[open_], n[open_], u[open_], v[open_]
+                np.minimum.at(self.label, np.maximum(u, v), np.minimum(u, v))
+                while (self.label != (up := self.label[self.label])).any():
+                    self.label = up
+        return self.label
+
+
+class Near:
+    """Links all rows of prints (n x 2) whose distance is within the radius, one of them in rows, one in others (both
+    sorted; the same rows or none in common)."""
+
+    #: Comparisons made at once, and those of one cell from which on it is first seen what is linked already.
+    STEP, HOT = 32_768, 1 << 22
+
+    def __init__(self, prints: np.ndarray, radius: int, links: Links):
+        self.prints, self.radius, self.links = prints, radius, links
+        self._x, self._d, self._hit = np.empty(self.STEP, np.uint64), np.empty(self.STEP, np.uint8), np.empty(self.STEP, bool)
+
+    def search(self, rows: np.ndarray, others: np.ndarray, k: int | None = None) -> None:
+        low = (self.radius - 1) // 2  # one half is within radius // 2, or the other within this
+        for half, radius in ((0, self.radius // 2), (1, low)):
+            if radius < 0 or not len(rows) or not len(others):
+                continue
+            own = np.ascontiguousarray(self.prints[:, half])
+            for at, width, r in chunks(k or _best(len(rows), len(others), radius), radius):
+                self._chunk(own, radius, rows, others, at, width, r)
+
+    def _chunk(self, half: np.ndarray, radius: int, rows: np.ndarray, others: np.ndarray, at: int, width: int, r: int) -> None:
+        def sorted_(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            value = (half[some] >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.uint32)
+            order = np.argsort(value, kind="stable")
+            return value[order], some[order]
+
+        value, rows = sorted_(rows)
+        there, others = sorted_(others)
+        first = np.concatenate([[0], np.cumsum(np.bincount(there, minlength=1 << width))])
+        left, right = half[rows], half[others]
+        begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        end = np.r_[begin[1:], len(rows)]
+        flips = np.array([sum(1 << x for x in c) for j in range(r + 1) for c in combinations(range(width), j)], np.int64)
+        many = max(1, int(200_000 / (len(flips) * max(1.0, len(others) / (1 << width)))))
+        for c in range(0, len(begin), many):
+            near = value[begin[c : c + many], None].astype(np.int64) ^ flips
+            size = first[near + 1] - first[near]
+            stop = np.cumsum(size.sum(1))
+            flat = size.ravel()
+            place = np.repeat(first[near].ravel() - (np.cumsum(flat) - flat), flat) + np.arange(stop[-1])
+            met, start = right[place], 0
+            for p, q, to in zip(begin[c : c + many].tolist(), end[c : c + many].tolist(), stop.tolist()):
+                if (q - p) * (to - start) > self.HOT:
+                    self._hot(half, radius, rows[p:q], others[place[start:to]])
+                elif to > start:
+                    self._dense(left[p:q], met[start:to], radius, rows[p:q], others, place[start:to])
+                start = to
+
+    def _dense(self, a: np.ndarray, b: np.ndarray, radius: int, rows: np.ndarray, others: np.ndarray, place: np.ndarray) -> None:
+        """All of a with all of b: first by their halves, then those near by both."""
+        high = max(1, min(len(a), self.STEP // min(len(b), 2048)))
+        wide = min(len(b), self.STEP // high)
+        for i in range(0, len(a), high):
+            for j in range(0, len(b), wide):
+                x, y = a[i : i + high, None], b[j : j + wide]
+                shape, n = (len(x), len(y)), len(x) * len(y)
+                xor, d, hit = self._x[:n].reshape(shape), self._d[:n].reshape(shape), self._hit[:n].reshape(shape)
+                np.bitwise_xor(x, y, out=xor)
+                np.bitwise_count(xor, out=d)
+                np.less_equal(d, radius, out=hit)
+                if hit.any():
+                    u, v = np.divmod(np.flatnonzero(hit), len(y))
+                    u, v = rows[i + u], others[place[j + v]]
+                    near = (u != v) & (distance(self.prints[u], self.prints[v]) <= self.radius)
+                    if near.any():
+                        self.links.add(u[near], v[near])
+
+    def _hot(self, half: np.ndarray, radius: int, rows: np.ndarray, others: np.ndarray) -> None:
+        """The same for many rows: what is linked already, or through a few rows in the middle, isn't compared again."""
+        dense = lambda a, b: self._dense(half[a], half[b], radius, a, b, np.arange(len(b))) if len(a) and len(b) else None
+        rest = rows
+        for _ in range(8):
+            for some in (rows, others):
+                near = some[distance(self.prints[some], self.prints[rest[0]]) <= self.radius]
+                self.links.add(np.full(len(near), rest[0]), near)
+            label = self.links.settle()
+            value, count = np.unique(label[rows], return_counts=True)
+            largest = value[count.argmax()]
+            rest = rows[label[rows] != largest]
+            if not len(rest):
+                break
+        dense(rows[label[rows] == largest], others[label[others] != largest])
+        dense(rest, others)
+
+
+def _dealt(blocks: int):
+    """Fingerprints by the block of their hash, packed, for each pair of blocks (a, b), a <= b, that theirs is one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[np.ndarray]) -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            block = mix64(rows[:, 1].view(np.uint64) ^ mix64(np.ascontiguousarray(rows[:, 2]).view(np.uint64))) % np.uint64(blocks)
+            pair, side, packed = [], [], []
+            for c in range(blocks):
+                own = rows[block == c]
+                for some in (own[i : i + 1024].tobytes() for i in range(0, len(own), 1024)):
+                    for other in range(blocks):
+                        a, b = min(c, other), max(c, other)
+                        pair.append(b * (b + 1) // 2 + a)
+                        side.append(int(c != a))
+                        packed.append(some)
+            return pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(side, pa.int32()), pa.array(packed, pa.binary())], ["pair", "side", "rows"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([batch.column(k).to_numpy() for k in range(3)], 1))
+            if sum(map(len, held)) >= 1024 * blocks:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
+
+    return run
+
+
+def _compared(params: SimHashParams):
+    """(id, smallest id of its part of the pair of blocks) for each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        for batch in batches:
+            for pair, side, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                held.setdefault(pair, ([], []))[side].append(packed)
+        for pair in sorted(held):
+            both = [np.frombuffer(b"".join(x), np.int64).reshape(-1, 3) for x in held.pop(pair)]
+            rows = np.concatenate(both)
+            links, at = Links(len(rows)), np.arange(len(rows))
+            a, b = at[: len(both[0])], at[len(both[0]) :]
+            alone = math.isqrt(8 * pair + 9) ** 2 == 8 * pair + 9  # one block with itself
+            Near(np.ascontiguousarray(rows[:, 1:]).view(np.uint64), params.radius, links).search(a, a if alone else b)
+            label, least = links.settle(), np.full(len(rows), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, rows[:, 0])
+            joined = least[label] != rows[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[joined, 0]), pa.array(least[label][joined])], ["a", "b"])
+
+    return run
+
+
+def _all_links(first: DataFrame, n: int, params: SimHashParams) -> DataFrame:
+    """(a, b): a spanning forest of all pairs of first (id, high, low; distinct fingerprints) within the radius."""
+    blocks = params.blocks(n)
+    dealt = first.mapInArrow(_dealt(blocks), "pair int, side int, rows binary")
+    return dealt.repartitionById(blocks * (blocks + 1) // 2, "pair").mapInArrow(_compared(params), "a bigint, b bigint")
+
+
+def _sampled_links(first: DataFrame, n: int, params: SimHashParams) -> DataFrame:
+    """(a, b): links of first within the radius, those whose fingerprints agree in some key's sampled bits."""
+    params = params.fitted(n)
+    keyed = first.mapInArrow(_keyed(params, _hot(first, n, params)), "key bigint, id bigint, high bigint, low bigint")
+    return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_search(params), "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, group): the smallest id connected to each id of the edges (a, b), by alternating large and small stars,
     each round written to the shared folder. Self-edges and repeats are harmless."""
@@ -272,7 +490,7 @@ def _content(edges: DataFrame) -> tuple:
 
 def groups(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
     """(doc_id, group_id) for each distinct non-null doc_id of docs: group_id is the smallest doc_id linked to it by
-    fingerprints within the radius, the same words in any order included.
+    fingerprints within the radius, the same words in any order included; every such link counts, unless params are sampled.
 
     Null and wordless texts are a group of their own each. A doc_id with several rows joins what any of its texts
     joins. Whole texts count, however long. Other columns are ignored. Empty tables give an empty result."""
@@ -280,9 +498,7 @@ def groups(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFram
     first = materialize(prints.groupBy("high", "low").agg(F.min("doc_id").alias("id")).select("id", "high", "low"), "distinct")
     copies = prints.join(first, ["high", "low"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     n = first.count()
-    params = params.fitted(n)
-    keyed = first.mapInArrow(_keyed(params, _hot(first, n, params)), "key bigint, id bigint, high bigint, low bigint")
-    near = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_search(params), "a bigint, b bigint")
+    near = (_sampled_links if params.sampled else _all_links)(first, n, params)
     found = components(copies.unionByName(near))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     return ids.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group_id"))

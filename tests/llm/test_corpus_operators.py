@@ -240,6 +240,45 @@ def test_simhash_hot_shards_are_divided(spark):
     assert all(got[i] == i for i in range(150, 450) if want[i] == i)
 
 
+def _at_the_radius(n, seed):
+    """n fingerprints and one at a distance of 19 to 22 for each of them: (id, high, low), partners having ids from n on."""
+    rng = np.random.default_rng(seed)
+    bits = rng.integers(0, 2, (n, simhash_dedup.BITS), dtype=np.uint8)
+    other = bits.copy()
+    for k, row in enumerate(other):
+        row[rng.permutation(simhash_dedup.BITS)[: 22 - k % 4]] ^= 1
+    halves = np.packbits(np.concatenate([bits, other]), axis=1).view(np.int64)
+    return [(i, int(a), int(b)) for i, (a, b) in enumerate(halves)]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 22, 30])
+def test_simhash_search_finds_every_pair_within_the_radius(radius):
+    rng = np.random.default_rng(radius)
+    prints = np.array([p[1:] for p in _at_the_radius(150, radius)]).view(np.uint64)
+    prints[100:150] = prints[99] ^ (np.uint64(1) << rng.integers(0, 64, (50, 2), dtype=np.uint64))  # many near one another
+    want = simhash_dedup.Links(300)
+    for i in range(300):
+        near = np.flatnonzero(simhash_dedup.distance(prints[i], prints) <= radius)
+        want.add(np.full(len(near), i), near)
+    for k in (None, 4, 7, 16):
+        for hot in (1, 1 << 22):
+            got, at = simhash_dedup.Links(300), np.arange(300)
+            search = simhash_dedup.Near(prints, radius, got)
+            search.HOT = hot
+            for a, b in ((at[:130], at[:130]), (at[:130], at[130:]), (at[130:], at[130:])):
+                search.search(a, b, k)
+            assert (got.settle() == want.settle()).all(), (radius, k, hot)
+
+
+def test_simhash_sampled_on_request(spark):
+    rng = random.Random(32)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    texts = [" ".join(w if rng.random() > 0.03 else f"w{rng.randrange(4000)}" for w in base) for _ in range(60)] + [" ".join(f"w{rng.randrange(4000)}" for _ in range(150)) for _ in range(200)]
+    docs = _docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    exact, sampled = ({r["doc_id"]: r["group_id"] for r in simhash_dedup.groups(docs, simhash_dedup.SimHashParams(hot_rows=40, hot_sample=260, sampled=x)).collect()} for x in (False, True))
+    assert sum(g == 0 for g in exact.values()) >= 55 and sum(g == 0 for g in sampled.values()) >= 0.97 * sum(g == 0 for g in exact.values())
+
+
 def test_simhash_deduplicate_on_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "some words that are alike", 5, "x"), (2, "some words that are alike", 6, "y"), (2, None, 7, None), (3, None, 8, "z")], "doc_id bigint, text string, _kept_id int, _row_of_id string")
     got = sorted(simhash_dedup.deduplicate(docs).collect())
