@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,18 @@ def test_simhash_search_finds_every_pair_within_the_radius(radius):
             assert (got.settle() == want.settle()).all(), (radius, k, hot)
 
 
+def test_simhash_links_do_not_depend_on_the_size(spark, monkeypatch):
+    """All pairs near the radius are found, alone and among 90,000 others, whatever the blocks."""
+    some = _at_the_radius(200, 1)
+    rng = np.random.default_rng(2)
+    more = [(1000 + i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(-(2**63), 2**63 - 1, (90_000, 2)))]
+    for rows, params in ((some, simhash_dedup.SimHashParams()), (some, simhash_dedup.SimHashParams(block_rows=60)), (some + more, simhash_dedup.SimHashParams())):
+        prints = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "high", "low"]))
+        monkeypatch.setattr(simhash_dedup, "_fingerprints", lambda docs, prints=prints: prints)
+        got = {r["doc_id"]: r["group_id"] for r in simhash_dedup.groups(prints.select("doc_id"), params).collect()}
+        assert len(got) == len(rows) and all(got[i] == got[200 + i] == i for i in range(200)), params
+
+
 def test_simhash_sampled_on_request(spark):
     rng = random.Random(32)
     base = [f"w{rng.randrange(4000)}" for _ in range(150)]
