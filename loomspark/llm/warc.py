@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ from .common import shared_dir, table
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 COLUMNS = ("record_id", "warc_type", "target_uri", "warc_date", "payload_digest", "refers_to", "refers_to_target_uri", "refers_to_date", "content_length")
 _END = "\r\n\r\n"
+#: Records that a task that reads archives hands on at once, and bytes of their payloads from which on it hands them on.
+BATCH_ROWS, BATCH_BYTES = 2000, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -145,30 +147,41 @@ def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], b
         yield head, block
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """COLUMNS and payload (what follows the HTTP header; null for a revisit) of every record of the archives below path,
-    one archive a row of work, read record by record."""
+def _batches(content: pa.Buffer, payload: bool) -> Iterator[pa.RecordBatch]:
+    """The records of one archive, with their payloads if those are asked for: BATCH_ROWS at a time, or fewer where payloads are large."""
     names = ("warc-record-id", "warc-type", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-refers-to", "warc-refers-to-target-uri", "warc-refers-to-date")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([*[(c, pa.int64() if c == "content_length" else pa.string()) for c in COLUMNS], *[("payload", pa.binary())] * payload])
+    out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    plain = pa.BufferReader(content)
+    stream = gzip.open(plain) if content.slice(0, 2).to_pybytes() == b"\x1f\x8b" else io.BufferedReader(plain)
+    rows, held = [], 0
+    for head, block in parse_records(stream):  # type: ignore[arg-type]
+        values = [head.get(n) for n in names]
+        values[0], values[5] = (v.strip("<>") if v else None for v in (values[0], values[5]))
+        row = (*values, len(block))
+        if payload:
+            row = (*row, block.partition(_END.encode())[2] if values[1] != "revisit" else None)
+            held += len(block)
+        rows.append(row)
+        if len(rows) == BATCH_ROWS or held >= BATCH_BYTES:
+            yield out(rows)
+            rows, held = [], 0
+    if rows:
+        yield out(rows)
+
+
+def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """COLUMNS and, unless it isn't wanted, payload (what follows the HTTP header; null for a revisit) of every record of
+    the archives below path, one archive a row of work, read record by record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                stream = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
-                for head, block in parse_records(stream):  # type: ignore[arg-type]
-                    values = [head.get(n) for n in names]
-                    values[0], values[5] = (v.strip("<>") if v else None for v in (values[0], values[5]))
-                    payload = block.partition(_END.encode())[2] if values[1] != "revisit" else None
-                    rows.append((*values, len(block), payload))
-                    if len(rows) == 2000:
-                        yield pd.DataFrame(rows, columns=[*COLUMNS, "payload"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=[*COLUMNS, "payload"])
+            for content in batch.column(0):
+                yield from _batches(content.as_buffer(), payload)
 
     kinds = ", ".join(f"{c} {'bigint' if c == 'content_length' else 'string'}" for c in COLUMNS)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.gz,*.warc}").load(path).select("content")
-    return files.mapInPandas(run, f"{kinds}, payload binary")
+    return files.mapInArrow(run, kinds + ", payload binary" * payload)
 
 
 def crawl(pages: DataFrame) -> DataFrame:
@@ -186,7 +199,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the written archive of both crawls holds, read from its files: a row for each record."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(crawl(table(spark, sf_dir, "pages")), path)
-    return read_archive(spark, path).select(*COLUMNS)
+    return read_archive(spark, path, payload=False)
 
 
 QUERIES = {"op6_warc": op6_warc}

@@ -229,6 +229,21 @@ def test_warc_reads_plain_archives(spark, tmp_path):
     assert (got["record_id"], bytes(got["payload"])) == ("urn:1", b"body")
 
 
+@pytest.mark.parametrize("zipped", [False, True])
+def test_warc_batches_are_bounded_by_bytes(zipped):
+    import gzip
+
+    import pyarrow as pa
+
+    payloads = [random.Random(k).randbytes(100_000) for k in range(90)]
+    whole = b"".join(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\nH\r\n\r\n%b\r\n\r\n" % (k, len(p) + 5, p) for k, p in enumerate(payloads))
+    content = pa.py_buffer(gzip.compress(whole) if zipped else whole)
+    full, slim = (list(warc._batches(content, x)) for x in (True, False))
+    assert [x.as_py() for b in full for x in b.column("payload")] == payloads and len(full) > 1
+    assert max(b.nbytes for b in full) <= warc.BATCH_BYTES + 200_000
+    assert sum(b.num_rows for b in slim) == 90 and slim[0].schema.names == list(warc.COLUMNS) and max(b.nbytes for b in slim) < 100_000
+
+
 def test_warc_empty(spark, tmp_path):
     none = spark.createDataFrame([], RECORDS)
     assert warc.resolve(none).count() == 0
