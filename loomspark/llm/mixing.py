@@ -71,14 +71,14 @@ def quotas(blocks: dict[str, int], weights: dict[str, float], most: int | None =
 
 def draw(good: int, bad: int, many: int, rng: np.random.Generator) -> int:
     """A draw from the hypergeometric distribution: how many of `many` drawn are good. The generator takes counts below
-    1e9 only; beyond, the distribution itself is summed over all values within 14 standard deviations of its mode, outside
-    which lies less than 1e-40 of it."""
+    1e9 only; beyond, the distribution itself is summed over all values within 14 standard deviations and 70 of its mode,
+    outside which lies less than 1e-40 of it, also where a source is so rare that its draws are few."""
     if good < 10**9 and bad < 10**9:
         return int(rng.hypergeometric(good, bad, many))
     low, high, whole = max(0, many - bad), min(many, good), good + bad
     spread = np.sqrt(many * (good / whole) * (bad / whole) * ((whole - many) / max(whole - 1, 1)))
     mode = (many + 1) * (good + 1) // (whole + 2)
-    low, high = max(low, int(mode - 14 * spread) - 2), min(high, int(mode + 14 * spread) + 2)
+    low, high = max(low, int(mode - 14 * spread) - 70), min(high, int(mode + 14 * spread) + 70)
     x = np.arange(low, high, dtype=np.float64)
     step = np.log(good - x) + np.log(many - x) - np.log(x + 1) - np.log(bad - many + x + 1)
     logs = np.concatenate([[0.0], np.cumsum(step)])

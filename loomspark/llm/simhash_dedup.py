@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, mix64, spread, table, word_hashes
@@ -504,14 +504,21 @@ def groups(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFram
     return ids.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group_id"))
 
 
+def _ordered(docs: DataFrame) -> list[Column]:
+    """The columns of docs but text, as something that can be ordered: maps and their like as JSON."""
+    own = [(F.col(f"`{f.name.replace('`', '``')}`"), f.dataType.simpleString()) for f in docs.schema if f.name != "text"]
+    return [F.to_json(F.struct(c)) if any(x in kind for x in ("map<", "variant", "interval")) else c for c, kind in own]
+
+
 def deduplicate(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
     """The rows of docs, columns as they are, with one row of each group: that of the smallest doc_id, and of its rows
-    the one whose text is smallest, a doc_id being one document whatever its rows say. Rows with a null doc_id stay. Columns
-    may have any name. An empty table gives an empty one."""
+    the one whose text is smallest, a doc_id being one document whatever its rows say; where texts are alike the other columns
+    decide in their order, never how the table lies. Rows with a null doc_id stay. Columns may have any name. An empty table
+    gives an empty one."""
     kept, place = (f"_{x}_{uuid.uuid4().hex}" for x in ("kept", "row"))
     ids = materialize(groups(docs, params).where("doc_id = group_id").select(F.col("doc_id").alias(kept)), "kept")
     # one shuffle of the texts by doc_id serves both the join and the choice among repeated rows
-    one = Window.partitionBy(kept).orderBy(F.col("text").asc_nulls_last())
+    one = Window.partitionBy(kept).orderBy(F.col("text").asc_nulls_last(), *_ordered(docs))
     chosen = docs.join(ids, docs["doc_id"].cast("bigint") == ids[kept]).withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place, kept)
     return chosen.unionByName(docs.where("doc_id IS NULL"))
 

@@ -296,6 +296,23 @@ def test_pipeline_drops_the_same_copies_at_any_size(spark, monkeypatch):
         assert kept == {i for i, *_ in rows} - set(range(100, 200))
 
 
+def test_pipeline_keeps_the_same_of_rows_alike_in_text(spark):
+    """Repeated rows with one text and other columns of their own: the same one stays, whatever the parts of the table and the join."""
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"w{i * 50 + k}" for k in range(40)), "en", f"src{(i + s) % 5}", s, {"at": s}) for s in range(5) for i in range(60)]
+    got = []
+    for seed, parts, most in ((0, 1, "10m"), (1, 8, "10m"), (2, 3, "-1")):
+        docs = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` map<string, int>").repartition(parts)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        got.append(sorted(tuple(r)[:5] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got[0] == got[1] == got[2] and len(got[0]) > 50 and {r[3] for r in got[0]} == {"src0"}
+    maps = spark.createDataFrame([(1, "same words", {"k": v}) for v in (3, 1, 2)], "doc_id bigint, text string, m map<string, int>")
+    assert [[r["m"] for r in simhash_dedup.deduplicate(maps.repartition(n)).collect()] for n in (1, 3)] == [[{"k": 1}]] * 2
+
+
 def test_simhash_sampled_on_request(spark):
     rng = random.Random(32)
     base = [f"w{rng.randrange(4000)}" for _ in range(150)]
@@ -392,6 +409,16 @@ def test_draw_of_more_than_a_thousand_million():
     assert counts.sum() == mixing.shard_sizes(4_000_000_007, 12_345_678, 12_345_679, 1 << 24) and (first >= 0).all()
 
 
+def test_wide_draw_keeps_the_tail_of_a_rare_source():
+    """Of a million blocks among 1e12, 1e4 draws take 4 or more with a chance of 4e-10, more than 4 with 8e-13."""
+
+    class Late:
+        def random(self):
+            return 1 - 1e-12
+
+    assert mixing.draw(10**6, 10**12, 10**4, Late()) == 4
+
+
 def test_wide_draw_is_the_same_distribution():
     """The sum over the distribution against the exact one, by fractions of binomials."""
     from math import comb
