@@ -122,20 +122,22 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def print_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, h): documents of equal SimHash are a class, named by the smallest id."""
     prints = written(spread(docs.where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", T.simhash(F.col("text")).alias("h")), "prints")
-    return prints.join(prints.groupBy("h").agg(F.min("doc_id").alias("class_id")), "h").select("doc_id", "class_id", "h")
+    return prints.join(prints.groupBy("h").agg(F.min("doc_id").alias("class_id")).hint("merge"), "h").select("doc_id", "class_id", "h")
 
 
 def near_pairs(classes: DataFrame, radius: int = 3) -> DataFrame:
     """(a, b, distance) of the classes (class_id, h) whose SimHashes differ in radius bits or fewer, a < b; with the
     membership these are all pairs of documents. Of radius + 3 parts of the bits at least three must agree, so pairs are
-    looked for among those that agree in some three: exact, with keys of about 192 / (radius + 3) bits."""
+    looked for among those that agree in some three: exact, with keys of about 192 / (radius + 3) bits. Each class has a
+    key for each choice of three, which Spark's estimate of the size leaves out: the join is told not to broadcast them."""
     parts = radius + 3
     edges = [round(i * 64 / parts) for i in range(parts + 1)]
-    part = [F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-    keys = F.posexplode(F.array(*[F.struct(*[part[i].alias(f"p{k}") for k, i in enumerate(three)]) for three in combinations(range(parts), 3)]))
+    mask = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(signed(sum(three))).cast("bigint")) for three in combinations(mask, 3)]))
     heads = classes.select("class_id", "h").distinct()
     keyed = heads.select("class_id", "h", keys.alias("way", "key"))
-    met = keyed.alias("x").join(keyed.alias("y"), ["way", "key"]).where("x.class_id < y.class_id").select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"), T.hamming(F.col("x.h"), F.col("y.h")).alias("distance"))
+    met = keyed.alias("x").join(keyed.alias("y").hint("merge"), ["way", "key"]).where("x.class_id < y.class_id").select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"), T.hamming(F.col("x.h"), F.col("y.h")).alias("distance"))
     return met.where(F.col("distance") <= radius).distinct()
 
 
