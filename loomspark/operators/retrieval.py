@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from loomspark.functions import text as T
 
-from .shared import Holders, TopK, id_array, in_blocks, spread, written
+from .shared import NUMBERS, Holders, TopK, id_array, in_blocks, runs_within, spread, written
 
 #: Places that scores carry: enough to tell any two apart but for the noise of sums taken in another order, so that equal
 #: texts tie, and ties go by id.
@@ -60,6 +60,22 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.
     return reduce(DataFrame.unionByName, [_bm25_block(chunks, part, k, k1, b) for part in in_blocks(asked, F.octet_length("text"), block_bytes)])
 
 
+def _flat(terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy())), terms.flatten().to_numpy().astype(np.int64)
+
+
+def _bm25_scores(whole: pa.RecordBatch, holders: Holders, idf: np.ndarray, mean: float, k1: float, b: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The batch in parts, each with its scores (queries x rows). A term makes a number for each query that has it, so parts
+    go by those numbers: rows of terms that all queries share make hundreds of times their own size."""
+    for start, end in runs_within(holders.numbers(*_flat(whole.column(2)), whole.num_rows), NUMBERS):
+        batch = whole.slice(start, end - start)
+        (row, term), size = _flat(batch.column(2)), batch.column(1).to_numpy()
+        tf = batch.column(3).flatten().to_numpy().astype(np.float64)
+        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean)) if len(term) else tf
+        score = np.round(holders.spread(row, term, weight, batch.num_rows), PLACES)
+        yield batch, np.where(score > 0, score, -np.inf)
+
+
 def _bm25_block(chunks: DataFrame, asked: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     spark = chunks.sparkSession
     rows = asked.collect()  # a block
@@ -90,16 +106,10 @@ def _bm25_block(chunks: DataFrame, asked: DataFrame, k: int, k1: float, b: float
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holders, idf = held.value
-        best, step = TopK(holders.n, k), max(1, 4_000_000 // max(holders.n, 1))
-        for whole in batches:
-            for at in range(0, whole.num_rows if holders.n else 0, step):
-                batch = whole.slice(at, step)
-                size, terms = batch.column(1).to_numpy(), batch.column(2)
-                row = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
-                term, tf = terms.flatten().to_numpy().astype(np.int64), batch.column(3).flatten().to_numpy().astype(np.float64)
-                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean)) if len(term) else tf
-                score = np.round(holders.spread(row, term, weight, batch.num_rows), PLACES)
-                best.add(id_array(batch.column(0)), np.where(score > 0, score, -np.inf))
+        best = TopK(holders.n, k)
+        for whole in batches if holders.n else ():
+            for batch, score in _bm25_scores(whole, holders, idf, mean, k1, b):
+                best.add(id_array(batch.column(0)), score)
         yield _hits(best, ids, kinds)
 
     return _top(postings.mapInArrow(scored, schema), k)
@@ -137,7 +147,7 @@ def _knn_block(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     held = vectors.sparkSession.sparkContext.broadcast(_unit([r["vector"] for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, step = TopK(many, k), max(1, 4_000_000 // max(many, 1))
+        best, step = TopK(many, k), max(1, NUMBERS // max(many, 1))
         for whole in batches:
             for at in range(0, whole.num_rows if many else 0, step):
                 batch = whole.slice(at, step)

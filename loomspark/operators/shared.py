@@ -5,12 +5,33 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bound of the numbers that are made at once of a batch of rows and a batch of queries.
+NUMBERS = 1_000_000
+
+
+def short_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> None:
+    """Fewer rows and bytes in an Arrow batch than by default, since texts can be long and a worker holds several copies of
+    a batch; a session's own settings stay."""
+    for name, usual, own in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(name := f"spark.sql.execution.arrow.{name}") == usual:
+            spark.conf.set(name, own)
+
+
+def runs_within(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of rows in a row whose sizes sum to limit or less; a row that is larger is alone."""
+    total, at = np.concatenate([[0], np.cumsum(size)]), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
+        yield at, to
+        at = to
+
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, written once to the shared folder (spark.checkpoint.dir) and read again: it isn't computed anew, and a lost
@@ -87,6 +108,10 @@ class Holders:
         self.query = np.array([q for _, q in pairs], np.int64)
         self.start = np.searchsorted(np.array([t for t, _ in pairs], np.int64), np.arange(len(self.place) + 1))
 
+    def numbers(self, row: np.ndarray, term: np.ndarray, rows: int) -> np.ndarray:
+        """How many numbers spread makes for each of the rows."""
+        return self.n + np.bincount(row, weights=self.start[term + 1] - self.start[term], minlength=rows).astype(np.int64)
+
     def spread(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
         """(queries x rows): for each the sum of the weights of the row's terms that the query has, in term order."""
         many = self.start[term + 1] - self.start[term]

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 
 from loomspark.functions import text as T
 
-from .shared import Holders, in_blocks, spread, written
+from .shared import NUMBERS, Holders, in_blocks, runs_within, spread, written
 
 
 def open_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -156,13 +156,11 @@ def _containment_block(items: DataFrame, docs: DataFrame, share: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holders, size, ids = held.value
-        step = max(1, 4_000_000 // max(holders.n, 1))
-        for whole in batches:
-            for start in range(0, whole.num_rows if holders.n else 0, step):
-                batch = whole.slice(start, step)
-                terms = [[holders.place[w] for w in set(T.word_list(t)) if w in holders.place] for t in batch.column(1).to_pylist()]
-                row = np.repeat(np.arange(batch.num_rows), [len(t) for t in terms])
-                term = np.array([x for t in terms for x in t], np.int64)
+        flat = lambda terms: (np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.array([x for t in terms for x in t], np.int64))
+        for whole in batches if holders.n else ():
+            found = [[holders.place[w] for w in set(T.word_list(t)) if w in holders.place] for t in whole.column(1).to_pylist()]
+            for a, b in runs_within(holders.numbers(*flat(found), len(found)), NUMBERS):
+                batch, (row, term) = whole.slice(a, b - a), flat(found[a:b])
                 many = holders.spread(row, term, np.ones(len(term)), batch.num_rows)
                 q, r = np.nonzero((many > 0) & (many >= share * size[:, None]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array(r)), pa.array(np.round(many[q, r] / size[q], 6))], ["item_id", "doc_id", "share"])

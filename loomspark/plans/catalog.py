@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import chunking, graph, layout, pages, pixels, retrieval, runs, store
-from loomspark.operators.shared import spread
+from loomspark.operators.shared import short_batches, spread
 from loomspark.sources import html
 from loomspark.streaming import ingest
 
@@ -29,6 +29,7 @@ def _query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -230,6 +230,60 @@ def test_searches_in_blocks_of_queries(spark):
         retrieval.retrieve(chunks, asked.drop("vector"))
 
 
+def test_scores_take_bounded_memory():
+    """A thousand rows of fifty terms that all of 200 queries have: ten million numbers, of which few are made at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loomspark.operators.shared import NUMBERS, Holders
+
+    names = [f"t{i:02d}" for i in range(50)]
+    rng, holders, n = np.random.default_rng(3), Holders([names] * 200), 1000
+    many = rng.integers(1, 9, (n, 50)).astype(np.int32)
+    listed = lambda x: pa.ListArray.from_arrays(np.arange(0, 50 * n + 1, 50, dtype=np.int32), x.ravel())
+    whole = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(many.sum(1).astype(np.int64)), listed(np.tile(np.arange(50, dtype=np.int32), (n, 1))), listed(many)], ["chunk_id", "size", "terms", "counts"])
+    tracemalloc.start()
+    best, rows = np.zeros(n), 0
+    for part, score in retrieval._bm25_scores(whole, holders, np.ones(50), 200.0, 1.2, 0.75):
+        assert score.shape == (200, part.num_rows) and part.num_rows * 50 * 200 <= NUMBERS
+        best[rows : rows + part.num_rows], rows = score[0], rows + part.num_rows
+        assert (score == score[0]).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    weight = 1.2 * (0.25 + 0.75 * many.sum(1, keepdims=True) / 200)
+    assert rows == n and best == pytest.approx((many * 2.2 / (many + weight)).sum(1)) and peak < 100e6
+
+
+def test_batches_go_by_bytes_too(spark):
+    from loomspark.operators import shared
+    from loomspark.plans import catalog
+
+    names = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for name in names:
+            spark.conf.unset(name)
+        catalog._t(spark, "/root/testdata/sf0.001", "documents")
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+        batches = lambda df: [r["n"] for r in df.coalesce(1).mapInArrow(sizes, "n bigint").collect()]
+        few, long = batches(spark.range(2000)), batches(spark.range(400).select(F.repeat(F.lit("x"), 100_000)))
+        assert sum(few) == 2000 and max(few) <= 512 and sum(long) == 400 and max(long) <= 60
+        spark.conf.set(names[0], "77")
+        shared.short_batches(spark)
+        assert spark.conf.get(names[0]) == "77"
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert list(shared.runs_within(np.array([3, 3, 9, 1, 1, 1]), 6)) == [(0, 2), (2, 3), (3, 6)] and list(shared.runs_within(np.array([]), 6)) == []
+
+
 def test_scores_are_not_told_apart_by_six_places(spark):
     legs = [spark.createDataFrame([(1, c, s, k) for k, (c, s) in enumerate(rows, 1)], LEG) for rows in ([("a", 0.5), ("b", 0.50000004), ("c", 0.1)], [("a", 1.0), ("b", 1.0), ("c", 1.0)])]
     assert [r["chunk_id"] for r in retrieval.fuse(*legs).orderBy("fused_rank").collect()] == ["b", "a", "c"]
