@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspark.operators.shared import NUMBERS, runs_within
+
 SPACE = r"[\s\x{FEFF}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 CONTROL = r"[\x00-\x08\x0E-\x1F\x7F-\x9F\p{Cf}\p{Co}\x{FFFD}]"
 #: Letters of the scripts that a page is expected to be in.
@@ -91,21 +93,30 @@ def _kinds() -> np.ndarray:
 
 
 def page_counts(c: Column) -> Column:
-    """(size, control, letters, readable) of the trimmed text, all of a batch by one table of the code points: what
-    ctrl_ratio and valid_frac come from, many times faster than by patterns of that many ranges."""
+    """(size, control, letters, readable) of the trimmed text, by one table of the code points: what ctrl_ratio and
+    valid_frac come from, many times faster than by patterns of that many ranges."""
 
     @F.pandas_udf("size int, control int, letters int, readable int")
     def run(texts: pd.Series) -> pd.DataFrame:
-        kept = [t.strip(BLANKS) if t else "" for t in texts]
-        kinds = _kinds()[np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        size = np.array([len(t) for t in kept], np.int64)
-        end = np.cumsum(size)
-        count = lambda bit: (total := np.concatenate([[0], np.cumsum(kinds & bit > 0)]))[end] - total[end - size]
-        return pd.DataFrame({"size": size, "control": count(_CONTROL), "letters": count(_LETTER), "readable": count(_READABLE)})
+        return count_kinds(texts)
 
     return run(c)
 
 
+def count_kinds(texts: pd.Series) -> pd.DataFrame:
+    """What page_counts gives, of many short texts or of a part of a long one at once."""
+    kept = [t.strip(BLANKS) if t else "" for t in texts]
+    part = [(i, t[at : at + NUMBERS]) for i, t in enumerate(kept) for at in range(0, len(t), NUMBERS)]
+    size = np.array([len(t) for _, t in part], np.int64)
+    found = np.zeros((3, len(kept)), np.int64)
+    for a, b in runs_within(size, NUMBERS):
+        kinds = _kinds()[np.frombuffer("".join(t for _, t in part[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        first = np.cumsum(size[a:b]) - size[a:b]
+        for k, bit in enumerate((_CONTROL, _LETTER, _READABLE)):
+            np.add.at(found[k], [i for i, _ in part[a:b]], np.add.reduceat(kinds & bit > 0, first, dtype=np.int64))
+    return pd.DataFrame({"size": [len(t) for t in kept], "control": found[0], "letters": found[1], "readable": found[2]})
+
+
 def route_page(text: Column, graphics: Column, mojibake: Column, *, least: int = 200, ctrl: float = 0.002, valid: float = 0.6, moji: float = 0.001) -> Column:
     """'fast' for a readable page, else 'mineru' where it has graphics, else 'vlm'. A null text counts as empty."""
     t = js_trim(F.coalesce(text, F.lit("")))

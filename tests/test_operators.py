@@ -316,6 +316,22 @@ def test_page_counts_are_those_of_the_patterns(spark):
     assert all(all(r) for r in rows)
 
 
+def test_page_counts_take_bounded_memory():
+    """Many texts, and one of three million characters, a part at a time; empty ones between them count nothing."""
+    import tracemalloc
+
+    import pandas as pd
+
+    texts = pd.Series(["", None, " ab1\x01 "] + ["née 1 " * 5000] * 200 + [" "] + ["x\u200b" * 1_500_000, "жд"])
+    T.count_kinds(texts[:3])  # makes the table
+    tracemalloc.start()
+    got = T.count_kinds(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
+    assert got.iloc[[0, 1, 2, 3, 202, 203, 204, 205]].values.tolist() == [[0, 0, 0, 0], [0, 0, 0, 0], [4, 1, 2, 2], [29999, 0, 15000, 15000], [29999, 0, 15000, 15000], [0, 0, 0, 0], [3_000_000, 1_500_000, 1_500_000, 1_500_000], [2, 0, 2, 2]]
+
+
 def test_canonical_json():
     assert runs.canonical({"b": [1, 2.0, None, "é"], "a": {"z": True, "y": 0.5}, "ﬁ": float("nan"), "𐀀": 1}) == '{"a":{"y":0.5,"z":true},"b":[1,2,null,"é"],"𐀀":1,"ﬁ":null}'
 
