@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,21 +93,26 @@ def remember(cache: DataFrame, found: DataFrame, value: str = "vector") -> DataF
 
 
 def normalized(c: Column) -> Column:
-    """Unicode NFC, for which there is no built-in function."""
+    """Unicode NFC, for which there is no built-in function; texts that can't change by it aren't sent to Python."""
 
     @F.pandas_udf("string")
-    def nfc(texts):  # noqa: ANN001, ANN202
-        return texts.str.normalize("NFC")
+    def nfc(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in texts], dtype=object)
 
-    return F.when(c.rlike(r"[^\x00-\x{2FF}]"), nfc(c)).otherwise(c)
+    return F.coalesce(nfc(F.when(c.rlike(r"[^\x00-\x{2FF}]"), c)), c)
+
+
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """(text) in NFC, without null. Null is told before and not after NFC: a condition on its result is a second pass, with
+    workers of its own beside those of the first."""
+    return texts.where("text IS NOT NULL").select(normalized(F.col("text")).alias("text")).distinct()
 
 
 def embed_texts(texts: DataFrame, cache: DataFrame, model: str, embed: Callable[[Column], Column], days: int = CACHE_DAYS) -> DataFrame:
     """(text, key, vector) of the distinct texts, in NFC: from the cache (key, vector, cached_at) if younger than days, else
     by embed, a column function; texts go to it ordered by length, so that a batch has little padding. Vectors of
     different lengths are an error."""
-    distinct = texts.select(normalized(F.col("text")).alias("text")).where("text IS NOT NULL").distinct()
-    keyed = cached(distinct.withColumn("key", cache_key("emb", F.lit(model), F.col("text"))), cache, days)
+    keyed = cached(distinct_texts(texts).withColumn("key", cache_key("emb", F.lit(model), F.col("text"))), cache, days)
     missed = keyed.where("vector IS NULL").sortWithinPartitions(F.length("text"))
     out = written(keyed.where("vector IS NOT NULL").select("text", "key", "vector").unionByName(missed.select("text", "key", embed(F.col("text")).alias("vector"))), "embedded")
     sizes = out.agg(F.min(F.size("vector")).alias("a"), F.max(F.size("vector")).alias("b")).first()

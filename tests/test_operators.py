@@ -185,6 +185,13 @@ def test_store(spark, tmp_path):
     assert store.embed_texts(docs, cache, "m", T.stub_embedding).count() == 2
 
 
+def test_texts_are_normalized_in_one_pass(spark, small):
+    texts = spark.createDataFrame([("e\u0301",), ("\u00e9",), ("plain",), ("plain",), ("",), (None,)], "text string")
+    assert sorted(r["text"] for r in store.distinct_texts(texts).collect()) == ["", "plain", "\u00e9"]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert store.distinct_texts(docs)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_near_pairs_against_brute_force(spark):
     rng = np.random.default_rng(5)
     prints = [int(x) for x in rng.integers(-(2**63), 2**63, 60)]
